@@ -30,7 +30,9 @@ bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i +
        FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM bw),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_TOKENS} AS w FROM documents),
-dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+t AS (SELECT r, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM d),
+l AS (SELECT r, i, list(t) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS l FROM t),
+dw AS (SELECT r, n, i, array_to_string(l[1:n], ' ') AS g FROM l, sizes WHERE len(l) >= n),
 m AS (SELECT dw.r, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
 h AS (SELECT r, count(DISTINCT p)::BIGINT AS n FROM (SELECT r, unnest(range(i, i + n)) AS p FROM m) GROUP BY r),
 s AS (SELECT r, count(*)::BIGINT AS n, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r)
