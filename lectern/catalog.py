@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import analytics, chunks, guards, search, sheets, sync, text  # noqa: F401 (each registers its queries)
+from .plans.registry import ORACLES, QUERIES
+from .plans.search import flagship
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+__all__ = ["flagship", "oracle_sql", "queries"]
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
