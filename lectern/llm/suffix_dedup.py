@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,6 +110,7 @@ def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
+_PACKED = "key long, sub int, packed binary"
 _FOUND = "key long, sub int, begin long, n int, first boolean, several boolean, edge int, part int, token long, rest long, low long, high long, rows long"
 _FOUND_NAMES = [x.split()[0] for x in _FOUND.split(", ")]
 HEAD, TAIL = 1, 2
@@ -175,7 +177,7 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         keys, subs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         wanted = batch.column(3).to_pylist()
-        for block in blocks(batch.column(2)):
+        for block in blocks(pa.array([zstandard.decompress(x.as_py()) for x in batch.column(2)], pa.large_binary())):
             c = block.prefix_hash()
             begin, owner = [], []
             for d in range(len(block)):
@@ -190,13 +192,19 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_leading(block.data, begin), hashed, keys[at], subs[at].astype(np.int32), begin - block.at[owner])], ["token", "hash", "key", "sub", "begin"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for their way through a shuffle."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([squeeze.compress(x.as_py().encode()) for x in batch.column(2)], pa.binary())], ["key", "sub", "packed"])
+
+
 def _removed(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for k in range(len(batch)):
-                text = batch.column(1)[k].as_buffer()
-                data = np.frombuffer(text, np.uint8) if text is not None and text.size else np.zeros(0, np.uint8)
+                data = np.frombuffer(zstandard.decompress(batch.column(1)[k].as_py()), np.uint8)
                 spans = batch.column(2)[k].values
                 gone = np.zeros(len(data) + 1, np.int32)
                 if spans is not None:
@@ -248,19 +256,20 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     told = {(p, e): (s, b, r) for p, e, s, b, r in _across(edges)}
     # Bounded by the number of buckets: what the edge groups are once their neighbours are known.
     known = F.broadcast(spark.createDataFrame([(p, *told[p, HEAD], *told[p, TAIL]) for p in sorted({p for p, _ in told})], "part int, head_several boolean, head_begun boolean, head_rows long, tail_several boolean, tail_begun boolean, tail_rows long"))
-    inner = found.where("key is not null and edge = 0").select("key", "sub", "begin", "n", "first", "several")
-    outer = found.where("key is not null and edge > 0").join(known, "part").join(F.broadcast(found.where(f"key is null and edge = {HEAD}").select("part", F.col("begin").alias("head_around"))), "part")
-    at_head = F.col("edge").bitwiseAND(HEAD) > 0
+    heads = F.broadcast(found.where(f"key is null and edge = {HEAD}").select("part", F.col("begin").alias("head_around")))
+    placed = found.where("key is not null").join(known, "part").join(heads, "part")
+    at_head, at_tail = F.col("edge").bitwiseAND(HEAD) > 0, F.col("edge") == TAIL
     begun = at_head & F.col("head_begun") & (F.col("low") == F.col("head_around"))
-    outer = outer.where(F.when(at_head, F.col("head_rows")).otherwise(F.col("tail_rows")) > 1).select("key", "sub", "begin", "n", (F.col("first") & ~begun).alias("first"), F.when(at_head, F.col("head_several")).otherwise(F.col("tail_several")).alias("several"))
-    judged = inner.union(outer)
+    alone = F.when(at_head, F.col("head_rows")).when(at_tail, F.col("tail_rows")).otherwise(2) < 2
+    several = F.when(at_head, F.col("head_several")).when(at_tail, F.col("tail_several")).otherwise(F.col("several"))
+    judged = placed.where(~alone).select("key", "sub", "begin", "n", (F.col("first") & ~begun).alias("first"), several.alias("several"))
     whole = judged.where("not first").select("key", "sub", F.struct("begin", (F.col("begin") + F.col("n") + (WIDTH - 1)).alias("end")).alias("span"))
 
     unsure = judged.where("first and several").groupBy("key", "sub").agg(F.collect_list(F.struct("begin", "n")).alias("runs"))  # of one document
-    windows = kept(sound.join(unsure, ["key", "sub"]).mapInArrow(_window_hashes, "token long, hash long, key long, sub int, begin long"), "windows")
+    windows = kept(sound.mapInArrow(_packed, _PACKED).join(unsure, ["key", "sub"]).mapInArrow(_window_hashes, "token long, hash long, key long, sub int, begin long"), "windows")
     firsts = kept(windows.groupBy("token", "hash").agg(F.min(F.struct("key", "sub", "begin")).alias("at"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"), "first-windows")
     later = windows.join(firsts, ["token", "hash"]).where(F.struct("key", "sub", "begin") != F.col("at")).select("key", "sub", F.struct("begin", (F.col("begin") + WIDTH).alias("end")).alias("span"))
     spans = whole.union(later).groupBy("key", "sub").agg(F.collect_list("span").alias("spans"))  # of one document
     kind = docs.schema[key].dataType.simpleString()
-    out = rows.join(spans, ["key", "sub"], "left").select(F.col("key").cast(kind).alias(key), F.col("text").cast("binary").alias("text"), "spans")
+    out = rows.mapInArrow(_packed, _PACKED).join(spans, ["key", "sub"], "left").select(F.col("key").cast(kind).alias(key), "packed", "spans")
     return out.mapInArrow(_removed(key), f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")

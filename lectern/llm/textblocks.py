@@ -82,7 +82,7 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
-        texts = texts.fill_null("")
+        texts = texts.fill_null(b"" if pa.types.is_large_binary(texts.type) else "")
     if not len(texts):
         return
     texts = texts.cast(pa.large_binary())
