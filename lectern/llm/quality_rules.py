@@ -86,7 +86,8 @@ def failures(rules: tuple[Rule, ...] = RULES) -> Column:
     """Names of the rules that a measured row breaks, joined by commas, in the table's order."""
     said = []
     for r in rules:
-        ratio = F.expr(r.ratio.replace(" / ", " * 1.0D / "))
+        above, below = r.ratio.split(" / ")
+        ratio = F.expr(f"{above} * 1.0D / nullif({below}, 0)")
         said.append(F.when((F.col("n_words") >= r.least_words) & ~ratio.between(r.low, r.high), F.lit(r.name)))
     return F.concat_ws(",", *said)
 
