@@ -28,6 +28,8 @@ from .textblocks import Block, blocks, mix, powers
 
 WIDTH = 100
 GRAM = 32
+#: Neighbouring windows that are first compared by the bytes they have in common.
+STEP = 8
 _SIGN = np.uint64(1 << 63)
 
 
@@ -45,12 +47,12 @@ def _hashes(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def anchors(block: Block) -> tuple[np.ndarray, ...]:
-    """For each anchor: document, first window, number of windows, leading token, hash of the anchor's bytes, hash of the neighbourhood."""
+    """For each anchor: document, place, leading token, hash of the anchor's bytes, hash of the neighbourhood. A place packs the first window, the way from there to the anchor and the number of windows."""
     data, at = block.data, block.at
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < WIDTH:
-        return (none,) * 6
+        return (none,) * 5
     c = block.prefix_hash()
     _, down = powers(n + 1)
     starts = n - GRAM + 1
@@ -68,7 +70,7 @@ def anchors(block: Block) -> tuple[np.ndarray, ...]:
         sound[i : max(i, j - WIDTH + 1)] = True
     windows = np.flatnonzero(sound)
     if not len(windows):
-        return (none,) * 6
+        return (none,) * 5
     anchor = (least[windows] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     doc = np.searchsorted(at, windows, "right") - 1
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
@@ -76,7 +78,7 @@ def anchors(block: Block) -> tuple[np.ndarray, ...]:
     count = np.diff(np.append(first, len(windows)))
     begin, anchor, doc = windows[first], anchor[first], doc[first]
     around = mix(_hashes(c, begin, begin + count + (WIDTH - 1)) + (count * 256 + anchor - begin).astype(np.uint64))
-    return doc, begin - at[doc], count, _leading(data, anchor), _hashes(c, anchor, anchor + GRAM).view(np.int64), around.view(np.int64)
+    return doc, (begin - at[doc]) << 16 | (anchor - begin) << 8 | count, _leading(data, anchor), _hashes(c, anchor, anchor + GRAM).view(np.int64), around.view(np.int64)
 
 
 _SUFFIX = "token long, rest long, around long, key long, sub int, place long"
@@ -86,9 +88,9 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, subs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for block in blocks(batch.column(2)):
-            doc, begin, count, token, rest, around = anchors(block)
+            doc, place, token, rest, around = anchors(block)
             at = block.first + doc
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, rest, around, keys[at], subs[at].astype(np.int32), begin << 8 | count)], ["token", "rest", "around", "key", "sub", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, rest, around, keys[at], subs[at].astype(np.int32), place)], ["token", "rest", "around", "key", "sub", "place"])
 
 
 def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
@@ -111,7 +113,7 @@ def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
 
 
 _PACKED = "key long, sub int, packed binary"
-_FOUND = "key long, sub int, begin long, n int, first boolean, several boolean, edge int, part int, token long, rest long, low long, high long, rows long"
+_FOUND = "key long, sub int, begin long, n int, offset int, first boolean, several boolean, edge int, part int, token long, rest long, low long, high long, rows long"
 _FOUND_NAMES = [x.split()[0] for x in _FOUND.split(", ")]
 HEAD, TAIL = 1, 2
 
@@ -142,12 +144,12 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(take), 50_000):
         t = take[at : at + 50_000]
         fill = pa.nulls(len(t), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(key[t]), pa.array(sub[t]), pa.array(place[t] >> 8), pa.array((place[t] & 255).astype(np.int32)), pa.array(new_class[t]), pa.array(several[t]), pa.array(edge[t].astype(np.int32)), pa.array(np.full(len(t), part, np.int32)), pa.array(token[t]), pa.array(rest[t]), pa.array(around[t]), fill, fill], _FOUND_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(key[t]), pa.array(sub[t]), pa.array(place[t] >> 16), pa.array((place[t] & 255).astype(np.int32)), pa.array((place[t] >> 8 & 255).astype(np.int32)), pa.array(new_class[t]), pa.array(several[t]), pa.array(edge[t].astype(np.int32)), pa.array(np.full(len(t), part, np.int32)), pa.array(token[t]), pa.array(rest[t]), pa.array(around[t]), fill, fill], _FOUND_NAMES)
     rows = []
     for side, g in ((HEAD, 0), (TAIL, len(starts) - 1)):
         i, j = starts[g], starts[g] + sizes[g]
-        rows.append((None, None, int(around[0] if side == HEAD else around[-1]), None, None, None, side, part, int(token[i]), int(rest[i]), int(around[i:j].min()), int(around[i:j].max()), int(sizes[g])))
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), *[pa.int64()] * 5]
+        rows.append((None, None, int(around[0] if side == HEAD else around[-1]), None, None, None, None, side, part, int(token[i]), int(rest[i]), int(around[i:j].min()), int(around[i:j].max()), int(sizes[g])))
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), *[pa.int64()] * 5]
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _FOUND_NAMES)
 
 
@@ -174,22 +176,29 @@ def _across(edges: list) -> list[tuple[int, int, bool, bool, int]]:
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows by steps of ``STEP`` that lie alike to their anchor: the hash of the bytes that all windows of the step share, and the hashes of the windows."""
     for batch in batches:
         keys, subs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         wanted = batch.column(3).to_pylist()
         for block in blocks(pa.array([zstandard.decompress(x.as_py()) for x in batch.column(2)], pa.large_binary())):
             c = block.prefix_hash()
-            begin, owner = [], []
+            rows = []
             for d in range(len(block)):
                 for x in wanted[block.first + d]:
-                    begin.append(np.arange(x["begin"], x["begin"] + x["n"]) + block.at[d])
-                    owner.append(np.full(x["n"], d))
-            if not begin:
+                    anchor, first, last = x["begin"] + x["offset"], x["begin"], x["begin"] + x["n"] - 1
+                    for step in range((anchor - last) // STEP, (anchor - first) // STEP + 1):
+                        low, high = max(first, anchor - STEP * step - STEP + 1), min(last, anchor - STEP * step)
+                        rows.append((d, step, anchor - STEP * step, low, high - low + 1))
+            if not rows:
                 continue
-            begin, owner = np.concatenate(begin), np.concatenate(owner)
-            hashed = _hashes(c, begin, begin + WIDTH).view(np.int64)
-            at = block.first + owner
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_leading(block.data, begin), hashed, keys[at], subs[at].astype(np.int32), begin - block.at[owner])], ["token", "hash", "key", "sub", "begin"])
+            d, step, core, low, n = np.array(rows, np.int64).T
+            base = block.at[d]
+            cores = mix(_hashes(c, base + core, base + core + WIDTH - STEP + 1) + step.astype(np.uint64)).view(np.int64)
+            ends = np.cumsum(n)
+            begin = np.repeat(base + low - (ends - n), n) + np.arange(int(ends[-1]))
+            hashes = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(_hashes(c, begin, begin + WIDTH).view(np.int64)))
+            at = block.first + d
+            yield pa.RecordBatch.from_arrays([pa.array(cores), pa.array(keys[at]), pa.array(subs[at].astype(np.int32)), pa.array(low), hashes], ["core", "key", "sub", "begin", "hashes"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,13 +271,16 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     begun = at_head & F.col("head_begun") & (F.col("low") == F.col("head_around"))
     alone = F.when(at_head, F.col("head_rows")).when(at_tail, F.col("tail_rows")).otherwise(2) < 2
     several = F.when(at_head, F.col("head_several")).when(at_tail, F.col("tail_several")).otherwise(F.col("several"))
-    judged = placed.where(~alone).select("key", "sub", "begin", "n", (F.col("first") & ~begun).alias("first"), several.alias("several"))
+    judged = placed.where(~alone).select("key", "sub", "begin", "n", (F.col("first") & ~begun).alias("first"), "offset", several.alias("several"))
     whole = judged.where("not first").select("key", "sub", F.struct("begin", (F.col("begin") + F.col("n") + (WIDTH - 1)).alias("end")).alias("span"))
 
-    unsure = judged.where("first and several").groupBy("key", "sub").agg(F.collect_list(F.struct("begin", "n")).alias("runs"))  # of one document
-    windows = kept(sound.mapInArrow(_packed, _PACKED).join(unsure, ["key", "sub"]).mapInArrow(_window_hashes, "token long, hash long, key long, sub int, begin long"), "windows")
-    firsts = kept(windows.groupBy("token", "hash").agg(F.min(F.struct("key", "sub", "begin")).alias("at"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"), "first-windows")
-    later = windows.join(firsts, ["token", "hash"]).where(F.struct("key", "sub", "begin") != F.col("at")).select("key", "sub", F.struct("begin", (F.col("begin") + WIDTH).alias("end")).alias("span"))
+    unsure = judged.where("first and several").groupBy("key", "sub").agg(F.collect_list(F.struct("begin", "n", "offset")).alias("runs"))  # of one document
+    steps = kept(sound.mapInArrow(_packed, _PACKED).join(unsure, ["key", "sub"]).mapInArrow(_window_hashes, "core long, key long, sub int, begin long, hashes array<long>"), "window-steps")
+    # Equal windows have equal cores, so a core that occurs once holds no repeated window.
+    cores = kept(steps.groupBy("core").count().where("count > 1").select("core"), "cores")
+    windows = kept(steps.join(cores, "core").select("core", "key", "sub", F.col("begin").alias("low"), F.posexplode("hashes").alias("i", "hash")).select("core", "hash", "key", "sub", (F.col("low") + F.col("i")).alias("begin")), "windows")
+    firsts = kept(windows.groupBy("core", "hash").agg(F.min(F.struct("key", "sub", "begin")).alias("at"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"), "first-windows")
+    later = windows.join(firsts, ["core", "hash"]).where(F.struct("key", "sub", "begin") != F.col("at")).select("key", "sub", F.struct("begin", (F.col("begin") + WIDTH).alias("end")).alias("span"))
     spans = whole.union(later).groupBy("key", "sub").agg(F.collect_list("span").alias("spans"))  # of one document
     kind = docs.schema[key].dataType.simpleString()
     out = rows.mapInArrow(_packed, _PACKED).join(spans, ["key", "sub"], "left").select(F.col("key").cast(kind).alias(key), "packed", "spans")
