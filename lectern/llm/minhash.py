@@ -5,16 +5,18 @@ shingle sets fall into one class first, so copies never pair up. Classes that sh
 full minima are candidates; the collision-corrected estimate from bit counts drops the
 hopeless ones, and links are confirmed on full shingle sets.
 
-Buckets are joined to one centre each. Only members that this leaves in different components
-of the same bucket are then compared with each other, so no link is lost and a large group of
-near copies costs rows in proportion to its size.
+Each bucket's members are first compared with one centre, the member with the fullest buckets.
+Only members that this leaves in different components of one bucket are compared further: in
+small buckets pair by pair, in large ones by a prefix-filtered join of their differences from
+the centre (``_cross_by_differences``). So no link is lost, and a large group of near copies
+makes rows in proportion to its size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ BITS = 4
 SLACK = 0.2
 #: Most wanted chance that two documents at the threshold share no band.
 MISS = 1e-7
+#: Members of buckets up to this size are compared pair by pair.
+SMALL_BUCKET = 32
 
 
 def band_count(percent: int) -> int:
@@ -99,6 +103,38 @@ def estimate(a: Column, b: Column, n_hashes: int) -> Column:
     return ((F.lit(1.0) - differ / F.lit(float(n_hashes))) - chance) / (1 - chance)
 
 
+def _cross_by_differences(many: DataFrame, sets: DataFrame, marks: DataFrame, roots: DataFrame, percent: int, alike: Callable[..., Column]) -> DataFrame:
+    """Pairs ``a, b`` of one centre's members in different components that may be similar enough.
+
+    Let D(x) be the symmetric difference of x's set and the centre's, q = (100 - percent) /
+    (100 + percent). A link of x and y needs |D(x) and D(y)| >= (|D(x)| + |D(y)| - q (|x| + |y|)) / 2.
+    One of the two is outside the centre's component, so its D is greater than q (|x| + |centre|).
+    Hence with a partner outside x needs over (|D(x)| + q (|centre| - |x|)) / 2 common elements,
+    with one inside (|D(x)| - q (|centre| + |x|)) / 2 or more. Sets that share so many share one
+    among the first |D| - need + 1 of each, in any common order: here what the centre lacks
+    comes first, as edits seldom agree in what they bring in. Needs are exact integers.
+    """
+    less, whole = 100 - percent, 2 * (100 + percent)
+    placed = many.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("of_centre")), "centre", "left")
+    both = placed.join(sets, "node").join(sets.select(F.col("node").alias("centre"), F.col("grams").alias("hub")), "centre")
+    both = both.select("centre", "node", "root", (F.col("root") == F.coalesce("of_centre", "centre")).alias("inside"), F.size("grams").cast("long").alias("n_own"), F.size("hub").cast("long").alias("n_hub"), F.sort_array(F.array_except("grams", "hub")).alias("extra"), F.sort_array(F.array_except("hub", "grams")).alias("lacking"))
+    n_diff = F.size("extra") + F.size("lacking")
+    over = F.floor((whole // 2 * n_diff + less * (F.col("n_hub") - F.col("n_own"))) / whole) + 1
+    least = F.ceil((whole // 2 * n_diff - less * (F.col("n_hub") + F.col("n_own"))) / whole)
+    first = lambda need: F.greatest(F.lit(0), n_diff - F.greatest(F.lit(1), need) + 1).cast("int")
+    # An element is signed by whether the centre has it, so the two parts never meet.
+    signed = F.concat(*[F.transform(part, lambda x, mark=part == "extra": F.struct(F.lit(mark).alias("extra"), x.alias("gram"))) for part in ("extra", "lacking")])
+    both = both.select("centre", "node", "root", "inside", first(over).alias("short"), F.slice(signed, F.lit(1), F.when(F.col("inside"), first(over)).otherwise(F.greatest(first(over), first(least)))).alias("first"))
+    posts = both.join(marks, "node").select("centre", "node", "root", "inside", "n", "bits", "short", F.posexplode("first").alias("at", "element"))
+    posts = kept(posts.select("centre", "element.extra", "element.gram", "node", "root", "inside", "n", "bits", (F.col("at") < F.col("short")).alias("early")), "differences")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "inside", "n", "bits", "early")]
+    left = posts.where("early").select("centre", "extra", "gram", *side("a")).alias("l")
+    right = posts.where("not inside").select("centre", "extra", "gram", *side("b")).alias("r")
+    same = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.centre") == F.col("r.centre")) & (F.col("l.extra") == F.col("r.extra"))
+    once = F.col("inside_a") | (F.col("early_b") & (F.col("node_a") < F.col("node_b")))
+    return left.join(right, same & once & (F.col("root_a") != F.col("root_b")) & alike("n_a", "n_b", "bits_a", "bits_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: ``key, n_shingles, component_id, kept``.
 
@@ -118,8 +154,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     classes = kept(sound.groupBy("digest").agg(F.min(F.struct("key", "text_hash")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
 
     banded = classes.select(F.col("digest").alias("node"), F.explode("bands").alias("bucket"))
-    shared = kept(banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "buckets")
-    members = kept(banded.join(shared, "bucket"), "members")
+    shared = kept(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+    crowded = kept(banded.join(shared, "bucket"), "crowded")
+    company = crowded.groupBy("node").agg(F.sum("size").alias("company"))
+    centres = kept(crowded.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("best")).select("bucket", F.col("best.node").alias("centre")), "centres")
+    members = kept(crowded.join(centres, "bucket"), "members")
     involved = members.select(F.col("node").alias("digest")).distinct().join(classes.select("digest", "rep.key", "rep.text_hash"), "digest")
     sets = kept(rows.join(involved, ["key", "text_hash"]).select(F.col("digest").alias("node"), "text").mapInArrow(_sets(k), "node binary, grams array<long>"), "sets").dropDuplicates(["node"])
     sets = kept(sets, "distinct-sets")
@@ -144,10 +183,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     # Buckets whose members are still in several components: compare those across components.
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    open_ = kept(placed.where("node <> centre").join(kept(mixed, "mixed"), "bucket").join(marks, "node").select("bucket", "node", "root", "n", "bits"), "open")
-    left, right = (open_.select("bucket", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    open_ = kept(placed.where("node <> centre").join(kept(mixed, "mixed"), "bucket").select("bucket", "size", "centre", "node", "root"), "open")
+    few = open_.where(F.col("size") <= SMALL_BUCKET).join(marks, "node")
+    left, right = (few.select("bucket", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
     crossed = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("root_a") < F.col("root_b")) & alike("n_a", "n_b", "bits_a", "bits_b")).select("a", "b").distinct()
-    more = kept(confirmed(crossed, True), "cross-links")
+    many = open_.where(F.col("size") > SMALL_BUCKET).select("centre", "node", "root").distinct()
+    far = _cross_by_differences(many, sets, marks, roots, percent, alike)
+    more = kept(confirmed(kept(crossed.union(far).distinct(), "crossed"), True), "cross-links")
     if not more.isEmpty():
         roots = components(links.union(more))
 

@@ -115,6 +115,22 @@ def test_minhash(odd, docs, k, percent):
     assert got == components(both(rows), k, percent)
 
 
+def test_minhash_of_a_large_loose_group(spark):
+    """Copies of one text with so many edits that most link with few others, some only with a copy that shares their edits."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(220):
+        words = list(texts[-1]) if i % 4 == 3 else list(base)
+        for at in rng.choice(150, rng.integers(1, 3) if i % 4 == 3 else rng.integers(2, 9), replace=False):
+            words[at] = f"x{rng.integers(1000)}"
+        texts.append(words)
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(rows, 3, 85).collect()}
+    want = components(both(rows), 3, 85)
+    assert got == want and len({c for _, c, _ in want.values()}) > 20
+
+
 def test_decontamination_edges(spark, odd):
     items = spark.createDataFrame([(1, "one TWO three"), (2, ""), (None, None), (3, SHARED)], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontaminate.mark(odd, items).collect()}
