@@ -112,7 +112,9 @@ def _cross_by_differences(many: DataFrame, sets: DataFrame, marks: DataFrame, ro
     Hence with a partner outside x needs over (|D(x)| + q (|centre| - |x|)) / 2 common elements,
     with one inside (|D(x)| - q (|centre| + |x|)) / 2 or more. Sets that share so many share one
     among the first |D| - need + 1 of each, in any common order: here what the centre lacks
-    comes first, as edits seldom agree in what they bring in. Needs are exact integers.
+    comes first, as edits seldom agree in what they bring in. Needs are exact integers. From a
+    first common element on, no more than the rest of the shorter list can agree: pairs of
+    which that falls short of the need go at once.
     """
     less, whole = 100 - percent, 2 * (100 + percent)
     placed = many.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("of_centre")), "centre", "left")
@@ -124,15 +126,16 @@ def _cross_by_differences(many: DataFrame, sets: DataFrame, marks: DataFrame, ro
     first = lambda need: F.greatest(F.lit(0), n_diff - F.greatest(F.lit(1), need) + 1).cast("int")
     # An element is signed by whether the centre has it, so the two parts never meet.
     signed = F.concat(*[F.transform(part, lambda x, mark=part == "extra": F.struct(F.lit(mark).alias("extra"), x.alias("gram"))) for part in ("extra", "lacking")])
-    both = both.select("centre", "node", "root", "inside", first(over).alias("short"), F.slice(signed, F.lit(1), F.when(F.col("inside"), first(over)).otherwise(F.greatest(first(over), first(least)))).alias("first"))
-    posts = both.join(marks, "node").select("centre", "node", "root", "inside", "n", "bits", "short", F.posexplode("first").alias("at", "element"))
-    posts = kept(posts.select("centre", "element.extra", "element.gram", "node", "root", "inside", "n", "bits", (F.col("at") < F.col("short")).alias("early")), "differences")
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "inside", "n", "bits", "early")]
+    both = both.select("centre", "node", "root", "inside", n_diff.cast("long").alias("differ"), first(over).alias("short"), F.slice(signed, F.lit(1), F.when(F.col("inside"), first(over)).otherwise(F.greatest(first(over), first(least)))).alias("first"))
+    posts = both.join(marks, "node").select("centre", "node", "root", "inside", "n", "bits", "differ", "short", F.posexplode("first").alias("at", "element"))
+    posts = kept(posts.select("centre", "element.extra", "element.gram", "node", "root", "inside", "n", "bits", "differ", (F.col("differ") - F.col("at")).alias("rest"), (F.col("at") < F.col("short")).alias("early")), "differences")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "inside", "n", "bits", "differ", "rest", "early")]
     left = posts.where("early").select("centre", "extra", "gram", *side("a")).alias("l")
     right = posts.where("not inside").select("centre", "extra", "gram", *side("b")).alias("r")
     same = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.centre") == F.col("r.centre")) & (F.col("l.extra") == F.col("r.extra"))
     once = F.col("inside_a") | (F.col("early_b") & (F.col("node_a") < F.col("node_b")))
-    return left.join(right, same & once & (F.col("root_a") != F.col("root_b")) & alike("n_a", "n_b", "bits_a", "bits_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    enough = whole * F.least("rest_a", "rest_b") >= whole // 2 * (F.col("differ_a") + F.col("differ_b")) - less * (F.col("n_a") + F.col("n_b"))
+    return left.join(right, same & once & enough & (F.col("root_a") != F.col("root_b")) & alike("n_a", "n_b", "bits_a", "bits_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
