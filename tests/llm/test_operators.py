@@ -60,6 +60,42 @@ def test_licenses(odd):
     assert all(got[k]["n_blocks"] == 0 for k in (1, 2, 3, 5, 16))
 
 
+def notices(text):
+    """Every exact wording of every template, as license:start:end."""
+    out = []
+    for name, wordings in license_scan.TEMPLATES.items():
+        for wording in wordings:
+            pattern = r"[\W_]+".join(license_scan.words(wording))
+            out += [f"{name}:{m.start()}:{m.end()}" for m in re.finditer(rf"(?<![^\W_]){pattern}(?![^\W_])", text, re.I | re.A)]
+    return sorted(out)
+
+
+def said(spans):
+    return sorted(s for s in spans.split(",") if s)
+
+
+def test_licenses_in_long_lines(spark):
+    """One notice in a line of other text, also broken or edited within the tolerance, against an exact search for every wording."""
+    rng = np.random.default_rng(3)
+    filler = lambda n: " ".join(f"wörd{i}" for i in rng.integers(0, 500, n))
+    wordings = [(name, w) for name, ws in license_scan.TEMPLATES.items() for w in ws]
+    texts = [f"{filler(n)} {w.upper() if n == 40 else w} {filler(n)}" for _, w in wordings for n in (0, 10, 40, 400)]
+    texts += [filler(10) + " " + w.replace(" ", "\n") for _, w in wordings] + ["", filler(3000)]
+    edited = []
+    for name, w in wordings:
+        ws = license_scan.words(w)
+        for _ in range(len(ws) // 10):
+            ws.insert(int(rng.integers(1, len(ws))), "xyz") if rng.random() < 0.5 else ws.pop(int(rng.integers(1, len(ws) - 1)))
+        edited.append((name, f"{filler(30)} {' '.join(ws)} {filler(30)}"))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *[t for _, t in edited]])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(rows).collect()}
+    for i, text in enumerate(texts):
+        assert said(got[i]["spans"]) == notices(text), text
+        assert got[i]["n_confirmed"] == len(notices(text))
+    for i, (name, text) in enumerate(edited, len(texts)):
+        assert name in {s.split(":")[0] for s in said(got[i]["spans"])}, text
+
+
 def removed(texts):
     seen, out = set(), {}
     for key, text in texts:
