@@ -96,6 +96,18 @@ def test_licenses_in_long_lines(spark):
         assert name in {s.split(":")[0] for s in said(got[i]["spans"])}, text
 
 
+def test_several_licenses(spark):
+    """Notices in a row, in lines, in one line and all at once: each is reported, and none of a kindred license."""
+    a, b, c = "Licensed under the Apache License, Version 2.0.", "Licensed under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
+    every = [w for ws in license_scan.TEMPLATES.values() for w in ws]
+    texts = [f"{a}\n{b}\n{c}", f"{c} {a} {b}", f"Dual: {b} or {c}", "\n".join(every), " ".join(every * 3), *every]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        assert said(got[i]["spans"]) == notices(text), text
+        assert got[i]["n_confirmed"] == len(notices(text))
+    assert got[0]["n_confirmed"] == 3 and got[4]["n_confirmed"] > 70
+
+
 def removed(texts):
     seen, out = set(), {}
     for key, text in texts:
