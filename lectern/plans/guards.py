@@ -56,6 +56,22 @@ def pages_outside(spark, sf_dir):
     return rows.select("conv_id", "turn", F.array_join(G.unsupported_pages(answer, F.sequence(F.lit(1), F.lit(6))), ",").alias("outside"))
 
 
+@query()
+def numbers_outside_all(spark, sf_dir):
+    """``numbers_outside`` over every turn, with the numbers of its own text, which every third conversation's passage lacks; checked by a unit test."""
+    text = F.coalesce("text", F.lit(""))
+    answer = F.concat(text, F.lit("\n1. 2 830 m (page 99) et 0,80"), F.when(F.col("turn") % 2 == 1, F.lit(", 4567 ha")).otherwise(F.lit("")))
+    passage = F.concat(F.when(F.col("conv_id") % 3 == 0, F.lit("")).otherwise(text), F.lit(" 2830 et 0.8"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(G.unsupported_numbers(answer, passage), ",").alias("outside"))
+
+
+@query()
+def pages_outside_all(spark, sf_dir):
+    """``pages_outside`` over every turn, with the pages that its own text cites; checked by a unit test."""
+    answer = F.concat(F.coalesce("text", F.lit("")), F.lit(" (page "), "turn", F.lit(")"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(G.unsupported_pages(answer, F.sequence(F.lit(1), F.lit(6))), ",").alias("outside"))
+
+
 _BLOCKS = "(SELECT conv_id, turn, turn % 2 = 0 AS evasive, turn % 3 = 0 AS truncated, (turn * 7 % 5)::VARCHAR AS page FROM conversations)"
 
 
