@@ -8,6 +8,7 @@ non-overlapping search for each kind.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,23 +24,32 @@ from .textblocks import blocks
 
 @dataclass(frozen=True)
 class SecretRule:
-    """``pattern`` is searched leftmost and longest; a match whose length after ``head`` is below ``least`` is dropped without a retry."""
+    """``pattern`` is searched leftmost and longest; a match whose length after ``head`` is below ``least`` is dropped without a retry. Others run on over what ``tail`` matches behind them."""
 
     kind: str
     pattern: str
     least: int = 0
     head: str = ""
+    tail: str = ""
 
 
 _NAMED = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 
+#: What follows a key's BEGIN line: header lines and base64 lines up to the END line. Where none comes, runs of 16 base64 letters or more, the last of any length if it closes with '='. Line breaks may be written as \\n or \\r.
+_GAP = r"(?:\\[nr]|[\x20\x09-\x0D])"
+_HEADERS = rf"(?:(?:Proc-Type:\x20*[0-9]+,[A-Z]+|DEK-Info:\x20*[A-Z0-9-]+,[0-9A-Fa-f]+|[A-Za-z0-9-]++:(?:(?!-----)[^\n\\])*+){_GAP}++)*+"
+_KEY = (
+    rf"(?:{_GAP}*+{_HEADERS}(?:[A-Za-z0-9+/=]|{_GAP})*+-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+    rf"|{_GAP}*+{_HEADERS}[A-Za-z0-9+/]{{16,}}+=*+(?:{_GAP}++[A-Za-z0-9+/]{{16,}}+=*+)*+(?:{_GAP}++[A-Za-z0-9+/]++=++)?)?"
+)
+
 #: The three base rules, then further kinds. The hex run has its least length in the pattern, which spares a mark on every letter a-f: a shorter run holds no match either way.
 RULES = (
     SecretRule("assign", _NAMED + "[A-Za-z0-9+/_.=-]+", 6, _NAMED),
     SecretRule("access", "AKIA[A-Z0-9]+", 20),
     SecretRule("hex", "[0-9a-f]{24,}"),
     SecretRule("github", "gh[pousr]_[A-Za-z0-9]+", 40),
-    SecretRule("private_key", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    SecretRule("private_key", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", tail=_KEY),
 )
 BASE_KINDS = ("assign", "access", "hex")
 
@@ -49,6 +59,7 @@ class Scanner:
         self.rules = rules
         self.all = Automaton([r.pattern for r in rules], search=True)
         self.one = [Automaton([r.pattern], search=False) for r in rules]
+        self.tails = [re.compile(r.tail.encode()) if r.tail else None for r in rules]
         self.heads = [Automaton([r.head], search=False) if r.head else None for r in rules]
 
     def _longest(self, machine: Automaton, data: bytes, at: int, end: int) -> int:
@@ -79,6 +90,8 @@ class Scanner:
                         break
                 else:
                     continue
+                if self.tails[r]:
+                    end = self.tails[r].match(data, end).end()
                 cursor = end
                 if rule.least:
                     # The head takes as much as it can, the rest is what must be long.
