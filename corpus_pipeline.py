@@ -19,14 +19,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles are similar by 0.8 or more."""
-    return _without(docs, minhash.near_duplicates(docs, k=5, percent=80).where("not kept"))
+    """One document of each group whose sets of five-word shingles are similar by 0.8 or more, the first by id and text; of rows with the same id and text, one. Rows without an id are documents like others."""
+    rows = _identified(docs)
+    return _without(_once(rows), minhash.near_duplicates(rows, k=5, percent=80, key="_row").where("not kept"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a telling share of benchmark words."""
-    marks = decontaminate.mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, marks.where("contaminated"))
+    rows = _identified(docs)
+    marks = decontaminate.mark(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_row")
+    return _without(rows, marks.where("contaminated"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +41,23 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path(TOKENIZER), with_ids=False)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    gone = kept(gone.select("doc_id").distinct(), "dropped")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+def _identified(docs: DataFrame) -> DataFrame:
+    """``_row`` is what verdicts go by: a row's id and text, never null; in the order of ids, rows without one last."""
+    digest = F.coalesce(F.unhex(F.md5("text")), F.unhex(F.lit("")))
+    return docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), digest.alias("digest")))
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    gone = kept(gone.select("_row").distinct(), "dropped")
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """Of rows with the same id and text the least one. Only repeated rows are brought together."""
+    again = kept(rows.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_row"), "repeated")
+    single = rows.join(again, "_row", "left_anti")
+    least = rows.join(again, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*COLUMNS)).alias("least"))
+    return single.select("_row", *COLUMNS).unionByName(least.select("_row", "least.*"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated), ("secrets", secrets), ("tokens", tokens)]
