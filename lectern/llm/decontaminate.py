@@ -1,16 +1,18 @@
 """Benchmark decontamination as a prefix-filtered set join.
 
-Every item window must occur whole, so one token of it is a sufficient prefix: the rarest, by
-counts over all documents. Documents probe these prefix tokens; a hit fixes where the window
-would begin, which must lie inside the document (positional and length bounds); the words are
-then compared one position after the other and at last byte for byte.
-
-Items come in blocks of bounded size, each broadcast; documents never move.
+The shingles of items are windows of ``WINDOW`` words; equal ones are one, with a list of items
+beside. A window must occur whole, so one word of it is a sufficient prefix: the rarest, by
+counts over all documents. Documents bring out those of their words that may be prefixes, each
+with the words around it, and these are joined to the windows by the word. What stands before
+and behind the word must be long enough and is then compared letter by letter.
+
+Neither items nor documents pass through the driver: both sides of the join are shuffled, at
+any size. Only two bit maps of fixed size are broadcast; they spare the shuffles words that no
+item holds.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import kept
 from .textblocks import ALNUM, Block, blocks, lower_ascii
+from .workers import mapped
 
 WINDOW = 13
-#: Bytes of item texts in one broadcast block.
-ITEM_BLOCK_BYTES = 4 << 20
+#: Bits of a bit map, as a power of two: 512 KB.
+MAP_BITS = 22
+_LONGS = (1 << MAP_BITS) // 64
 
 
 def _words(block: Block) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -31,154 +36,131 @@ def _words(block: Block) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.
     return low, starts, ends, first, low.span_hashes(starts, ends)
 
 
-class Items:
-    """The windows of one block of items: word hashes in a row, for each window its first word, length and item."""
-
-    def __init__(self, ids: list[str], texts: list[str], window: int = WINDOW):
-        self.ids = ids
-        hashes, words, starts, lengths, items = [], [], [], [], []
-        n = 0
-        for k, text in enumerate(texts):
-            block = next(blocks(pa.array([text]), 1 << 40))
-            low, s, e, _, h = _words(block)
-            hashes.append(h)
-            words += [low.data[i:j].tobytes() for i, j in zip(s.tolist(), e.tolist(), strict=True)]
-            size = min(window, len(h))
-            for i in range(len(h) - size + 1 if size else 0):
-                starts.append(n + i)
-                lengths.append(size)
-                items.append(k)
-            n += len(h)
-        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.words = words
-        self.starts, self.lengths, self.items = (np.array(x, np.int64) for x in (starts, lengths, items))
-        self.vocabulary = np.unique(self.hashes)
-
-    def order(self, counts: np.ndarray) -> None:
-        """Choose each window's rarest token, the first of equals, and index windows by it. ``counts`` follows ``vocabulary``."""
-        rarity = counts[np.searchsorted(self.vocabulary, self.hashes)] if len(self.hashes) else np.zeros(0, np.int64)
-        offset = np.array([int(np.argmin(rarity[s : s + n])) for s, n in zip(self.starts, self.lengths, strict=True)], np.int64)
-        token = self.hashes[self.starts + offset] if len(offset) else np.zeros(0, np.uint64)
-        by = np.argsort(token, kind="stable")
-        self.offset, self.by = offset, by
-        self.prefixes, self.at = np.unique(token[by], return_index=True)
-        self.at = np.append(self.at, len(by))
-        self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[(self.prefixes >> np.uint64(48)).astype(np.int64)] = True
-
-    def count(self, h: np.ndarray) -> np.ndarray:
-        """How often each vocabulary word is among the hashes ``h``."""
-        at = np.minimum(np.searchsorted(self.vocabulary, h), max(len(self.vocabulary) - 1, 0))
-        return np.bincount(at[self.vocabulary[at] == h], minlength=len(self.vocabulary)) if len(self.vocabulary) else np.zeros(0, np.int64)
-
-    def matches(self, low: Block, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First word and window number of every occurrence in a block of documents."""
-        none = np.zeros(0, np.int64)
-        if not len(self.prefixes) or not len(h):
-            return none, none
-        at = np.flatnonzero(self.maybe[(h >> np.uint64(48)).astype(np.int64)])
-        token = np.minimum(np.searchsorted(self.prefixes, h[at]), len(self.prefixes) - 1)
-        good = self.prefixes[token] == h[at]
-        at, token = at[good], token[good]
-        sizes = self.at[token + 1] - self.at[token]
-        n = int(sizes.sum())
-        if not n:
-            return none, none
-        window = self.by[np.repeat(self.at[token], sizes) + np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
-        place = np.repeat(at, sizes)
-        doc = np.searchsorted(first, place, "right") - 1
-        begin = place - self.offset[window]
-        good = (begin >= first[doc]) & (begin + self.lengths[window] <= first[doc + 1])
-        begin, window = begin[good], window[good]
-        for j in range(int(self.lengths[window].max()) if len(window) else 0):
-            longer = self.lengths[window] > j
-            good = ~longer | (h[np.minimum(begin + j, len(h) - 1)] == self.hashes[np.minimum(self.starts[window] + j, len(self.hashes) - 1)])
-            begin, window = begin[good], window[good]
-        same = np.fromiter((self._equal(low, starts, ends, b, w) for b, w in zip(begin.tolist(), window.tolist(), strict=True)), bool, len(begin))
-        return begin[same], window[same]
-
-    def _equal(self, low: Block, starts: np.ndarray, ends: np.ndarray, b: int, w: int) -> bool:
-        s, n = int(self.starts[w]), int(self.lengths[w])
-        return [low.data[starts[b + j] : ends[b + j]].tobytes() for j in range(n)] == self.words[s : s + n]
-
-
-def _item_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Items]:
-    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = 1 if total <= ITEM_BLOCK_BYTES else -(-2 * total // ITEM_BLOCK_BYTES)
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        got = part.distinct().orderBy("id", "text").collect()  # bounded by ITEM_BLOCK_BYTES
-        yield Items([r[0] for r in got], [r[1] for r in got])
-
-
-def mark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per row of ``docs``: ``key, n_words, n_hit, n_items, items_sha256, contaminated`` and ``items`` (sorted ids).
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """Which values the top ``MAP_BITS`` bits of the longs in ``hash`` take. At most ``_LONGS`` rows come to the driver, whatever the table's size."""
+    place = F.shiftrightunsigned("hash", 64 - MAP_BITS)
+    bits = hashes.select(F.shiftrightunsigned(place, 6).alias("long"), F.expr("shiftleft(1L, cast(shiftrightunsigned(hash, {}) & 63 as int))".format(64 - MAP_BITS)).alias("bit"))
+    longs = np.zeros(_LONGS, np.int64)
+    for at, value in bits.groupBy("long").agg(F.bit_or("bit")).collect():
+        longs[at] = value
+    return longs.view(np.uint8)
+
+
+def _maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    return np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+
+
+def _windows(window: int):
+    """A row for each distinct window of each item: its words joined by blanks, and their hashes."""
 
-    Null and empty texts have no words and are clean; items without words never occur; an
-    empty benchmark leaves all clean. Repeated items count once by id; a null id counts as an
-    empty one. Each row is judged for itself; other columns are left out, whatever their names.
-    """
-    spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-    df = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), F.expr("cast(array() as array<int>)").alias("_spans"), F.expr("cast(array() as array<string>)").alias("_items"), F.lit(0).cast("long").alias("_n"))
-    bare = df.select("_text")
-    schema = f"_key {kind}, _text string, _spans array<int>, _items array<string>, _n long"
-    for items in _item_blocks(benchmark, item, item_text):
-        items.order(_counted(bare, items))
-        shared = spark.sparkContext.broadcast(items)
-        df = df.mapInArrow(_probe(shared), schema)
-    return df.mapInArrow(_verdicts(key), f"`{key}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
-
-
-def _counted(bare: DataFrame, items: Items) -> np.ndarray:
-    """Occurrences of the items' words over all documents."""
-    counts = np.zeros(len(items.vocabulary), np.int64)
-    if len(counts):
-        shared = bare.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(shared.value.vocabulary), np.int64)
-            for batch in batches:
-                for block in blocks(batch.column(0)):
-                    total += shared.value.count(_words(block)[4])
-            seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["word", "n"])
-
-        for word, n in bare.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n")).collect():  # a row for each word of the items at most
-            counts[word] = n
-    return counts
-
-
-def _probe(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
         for batch in batches:
-            spans, names, sizes = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
             for block in blocks(batch.column(1)):
                 low, starts, ends, first, h = _words(block)
-                sizes += np.diff(first).tolist()
-                begin, window = items.matches(low, starts, ends, first, h)
-                doc = np.searchsorted(first, begin, "right") - 1
-                for d, b, w in zip(doc.tolist(), (begin - first[doc]).tolist(), window.tolist(), strict=True):
-                    spans[block.first + d] += [b, b + int(items.lengths[w])]
-                    names[block.first + d].append(items.ids[items.items[w]])
-            names = [sorted(set(x)) if x else x for x in names]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string())), pa.array(sizes, pa.int64())], ["_key", "_text", "_spans", "_items", "_n"])
+                said = [low.data[i:j].tobytes().decode() for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+                signed = h.view(np.int64)
+                for d in range(len(block)):
+                    i, j = int(first[d]), int(first[d + 1])
+                    n = min(window, j - i)
+                    found = {" ".join(said[k : k + n]): signed[k : k + n] for k in range(i, j - n + 1)} if n else {}
+                    item = batch.column(0).slice(block.first + d, 1)
+                    for texts in [list(found)[k : k + 10_000] for k in range(0, len(found), 10_000)]:
+                        yield pa.RecordBatch.from_arrays([pa.concat_arrays([item] * len(texts)), pa.array(texts), pa.array([found[t] for t in texts], pa.list_(pa.int64()))], ["item", "window", "hashes"])
 
     return run
 
 
-def _verdicts(key: str):
+def _counted(bits):
+    """Words that items may hold, counted in each batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, n_words, n_hit = batch.column(3).to_pylist(), batch.column(4).to_pylist(), []
-            for spans, n in zip(batch.column(2).to_pylist(), n_words, strict=True):
-                hit = np.zeros(n if spans else 0, bool)
-                for i, j in zip(spans[::2], spans[1::2], strict=True):
-                    hit[i:j] = True
-                n_hit.append(int(hit.sum()))
-            digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(digests), pa.array([h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_()), pa.array(names, pa.list_(pa.string()))], [key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
+            for block in blocks(batch.column(0)):
+                h = _words(block)[4]
+                values, n = np.unique(h[_maybe(bits.value, h)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
 
     return run
+
+
+_POST = "key {}, text_hash long, n_words long, hash long, at int, before string, behind string"
+
+
+def _postings(bits, window: int):
+    """For each document a row with its number of words and, for each word that may be a prefix, one with the words before and from it on, each with a blank at both ends."""
+    names = [x.split()[0] for x in _POST.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(2)):
+                low, starts, ends, first, h = _words(block)
+                heads = np.arange(block.first, block.first + len(block))
+                fill = [pa.nulls(len(block), t) for t in (pa.int64(), pa.int32(), pa.string(), pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(heads)), batch.column(1).take(pa.array(heads)), pa.array(np.diff(first).astype(np.int64)), *fill], names)
+                at = _maybe(bits.value, h)
+                doc = np.searchsorted(first, at, "right") - 1
+                for k in range(0, len(at), 10_000):
+                    some, own = at[k : k + 10_000], doc[k : k + 10_000]
+                    low_end, high_end = np.maximum(first[own], some - (window - 1)), np.minimum(first[own + 1], some + window)
+                    before, behind = [], []
+                    for i, a, j in zip(low_end.tolist(), some.tolist(), high_end.tolist(), strict=True):
+                        words = [low.data[starts[x] : ends[x]].tobytes().decode() for x in range(i, j)]
+                        before.append(f" {' '.join(words[: a - i])} " if a > i else " ")
+                        behind.append(f" {' '.join(words[a - i :])} ")
+                    rows = pa.array(own + block.first)
+                    columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.nulls(len(some), pa.int64()), pa.array(h[some].view(np.int64)), pa.array((some - first[own]).astype(np.int32)), pa.array(before), pa.array(behind)]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Per row of ``docs``: ``key, n_words, n_hit, n_items, items_sha256, contaminated`` and ``items`` (sorted ids).
+
+    Null and empty texts have no words and are clean; items without words never occur; an
+    empty benchmark leaves all clean. Repeated items count once by id; a null id counts as an
+    empty one. Each row is judged for itself, repeated rows alike; of equally rare words of a
+    window the first is its prefix. Other columns are left out, whatever their names.
+    """
+    spark = docs.sparkSession
+    kind = docs.schema[key].dataType.simpleString()
+    said = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(said).alias("text_hash"), said.alias("text"))
+    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
+    of_items = kept(mapped(items, _windows(window), "item string, window string, hashes array<long>"), "item-windows")
+    windows = of_items.groupBy("window").agg(F.first("hashes").alias("hashes"))
+    parts = kept(windows.select("window", F.posexplode("hashes").alias("offset", "hash")), "window-words")
+
+    known = spark.sparkContext.broadcast(bit_map(parts))
+    counts = mapped(rows.select("text"), _counted(known), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    rarest = parts.join(counts, "hash", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "hash")).alias("rarest"))
+    words = F.split("window", " ")
+    offset = F.col("rarest.offset")
+    lead = F.when(offset > 0, F.concat(F.lit(" "), F.array_join(F.slice(words, F.lit(1), offset), " "), F.lit(" "))).otherwise(F.lit(" "))
+    rest = F.concat(F.lit(" "), F.array_join(F.slice(words, offset + 1, F.size(words)), " "), F.lit(" "))
+    prefixes = kept(rarest.select(F.col("rarest.hash").alias("hash"), "window", offset.alias("offset"), F.size(words).alias("size"), lead.alias("lead"), rest.alias("rest")), "prefixes")
+
+    wanted = spark.sparkContext.broadcast(bit_map(prefixes))
+    posted = kept(mapped(rows, _postings(wanted, window), _POST.format(kind)), "postings")
+    fits = (F.col("at") >= F.col("offset")) & F.col("before").endswith(F.col("lead")) & F.col("behind").startswith(F.col("rest"))
+    hits = posted.where("hash is not null").join(prefixes, "hash").where(fits)
+    hits = kept(hits.select("key", "text_hash", "window", (F.col("at") - F.col("offset")).alias("begin"), "size"), "hits")
+
+    # Of one document: its stretches, merged from left to right, and its items.
+    stretches = F.sort_array(F.collect_set(F.struct("begin", (F.col("begin") + F.col("size")).alias("end"))))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("done"))
+    step = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(acc["done"], x["begin"]))).alias("n"), F.greatest(acc["done"], x["end"]).alias("done"))
+    covered = hits.groupBy("key", "text_hash").agg(stretches.alias("s")).select("key", "text_hash", F.aggregate("s", start, step)["n"].cast("long").alias("n_hit"))
+    named = hits.select("key", "text_hash", "window").distinct().join(of_items.select("window", "item"), "window").groupBy("key", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    same = F.col("c.key").eqNullSafe(F.col("i.key")) & (F.col("c.text_hash") == F.col("i.text_hash"))
+    found = kept(covered.alias("c").join(named.alias("i"), same).select("c.key", "c.text_hash", "n_hit", "items"), "contaminations")
+
+    heads = posted.where("n_words is not null").select("key", "text_hash", "n_words")
+    same = F.col("h.key").eqNullSafe(F.col("f.key")) & (F.col("h.text_hash") == F.col("f.text_hash"))
+    out = heads.alias("h").join(found.alias("f"), same, "left")
+    n_hit, names = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    return out.select(
+        F.col("h.key").alias(key), "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
+        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), names.alias("items"),
+    )

@@ -262,3 +262,16 @@ def test_personal_data(odd, docs):
             said = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
             want[key, *[sum(k == j for _, k, _ in spans) for j in range(4)], hashlib.sha256(said.encode()).hexdigest()] += 1
         assert got == want
+
+
+def test_decontamination_of_repetitive_texts(spark):
+    """An item and a text of one word over and over, a frequent prefix, and many items: rows and time in proportion."""
+    items = [(0, "word " * 2000), (1, "alpha beta"), (2, "word alpha word"), (3, "word " * 13)] + [(10 + i, f"common common x{i} common") for i in range(300)]
+    texts = [(1, "word " * 20_000), (2, "alpha beta word " * 50), (3, "common common x7 common common x9 common"), (4, "Alpha, BETA"), (5, "alpha"), (None, "word " * 12 + "alpha word")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.mark(rows, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got[1]["n_hit"] == 20_000 and got[1]["items"] == ["0", "3"]
+    assert got[2]["n_hit"] == 100 and got[2]["items"] == ["1"]
+    assert got[3]["items"] == ["17", "19"] and got[3]["n_hit"] == 7
+    assert got[4]["n_hit"] == 2 and got[5]["n_hit"] == 0 and not got[5]["contaminated"]
+    assert got[None]["items"] == ["2"] and got[None]["n_hit"] == 3
