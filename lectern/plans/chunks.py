@@ -11,7 +11,7 @@ from .registry import query, table
 from .text import files
 
 _FIXED = """SELECT doc_id, i::INT AS chunk_index, (i * {step})::INT AS start, least(i * {step} + {size}, length(text))::INT AS "end", regexp_replace(substr(text, (i * {step} + 1)::BIGINT, {size}), '^\\s+|\\s+$', '', 'g') AS chunk
-FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) <= {size} THEN 1 ELSE (length(text) - {size} + {step} - 1) // {step} + 1 END)) AS i FROM documents)"""
+FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= {size} THEN 1 ELSE (length(text) - {size} + {step} - 1) // {step} + 1 END)) AS i FROM documents)"""
 
 
 @query(_FIXED.format(size=1024, step=874))
@@ -31,6 +31,21 @@ def _talks(spark, sf_dir, before=None, between="\n\n"):
     return turns.select("conv_id", F.array_join(F.transform("turns", lambda x: x["said"]), between).alias("text"))
 
 
+@query()
+def chunk_email(spark, sf_dir):
+    """Conversations as mails: the first turn's head, then what was said."""
+    mails = _talks(spark, sf_dir).select("conv_id", F.concat(F.lit("Subject: talk "), "conv_id", F.lit("\nFrom: a@example.org\n\n"), "text").alias("text"))
+    return C.packed(mails, "email", 800, 0, "conv_id")
+
+
+@query()
+def chunk_pages(spark, sf_dir):
+    """First and last page of each chunk of conversations, turns as pages."""
+    spans = _spans(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("start", "page"))).alias("spans"))  # one document's pages
+    chunks = C.packed(_talks(spark, sf_dir), "sentence", 600, 80, "conv_id").join(spans, "conv_id")
+    return chunks.select("conv_id", "chunk_index", "start", "end", C.page_of(F.col("spans"), F.col("start")).alias("page_start"), C.page_of(F.col("spans"), F.col("end") - 1).alias("page_end"))
+
+
 @query()
 def chunk_paragraph(spark, sf_dir):
     return C.packed(_talks(spark, sf_dir), "paragraph", 800, 0, "conv_id")
@@ -60,10 +75,7 @@ FROM (SELECT doc_id, CASE kind WHEN 'excel' THEN 'xlsx' WHEN 'text' THEN 'txt' W
 LEFT JOIN (VALUES ('pdf', 'sentence', 1500, 200), ('xlsx', 'fixed', 2000, 0), ('msg', 'email', 800, 0), ('txt', 'paragraph', 1000, 100)) s(kind, strategy, size, overlap) USING (kind)""")
 def chunk_strategy_resolution(spark, sf_dir):
     kinds = F.element_at(F.array(*[F.lit(x) for x in ("pdf", "excel", "text", "email", "html")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    alias = F.create_map(*[F.lit(x) for x in ("excel", "xlsx", "text", "txt", "doc", "docx", "ppt", "pptx", "email", "msg")])
-    docs = table(spark, sf_dir, "documents").select("doc_id", kinds.alias("kind")).withColumn("kind", F.coalesce(alias[F.col("kind")], "kind"))
-    known = spark.createDataFrame([("pdf", "sentence", 1500, 200), ("xlsx", "fixed", 2000, 0), ("msg", "email", 800, 0), ("txt", "paragraph", 1000, 100)], "kind string, strategy string, size int, overlap int")
-    return docs.join(F.broadcast(known), "kind", "left").select("doc_id", F.coalesce("strategy", F.lit("sentence")).alias("strategy"), F.coalesce("size", F.lit(1024)).alias("size"), F.coalesce("overlap", F.lit(150)).alias("overlap"))
+    return C.strategies(table(spark, sf_dir, "documents").select("doc_id", kinds.alias("kind")), "kind").drop("kind")
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) <= 150 THEN '' WHEN regexp_matches(substr(text, length(text) - 150, 1), '\\s') THEN right(text, 150)
@@ -83,18 +95,15 @@ def _tables(spark, sf_dir):
 
 @query(f"WITH {_MD} SELECT n_regionkey, 1::BIGINT AS block, 1 AS first_line, (len(string_split(text, chr(10))) - 2)::BIGINT AS n_lines FROM md")
 def md_table_blocks(spark, sf_dir):
-    return C.table_lines(_tables(spark, sf_dir), "n_regionkey", "text")
+    return C.tables_of(_tables(spark, sf_dir), "n_regionkey", "text").select("n_regionkey", "block", "first_line", "n_lines")
 
 
 @query(f"""WITH {_MD}, c AS (SELECT n_regionkey, text, unnest(range(0, CASE WHEN length(text) <= 60 THEN 1 ELSE (length(text) - 1) // 60 + 1 END)) AS i FROM md),
-t AS (SELECT *, length('Nations') + 1 AS ts, length('Nations') + 1 + length('| key | name |') + 1 + length('|---|---|') + 1 AS he, length(text) - length('End.') AS te FROM c)
-SELECT n_regionkey, i::INT AS chunk_index, CASE WHEN i * 60 >= he AND i * 60 < te THEN '| key | name |' || chr(10) || '|---|---|' || chr(10) ELSE '' END || regexp_replace(substr(text, (i * 60 + 1)::BIGINT, 60), '^\\s+|\\s+$', '', 'g') AS with_header FROM t""")
+t AS (SELECT *, length('Nations') + 1 AS ts, length('Nations') + 1 + length('| key | name |') + 1 + length('|---|---|') AS he, length(text) - length('End.') AS te FROM c)
+SELECT n_regionkey, i::INT AS chunk_index, CASE WHEN i * 60 > he AND i * 60 < te THEN '| key | name |' || chr(10) || '|---|---|' || chr(10) ELSE '' END || regexp_replace(substr(text, (i * 60 + 1)::BIGINT, 60), '^\\s+|\\s+$', '', 'g') AS with_header FROM t""")
 def md_header_reinjection(spark, sf_dir):
     docs = _tables(spark, sf_dir)
-    head = "| key | name |\n|---|---|"
-    start = F.locate("| key", F.col("text")) - 1
-    tables = docs.select("n_regionkey", start.alias("table_start"), (F.length("text") - F.length(F.lit("End."))).alias("table_end"), (start + len(head) + 1).alias("header_end"), F.lit(head).alias("header"))
-    return C.with_headers(C.fixed(docs, 60, 0, "n_regionkey"), tables, "n_regionkey").select("n_regionkey", "chunk_index", "with_header")
+    return C.with_headers(C.fixed(docs, 60, 0, "n_regionkey"), C.tables_of(docs, "n_regionkey", "text"), "n_regionkey").select("n_regionkey", "chunk_index", "with_header")
 
 
 _SPANS = "SELECT conv_id, turn AS page, (sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn) - length(text) - 2)::BIGINT AS start, (sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn) - 2)::BIGINT AS \"end\" FROM conversations"
