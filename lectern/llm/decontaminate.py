@@ -20,15 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import kept
+from .storage import bit_map, held_bits, kept
 from .textblocks import ALNUM, Block, blocks, lower_ascii
 from .workers import mapped
 
 WINDOW = 13
-#: Bits of a bit map, as a power of two: 512 KB.
-MAP_BITS = 22
-_LONGS = (1 << MAP_BITS) // 64
-
 
 def _words(block: Block) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     low = Block(lower_ascii(block.data), block.at, block.first)
@@ -36,21 +32,6 @@ def _words(block: Block) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.
     return low, starts, ends, first, low.span_hashes(starts, ends)
 
 
-def bit_map(hashes: DataFrame) -> np.ndarray:
-    """Which values the top ``MAP_BITS`` bits of the longs in ``hash`` take. At most ``_LONGS`` rows come to the driver, whatever the table's size."""
-    place = F.shiftrightunsigned("hash", 64 - MAP_BITS)
-    bits = hashes.select(F.shiftrightunsigned(place, 6).alias("long"), F.expr("shiftleft(1L, cast(shiftrightunsigned(hash, {}) & 63 as int))".format(64 - MAP_BITS)).alias("bit"))
-    longs = np.zeros(_LONGS, np.int64)
-    for at, value in bits.groupBy("long").agg(F.bit_or("bit")).collect():
-        longs[at] = value
-    return longs.view(np.uint8)
-
-
-def _maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    place = (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-    return np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-
-
 def _windows(window: int):
     """A row for each distinct window of each item: its words joined by blanks, and their hashes."""
 
@@ -78,7 +59,7 @@ def _counted(bits):
         for batch in batches:
             for block in blocks(batch.column(0)):
                 h = _words(block)[4]
-                values, n = np.unique(h[_maybe(bits.value, h)], return_counts=True)
+                values, n = np.unique(h[held_bits(bits.value, h)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
 
     return run
@@ -98,7 +79,7 @@ def _postings(bits, window: int):
                 heads = np.arange(block.first, block.first + len(block))
                 fill = [pa.nulls(len(block), t) for t in (pa.int64(), pa.int32(), pa.string(), pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(heads)), batch.column(1).take(pa.array(heads)), pa.array(np.diff(first).astype(np.int64)), *fill], names)
-                at = _maybe(bits.value, h)
+                at = held_bits(bits.value, h)
                 doc = np.searchsorted(first, at, "right") - 1
                 for k in range(0, len(at), 10_000):
                     some, own = at[k : k + 10_000], doc[k : k + 10_000]

@@ -9,7 +9,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -41,6 +43,37 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`kept` wrote, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/lectern/" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bits of a bit map, as a power of two: 512 KB.
+MAP_BITS = 22
+_LONGS = (1 << MAP_BITS) // 64
+
+
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """Which values the top ``MAP_BITS`` bits of the longs in ``hash`` take. At most ``_LONGS`` rows come to the driver, whatever the table's size."""
+    place = F.shiftrightunsigned("hash", 64 - MAP_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - MAP_BITS}) & 63 as int))")
+    longs = np.zeros(_LONGS, np.int64)
+    for at, value in hashes.select(F.shiftrightunsigned(place, 6).alias("long"), bit.alias("bit")).groupBy("long").agg(F.bit_or("bit")).collect():
+        longs[at] = value
+    return longs.view(np.uint8)
+
+
+def held_bits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Indices of the hashes that the bit map may hold."""
+    place = (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    return np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
