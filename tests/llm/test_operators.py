@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -244,6 +245,24 @@ def test_quality_votes(spark, odd, docs):
     assert {r["score"] for r in quality_knn.classify(odd, none).collect()} == {0.5}
 
 
+def test_votes_by_brute_force(spark, docs):
+    """Neighbours and scores against whole-number products in Python, with ties, in blocks of any size."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = docs.select("doc_id", "text")
+    model = quality_knn.fit(rows.union(rows.limit(40)), labels)
+    texts = pa.array([r["text"] or "" for r in docs.orderBy("doc_id").limit(60).collect()] * 2 + ["", "x"])
+    x = np.concatenate([quality_knn.features(b) for b in quality_knn.small_blocks(texts)])
+    v = model.project(x)
+    at, cosine = model.neighbours(v)
+    given = model.vectors.astype(int).tolist()
+    for d, own in enumerate(v.astype(int).tolist()):
+        near = sorted((-sum(a * b for a, b in zip(own, g, strict=True)), k) for k, g in enumerate(given))[: quality_knn.NEIGHBOURS]
+        assert at[d].tolist() == [k for _, k in near] and np.allclose(cosine[d], [-n / quality_knn.STEPS**2 for n, _ in near])
+    score = model.score(x)
+    assert score.tolist() == [model.score(x[d : d + 1])[0] for d in range(len(x))] and score[:60].tolist() == score[60:120].tolist()
+    assert score[120] == model.prior
+
+
 def test_quality_rules_edges(odd):
     got = {r["doc_id"]: r for r in quality_rules.judge(odd).collect()}
     assert got[1]["n_words"] == got[2]["n_words"] == 0 and not got[2]["kept"]
