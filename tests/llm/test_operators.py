@@ -1,7 +1,9 @@
 """Each operator against a brute-force version on small tables with odd rows."""
 
 import hashlib
+import itertools
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -11,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lectern.llm import bpe, decontaminate, license_scan, minhash, pii, quality_knn, quality_rules, secret_scan, suffix_dedup, token_counts
+from lectern.llm import bpe, crf, decontaminate, license_scan, minhash, pii, quality_knn, quality_rules, secret_scan, suffix_dedup, textblocks, token_counts
 from lectern.llm.oracles import ORACLES
 from lectern.llm.queries import QUERIES
 from lectern.llm.storage import new_path
@@ -294,3 +296,45 @@ def test_decontamination_of_repetitive_texts(spark):
     assert got[3]["items"] == ["17", "19"] and got[3]["n_hit"] == 7
     assert got[4]["n_hit"] == 2 and got[5]["n_hit"] == 0 and not got[5]["contaminated"]
     assert got[None]["items"] == ["2"] and got[None]["n_hit"] == 3
+
+
+def test_viterbi_by_enumeration():
+    """Sequences of unequal length decoded at once against all ways through each."""
+    rng = np.random.default_rng(4)
+    model = crf.Crf(np.zeros((1, 3), np.float32), rng.normal(size=(3, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32))
+    lengths = np.array([1, 5, 3, 6, 1, 4])
+    scores = rng.normal(size=(int(lengths.sum()), 3)).astype(np.float32)
+    got, at = model.decode(scores, lengths), 0
+    for n in lengths:
+        own = scores[at : at + n]
+        value = lambda way, own=own: model.start[way[0]] + sum(own[k, x] for k, x in enumerate(way)) + sum(model.move[a, b] for a, b in zip(way, way[1:], strict=False))
+        assert tuple(got[at : at + n]) == max(itertools.product(range(3), repeat=int(n)), key=value)
+        at += n
+
+
+def test_field_on_lines_held_out(spark):
+    """Spans that the field finds by itself, and what it adds to the base patterns, on lines of another seed."""
+    model, table = pii.learn(), pii.labelled_table(400, seed=97)
+    found = [set(pii.found_by(model, next(textblocks.blocks(pa.array([t])))).get(0, ())) for t, _ in table]
+    given = [{(len(t[:a].encode()), k, len(t[:b].encode())) for a, k, b in spans} for t, spans in table]
+    right = sum(len(f & g) for f, g in zip(found, given, strict=True))
+    assert right / sum(map(len, found)) > 0.93 and right / sum(map(len, given)) > 0.93
+    rows = {r["doc_id"]: r for r in pii.find(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(table)], "doc_id long, text string"), model).collect()}
+    added = missed = 0
+    for i, (t, spans) in enumerate(table):
+        base = pii.base_spans(t)
+        said = set(rows[i]["spans"].split(",")) - {""}
+        assert {f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base} <= said and rows[i]["n_added"] == len(said) - len(base)
+        new = {(a, k, b) for a, k, b in spans if all(b <= x or a >= y for x, _, y in base)}
+        caught = {(a, k, b) for a, k, b in new if f"{pii.KINDS[k]}:{a}:{b}" in said}
+        added, missed = added + len(caught), missed + len(new) - len(caught)
+    assert added > 100 and added > 9 * missed
+
+
+def test_long_runs_in_linear_time():
+    start = time.process_time()
+    for text in ("1" * 200_000, "1." * 100_000, "+1(" * 60_000, "a@" * 100_000, "1-" * 100_000, "." * 200_000 + "@"):
+        pii.base_spans(text)
+    for text in ("Copyright line\n" * 30_000, "license " * 60_000):
+        license_scan.candidate_blocks(text.encode(), {"copyright"})
+    assert time.process_time() - start < 20
