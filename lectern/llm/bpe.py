@@ -14,7 +14,6 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workers import hold, mapped
+
 #: Words whose encodings a worker keeps; beyond it the store is emptied and filled anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 #: White space of the tokenizer's pattern language.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -263,10 +264,9 @@ def decode(ids: bytes, vocabulary: WordBpe) -> str:
     return " ".join([vocabulary.text_of[t] for t in np.frombuffer(ids, "<u4").tolist() if t < vocabulary.n and vocabulary.text_of[t]])
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str, shows: bool = True) -> WordBpe:
-    """One vocabulary for each worker and path. Without ``shows`` it only encodes."""
-    return WordBpe(path, shows)
+    """One vocabulary for each worker. Without ``shows`` it only encodes."""
+    return hold("bpe", (path, shows), lambda: WordBpe(path, shows))
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
@@ -293,4 +293,4 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 columns += [[np.frombuffer(i, "<u4").astype(np.int32) for i, _ in rows], [d.decode() for _, d in rows]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)]], [key, *[n for n, _ in fields]])
 
-    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(key), F.col(text).cast("string")), run, schema, "bpe")

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .storage import kept
 from .textblocks import NOT_SPACE, Block, blocks, lower_ascii, mix, shingle_hashes
+from .workers import mapped
 
 ROWS = 4
 BITS = 4
@@ -152,7 +153,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     kind = docs.schema[key].dataType.simpleString()
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
-    sketched = kept(rows.mapInArrow(_sketch(k, bands), f"key {kind}, text_hash long, n long, digest binary, bands array<long>, bits array<long>"), "sketches")
+    sketched = kept(mapped(rows, _sketch(k, bands), f"key {kind}, text_hash long, n long, digest binary, bands array<long>, bits array<long>"), "sketches")
     sound = sketched.where("key is not null and digest is not null")
     classes = kept(sound.groupBy("digest").agg(F.min(F.struct("key", "text_hash")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
 
@@ -163,7 +164,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     centres = kept(crowded.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("best")).select("bucket", F.col("best.node").alias("centre")), "centres")
     members = kept(crowded.join(centres, "bucket"), "members")
     involved = members.select(F.col("node").alias("digest")).distinct().join(classes.select("digest", "rep.key", "rep.text_hash"), "digest")
-    sets = kept(rows.join(involved, ["key", "text_hash"]).select(F.col("digest").alias("node"), "text").mapInArrow(_sets(k), "node binary, grams array<long>"), "sets").dropDuplicates(["node"])
+    sets = kept(mapped(rows.join(involved, ["key", "text_hash"]).select(F.col("digest").alias("node"), "text"), _sets(k), "node binary, grams array<long>"), "sets").dropDuplicates(["node"])
     sets = kept(sets, "distinct-sets")
     marks = classes.select(F.col("digest").alias("node"), "n", "bits")
 

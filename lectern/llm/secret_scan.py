@@ -11,7 +11,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .automaton import BREAK, Automaton
 from .textblocks import blocks
+from .workers import hold, mapped
 
 
 @dataclass(frozen=True)
@@ -118,9 +118,12 @@ class Scanner:
                 yield self.spans(block.text(k), list(zip((where[i:j] - at[k]).tolist(), masks[i:j].tolist(), strict=True)))
 
 
-@lru_cache(maxsize=2)
 def scanner(rules: tuple[SecretRule, ...] = RULES) -> Scanner:
     """Compiled once in each worker."""
+    return hold("secrets", rules, lambda: _compiled(rules))
+
+
+def _compiled(rules: tuple[SecretRule, ...]) -> Scanner:
     made = Scanner(rules)
     for machine in [*made.one, *[h for h in made.heads if h]]:
         stuck = np.flatnonzero((machine.table == np.arange(len(machine.table))[:, None]).all(axis=1) & (machine.accepts == 0))
@@ -171,7 +174,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)]], [key, *_NAMES])
 
-    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long")
+    return mapped(docs.select(F.col(key), F.col(text).cast("string")), run, f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long", "secrets")
 
 
 _NAMES = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans"]
@@ -193,4 +196,4 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", rules: t
             new = pa.array([None if v else x for v, x in zip(old.is_null().to_pylist(), out, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([new if k == place else c for k, c in enumerate(batch.columns)], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema, "secrets")
