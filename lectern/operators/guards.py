@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 #: Patterns on text without accents. They tell statements of absence and citations.
 ABSENCE = r"(?i)n(?:e |')(?:contien|mentionn|fourni|permet|cite|precise|indique|detaille|comporte|evoque|abord)\w* (?:pas|aucun)|aucune? (?:information|mention|precision|element)|pas d(?:e |')(?:information|mention|precision)|reste(?:nt)? muet|(?:est|sont) absente?s? d"
+STANCE_ABSENCE = (
+    r"(?i)n(?:e |')(?:contien(?:t|nent)|mentionn(?:e|ent)|fourni(?:t|ssent)|permet(?:tent)?|cite(?:nt)?|precise(?:nt)?|indique(?:nt)?|detaille(?:nt)?|comporte(?:nt)?|evoque(?:nt)?|abord(?:e|ent)) (?:pas|aucun)"
+    r"|n'en parle(?:nt)? pas|(?:n'est|ne sont) pas (?:explicitement )?(?:mentionn|precis|indiqu|detaill|abord)"
+    r"|aucune information|aucune mention|aucune precision|aucun element|pas d'information|pas de mention|pas de precision|reste(?:nt)? muet|est absente? d|sont absentes? d"
+)
 CITATION = r"(?i)\bp(?:age)?s?\.?\s*\d+|source\s*:|\.pdf"
 CITED_SOURCE = r"(?i)\.pdf|tome[_ ]?\d|\[?source\s*:|volet\s+(?:environnement|milieu|paysage)|\bRNT\b|p\.\s*\d+"
 CITATION_ZONE = r"(?i)\[Source:[^\]]*\]|\((?:Source|Tome)[^)]*\)|\b(?:pages?|p\.)\s*\d+(?:\s*(?:-|–|à)\s*\d+)?"
@@ -25,7 +30,7 @@ def evasive(answer: Column) -> Column:
     return F.when(F.coalesce(answer, F.lit("")) == "", True).otherwise(said & weak)
 
 
-def stance(answer: Column, absence: str = ABSENCE) -> Column:
+def stance(answer: Column, absence: str = STANCE_ABSENCE) -> Column:
     """``ESQUIVE``, ``concede`` or ``repond``."""
     plain = T.deaccent(answer)
     at = F.regexp_instr(plain, F.lit(absence))
@@ -33,23 +38,123 @@ def stance(answer: Column, absence: str = ABSENCE) -> Column:
     return F.when(F.coalesce(answer, F.lit("")) == "", "ESQUIVE").when(at == 0, "repond").when(weak, "ESQUIVE").otherwise("concede")
 
 
-def degenerate(answer: Column, least: int = 8, ratio: float = 0.6, repeats: int = 4) -> Column:
-    """Eight long lines or more of which under 60 % differ or one comes four times. Numbering, case and marks don't count."""
+def degenerate(answers: DataFrame, key: str, text: str, least: int = 8, ratio: float = 0.6, repeats: int = 4) -> DataFrame:
+    """``key, degenerate``: eight long lines or more of which under 60 % differ or one comes four times. Numbering, case and marks don't count.
+
+    Lines are counted as rows of their answer, each cleaned once; answers without long lines,
+    null ones too, are not degenerate. Rows of one key are judged together.
+    """
     line = lambda x: F.lower(F.trim(F.regexp_replace(T.deaccent(F.regexp_replace(x, LIST_MARK, "")), r"(?U)\W+", " ")))
-    lines = F.filter(F.transform(F.split(answer, "\n"), line), lambda x: F.length(x) > 20)
-    distinct = F.array_distinct(lines)
-    most = F.array_max(F.transform(distinct, lambda d: F.size(F.filter(lines, lambda x: x == d))))
-    return F.coalesce((F.size(lines) >= least) & ((F.size(distinct) < ratio * F.size(lines)) | (most >= repeats)), F.lit(False))
+    lines = answers.select(key, F.explode_outer(F.split(text, "\n")).alias("_raw")).select(key, line(F.col("_raw")).alias("_line"))
+    long_ = F.col("_line").isNotNull() & (F.length("_line") > 20)
+    counts = lines.select(key, F.when(long_, F.col("_line")).alias("_line")).groupBy(key, "_line").agg(F.count("_line").alias("_n"))
+    found = counts.groupBy(key).agg(F.sum("_n").alias("n"), F.count("_line").alias("distinct"), F.max("_n").alias("most"))
+    return found.select(key, ((F.col("n") >= least) & ((F.col("distinct") < ratio * F.col("n")) | (F.col("most") >= repeats))).alias("degenerate"))
 
 
 def unsupported_numbers(answer: Column, passages: Column, least_digits: int = 2) -> Column:
-    """Numbers of the answer, citations and list numbers aside, that no passage holds in any spelling."""
+    """Numbers of the answer as written, citations and list numbers aside, that no passage holds in any spelling."""
     bare = F.regexp_replace(F.regexp_replace(answer, CITATION_ZONE, " "), LIST_NUMBER, " ")
     there = T.numbers(passages)
-    big = lambda x: x.contains(".") | (F.length(x) >= least_digits)
-    whole = lambda x: F.regexp_replace(x, r"\..*$", "")
-    held = lambda x: F.array_contains(there, x) | F.array_contains(there, whole(x)) | F.array_contains(there, F.replace(x, F.lit("."), F.lit("")))
-    return F.when((answer == "") | (passages == ""), F.array().cast("array<string>")).otherwise(F.filter(T.numbers(bare), lambda x: big(x) & ~held(x)))
+    big = lambda x: x["said"].contains(".") | (F.length(x["whole"]) >= least_digits)
+    held = lambda x: F.array_contains(there, x["said"]) | F.array_contains(there, x["whole"]) | F.array_contains(there, F.replace(x["said"], F.lit("."), F.lit("")))
+    out = F.transform(F.filter(T.numbers_as_written(bare), lambda x: big(x) & ~held(x)), lambda x: x["written"])
+    return F.when((answer == "") | (passages == ""), F.array().cast("array<string>")).otherwise(out)
+
+
+#: How a file or a volume is named before a page, and how far before it.
+CITED_FILE = r"([\w\-()]+(?:[ .][\w\-()]+)*\.pdf)"
+CITED_VOLUME = r"\btome\s*(\d+)"
+NEAR = 300
+
+
+def cited_with_context(answers: DataFrame, key: str, text: str) -> DataFrame:
+    """A row for each page citation: ``key, first, last, before``, the text up to ``NEAR`` characters before it in small letters. A range that runs back or over more than 20 pages counts as its first page."""
+    found = answers.select(key, text, F.explode(F.sequence(F.lit(1), F.size(F.regexp_extract_all(text, F.lit(T.CITED_PAGES), F.lit(0))))).alias("_n")).where("_n > 0")
+    rest = F.split(text, T.CITED_PAGES)
+    cited = F.regexp_extract_all(text, F.lit(T.CITED_PAGES), F.lit(0))
+    before = F.concat(F.get(rest, F.lit(0)), F.array_join(F.transform(F.sequence(F.lit(1), F.col("_n") - 1), lambda k: F.concat(F.get(cited, k - 1), F.get(rest, k))), ""))
+    before = F.when(F.col("_n") == 1, F.get(rest, F.lit(0))).otherwise(before)
+    said = F.get(cited, F.col("_n") - 1)
+    first = F.regexp_extract(said, T.CITED_PAGES, 1).cast("int")
+    last = F.coalesce(F.nullif(F.regexp_extract(said, T.CITED_PAGES, 2), F.lit("")).cast("int"), first)
+    out = found.select(key, F.col("_n").alias("nth"), first.alias("first"), last.alias("last"), F.lower(F.right(before, F.lit(NEAR))).alias("before"))
+    return out.withColumn("last", F.when((F.col("last") < F.col("first")) | (F.col("last") - F.col("first") > 20), F.col("first")).otherwise(F.col("last")))
+
+
+def pages_outside_files(answers: DataFrame, lots: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, outside``: cited pages that the lot lacks, as ``file p. n`` or ``p. n``, each once, in order.
+
+    ``lots``: ``key, file_name, page``. A citation belongs to the file that is named last before
+    it, in full or by its end, or to the volume if one file has its number; the nearer name
+    counts. Without one of the lot it may be on any page of the lot. A range is in if both its
+    ends are. Answers without a lot have nothing outside.
+    """
+    files = lots.select(key, F.lower("file_name").alias("file"), "page").distinct()
+    pages = files.groupBy(key).agg(F.collect_set("page").alias("all"), F.array_sort(F.collect_set("file")).alias("files"))  # of one lot
+    by_file = files.groupBy(key, "file").agg(F.collect_set("page").alias("own"))
+    cited = cited_with_context(answers, key, text).join(pages, key)
+    named = lambda pattern: F.element_at(F.regexp_extract_all("before", F.lit(pattern), F.lit(1)), -1)
+    spot = lambda pattern: F.coalesce(F.length(F.regexp_extract("before", rf"(?s)^.*(?:{pattern})", 0)), F.lit(0))
+    cited = cited.withColumns({"_file": F.trim(F.try_element_at(F.regexp_extract_all("before", F.lit(CITED_FILE), F.lit(1)), F.lit(-1))), "_volume": F.try_element_at(F.regexp_extract_all("before", F.lit(CITED_VOLUME), F.lit(1)), F.lit(-1)), "_at_file": spot(CITED_FILE), "_at_volume": spot(CITED_VOLUME)})
+    # The name's words may begin with words of the sentence: the longest end of it that a file ends with counts.
+    words = F.split("_file", " ")
+    ends = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, k, F.size(words)), " "))
+    fits = F.filter(ends, lambda e: F.exists("files", lambda f: f.endswith(e)))
+    shortest = F.get(F.transform(F.array_sort(F.transform(F.filter("files", lambda f: f.endswith(F.get(fits, F.lit(0)))), lambda f: F.struct(F.length(f).alias("n"), f.alias("f")))), lambda x: x["f"]), F.lit(0))
+    own_file = F.when(F.col("_file").isNotNull(), F.coalesce(F.when(F.size(fits) > 0, shortest), F.element_at(words, -1)))
+    volumes = F.filter("files", lambda f: F.contains(f, F.concat(F.lit("tome_"), F.col("_volume"))) | F.contains(f, F.concat(F.lit("tome "), F.col("_volume"))))
+    by_volume = F.col("_volume").isNotNull() & (F.col("_at_volume") > F.col("_at_file")) & (F.size(volumes) == 1)
+    cited = cited.withColumn("file", F.when(by_volume, F.get(volumes, F.lit(0))).otherwise(own_file))
+    there = F.coalesce("own", "all")
+    judged = cited.join(by_file, [key, "file"], "left").withColumn("_there", there)
+    whole = (F.col("last") != F.col("first")) & F.array_contains("_there", F.col("first")) & F.array_contains("_there", F.col("last"))
+    missing = F.when(whole, F.array().cast("array<int>")).otherwise(F.filter(F.sequence("first", "last"), lambda p: ~F.array_contains("_there", p)))
+    label_ = F.concat(F.coalesce(F.concat("file", F.lit(" ")), F.lit("")), F.lit("p. "))
+    parts = judged.select(key, "nth", F.transform(missing, lambda p: F.concat(label_, p)).alias("labels"))
+    found = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("nth", "labels"))).alias("parts"))  # of one answer
+    said = F.array_distinct(F.flatten(F.transform("parts", lambda x: x["labels"])))
+    return answers.select(key).join(found, key, "left").select(key, F.coalesce(said, F.array().cast("array<string>")).alias("outside"))
+
+
+def concrete(text: Column, lot: Column, least_digits: int = 2) -> Column:
+    """What an answer holds of the lot's data: numbers in one spelling and proper nouns, sorted."""
+    bare = F.regexp_replace(F.regexp_replace(text, CITATION_ZONE, " "), LIST_NUMBER, " ")
+    there = T.numbers(lot)
+    big = lambda x: x["said"].contains(".") | (F.length(x["whole"]) >= least_digits)
+    kept = F.transform(F.filter(T.numbers_as_written(bare), lambda x: big(x) & F.array_contains(there, x["said"])), lambda x: x["said"])
+    return F.array_sort(F.array_distinct(F.concat(kept, T.proper_nouns(F.regexp_replace(text, CITATION_ZONE, " "), lot))))
+
+
+def retention(synthesis: Column, blocks: Column, lot: Column, most_lines: int = 25) -> Column:
+    """How much of the blocks' data a synthesis keeps: ``rate, missing, lines`` (lines of the blocks that carry what is missing, at most ``most_lines``)."""
+    wanted, bare = concrete(blocks, lot), F.regexp_replace(synthesis, CITATION_ZONE, " ")
+    has = lambda v: F.array_contains(concrete(synthesis, lot), v) | (v.rlike("^[0-9]") & (F.contains(bare, v) | F.contains(bare, F.replace(v, F.lit("."), F.lit(",")))))
+    missing = F.filter(wanted, lambda v: ~has(v))
+    rate = F.when(F.size(wanted) == 0, F.lit(1.0)).otherwise(1 - F.try_divide(F.size(missing), F.size(wanted)))
+    lines = F.filter(F.split(blocks, "\n"), lambda x: x.rlike(r"\S") & ~x.rlike(r"^\s*#{1,6}\s") & F.arrays_overlap(concrete(x, lot), missing))
+    clean = F.array_distinct(F.transform(lines, lambda x: F.trim(F.replace(F.regexp_replace(x, LIST_MARK, ""), F.lit("**"), F.lit("")))))
+    return F.struct(F.round(rate, 4).alias("rate"), missing.alias("missing"), F.slice(F.filter(clean, lambda x: x != ""), F.lit(1), F.lit(most_lines)).alias("lines"))
+
+
+def completed(synthesis: Column, kept: Column, threshold: float = 0.6) -> Column:
+    """A synthesis that keeps too little gets the lines it lacks put behind it. ``kept``: :func:`retention`."""
+    return F.when((kept["rate"] < threshold) & (F.size(kept["lines"]) > 0), F.concat(synthesis, F.lit("\n\n- "), F.array_join(kept["lines"], "\n- "))).otherwise(synthesis)
+
+
+def block_flags(answer: Column, passages: Column, truncated_: Column, degenerate_: Column) -> Column:
+    """What is wrong with an answer block and what to do: ``evasive, retry`` (``deep``, ``again`` or ``none``), ``numbers``."""
+    denies = evasive(answer)
+    retry = F.when(denies, F.lit("deep")).when(truncated_ | degenerate_, F.lit("again")).otherwise(F.lit("none"))
+    return F.struct(denies.alias("evasive"), retry.alias("retry"), unsupported_numbers(answer, passages).alias("numbers"))
+
+
+def routed(rules: list[tuple[str, Column]], default: str) -> Column:
+    """The name of the first rule that holds."""
+    out = None
+    for name, test in rules:
+        out = F.when(test, F.lit(name)) if out is None else out.when(test, F.lit(name))
+    return F.lit(default) if out is None else out.otherwise(F.lit(default))
 
 
 def unsupported_pages(answer: Column, pages: Column) -> Column:

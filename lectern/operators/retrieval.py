@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from .shared import settled
+
 
 def facet_filter(df: DataFrame, facets: dict[str, object]) -> DataFrame:
     """Scalar facets are equalities, lists are memberships, empty ones are skipped; all must hold. Apply it before any top-k."""
@@ -18,39 +26,207 @@ def facet_filter(df: DataFrame, facets: dict[str, object]) -> DataFrame:
 
 
 def terms(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
+    """Words of letters and digits of any script, in small letters without accents."""
+    return F.array_remove(F.split(T.deaccent(F.lower(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}]+"), "")
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, term, tf``."""
-    return docs.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+#: French articles and pronouns before an apostrophe, and words too frequent to search for (without accents).
+ELISIONS = "l m t qu n s j d c jusqu quoiqu lorsqu puisqu".split()
+FRENCH_STOP_WORDS = (
+    "a ai aient ainsi apres as au aucun aucune aujourd aussi autre autres aux avaient avait avant avec avez avoir avons ayant bien car ce ceci cela celle celles celui cependant ces cet cette ceux chaque ci comme comment "
+    "d dans de depuis des deux doit donc dont du elle elles en encore entre es est et etaient etait etant ete etes etre eu eux fait faites fois font hors ici il ils je juste l la laquelle le lequel les lesquels leur leurs lui "
+    "ma mais me meme memes mes moi moins mon ne ni nos notre nous on ont ou par parce pas peu peut plus pour pourquoi quand que quel quelle quelles quels qui sa sans se sera ses si sien son sont sous soyez sur ta tandis tellement "
+    "tels tes toi ton tous tout toute toutes tres tu un une va vers voici voila vont vos votre vous vu y"
+).split()
 
 
-def bm25(docs: DataFrame, questions: DataFrame, key: str = "doc_id", text: str = "text", qid: str = "item_id", question: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``qid, key, score`` for every document that shares a term with a question.
+def stemmed(word: Column) -> Column:
+    """A light French stem: no plural, no infinitive or feminine ending, no doubled last letter. Words under six letters stay."""
+    ends = F.regexp_replace(word, "e?e?r?s?$", "")
+    once = F.when(F.right(ends, F.lit(1)) == F.substring(ends, -2, 1), F.substring(ends, F.lit(1), F.length(ends) - 1)).otherwise(ends)
+    plural = F.when(word.endswith("aux"), F.regexp_replace(word, "aux$", "al")).otherwise(F.regexp_replace(word, "x$", ""))
+    return F.when(F.length(word) < 6, word).when(word.endswith("x"), plural).otherwise(once)
+
+
+def french_terms(text: Column) -> Column:
+    """French words for searching: elided articles and frequent words left out, stems of the others."""
+    bare = F.regexp_replace(T.deaccent(F.lower(F.coalesce(text, F.lit("")))), rf"(^|[^\p{{L}}\p{{N}}])({'|'.join(ELISIONS)})'", "$1")
+    words = F.array_remove(F.split(bare, r"[^\p{L}\p{N}]+"), "")
+    return F.transform(F.filter(words, lambda w: ~w.isin(*FRENCH_STOP_WORDS)), stemmed)
+
+
+def path_terms(path: Column) -> Column:
+    """A path and the paths above it."""
+    return T.path_prefixes(F.coalesce(path, F.lit("")))
+
 
-    Statistics cover all documents. Only postings of asked terms are counted and shuffled: the
-    questions' distinct terms filter them right after the split.
+def postings(docs: DataFrame, fields: dict[str, Column], asked: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One kept table of the postings that questions ask for: ``field, key, term, tf, dl``.
+
+    ``fields`` are arrays of terms, ``asked`` has distinct ``field, term``. Every text is split
+    once. For each field with terms, a posting of the term '' stands for the document itself:
+    from these come the numbers of documents and mean lengths. Postings of terms that nobody
+    asks for go before anything is shuffled.
     """
-    lengths = docs.select(key, F.size(terms(F.col(text))).cast("double").alias("dl"))
-    stats = lengths.where("dl > 0").agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    asked = questions.select(qid, F.explode(F.array_distinct(terms(F.col(question)))).alias("term"))
-    found = docs.select(key, F.explode(terms(F.col(text))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    df = found.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), t.alias("terms")) for name, t in fields.items()]))
+    split = docs.select(key, each.alias("f")).select(key, "f.field", F.col("f.terms").alias("terms"), F.size("f.terms").cast("double").alias("dl")).where("dl > 0")
+    rows = split.select(key, "field", "dl", F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))
+    wanted = asked.select("field", "term").union(asked.select("field", F.lit("").alias("term"))).distinct()
+    return settled(rows.join(wanted, ["field", "term"], "left_semi").groupBy("field", key, "term", "dl").agg(F.count(F.lit(1)).cast("double").alias("tf")))
+
+
+def bm25_weights(kept: DataFrame, key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``field, key, term, w`` from kept postings, each weighed where it lies: the statistics of terms are joined to them."""
+    stats = kept.where("term = ''").groupBy("field").agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    found = kept.where("term <> ''")
+    df = found.groupBy("field", "term").agg(F.count(F.lit(1)).cast("double").alias("df")).join(stats, "field")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = found.join(lengths, key).join(df.crossJoin(F.broadcast(stats)), "term").select(key, "term", (idf * weight).alias("w"))
-    return asked.join(weighted, "term").groupBy(qid, key).agg(F.sum("w").alias("score"))
-
-
-def dense(vectors: DataFrame, questions: DataFrame, key: str = "vec_id", qid: str = "qid", vector: str = "embedding") -> DataFrame:
-    """Cosines of every vector with every question vector. Questions are the stated, small side and are sent to all."""
-    q = questions.select(qid, F.transform(vector, lambda x: x.cast("double")).alias("_q"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    v = vectors.select(key, F.transform(vector, lambda x: x.cast("double")).alias("_v"))
-    v = v.withColumn("_n", F.sqrt(dot(F.col("_v"), F.col("_v"))))
-    q = q.withColumn("_m", F.sqrt(dot(F.col("_q"), F.col("_q"))))
-    return v.join(F.broadcast(q)).select(qid, key, (dot(F.col("_v"), F.col("_q")) / (F.col("_n") * F.col("_m"))).alias("score"))
+    return found.join(df, ["field", "term"]).select("field", key, "term", (idf * weight).alias("w"))
+
+
+def bm25(docs: DataFrame, questions: DataFrame, key: str = "doc_id", text: str = "text", qid: str = "item_id", question: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``qid, key, score`` for every document that shares a term with a question. Statistics cover all documents."""
+    asked = questions.select(qid, F.explode(F.array_distinct(terms(F.col(question)))).alias("term"))
+    kept = postings(docs, {"text": terms(F.col(text))}, asked.select(F.lit("text").alias("field"), "term").distinct(), key)
+    return asked.join(bm25_weights(kept, key, k1, b), "term").groupBy(qid, key).agg(F.sum("w").alias("score"))
+
+
+@dataclass(frozen=True)
+class Field:
+    """A searched field: what its terms are and how much its score counts."""
+
+    column: str
+    boost: float
+    analysis: Callable[[Column], Column] = french_terms
+
+
+#: The fields of an index and their boosts.
+FIELDS = (Field("text", 3.0), Field("text_with_context", 2.0), Field("file_name", 2.0, terms), Field("file_path", 1.5, path_terms), Field("title", 2.0), Field("author", 1.0, terms))
+
+
+def expanded(asked: DataFrame, vocabulary: DataFrame, most: int = 10) -> DataFrame:
+    """``asked`` (``field, term`` and more) with ``found``, ``distance`` and ``share``: at most ``most`` terms of the field's vocabulary with the same first two letters at an edit distance that the term's length allows, itself among them. Terms further off count for less."""
+    allowed = F.when(F.length("term") <= 2, 0).when(F.length("term") <= 5, 1).otherwise(2)
+    own = asked.select("field", "term").distinct()
+    there = vocabulary.select("field", F.col("term").alias("found"), F.substring("term", 1, 2).alias("_head")).distinct()
+    near = own.withColumn("_head", F.substring("term", 1, 2)).join(there, ["field", "_head"]).where(F.abs(F.length("term") - F.length("found")) <= 2)
+    near = near.withColumn("distance", F.levenshtein("term", "found")).where(F.col("distance") <= allowed)
+    w = Window.partitionBy("field", "term").orderBy("distance", "found")  # terms at so small a distance
+    near = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    share = 1 - F.col("distance") / F.least(F.length("term"), F.length("found"))
+    return asked.join(near.select("field", "term", "found", "distance", share.alias("share")), ["field", "term"])
+
+
+def search(docs: DataFrame, questions: DataFrame, fields: tuple[Field, ...] = FIELDS, key: str = "doc_id", qid: str = "item_id", question: str = "text", fuzzy: bool = False) -> DataFrame:
+    """``qid, key, score`` of the best field: each field's sum over the question's terms, with its own statistics, times its boost. ``fuzzy`` adds near terms of each field's vocabulary."""
+    asked = None
+    for f in fields:
+        part = questions.select(qid, F.lit(f.column).alias("field"), F.explode(F.array_distinct(f.analysis(F.col(question)))).alias("term"))
+        asked = part if asked is None else asked.unionByName(part)
+    arrays = {f.column: f.analysis(F.col(f.column)) for f in fields}
+    if fuzzy:
+        each = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), F.array_distinct(t).alias("terms")) for name, t in arrays.items()]))
+        vocabulary = docs.select(each.alias("f")).select("f.field", F.explode("f.terms").alias("term")).distinct()
+        asked = settled(expanded(asked, vocabulary))
+    else:
+        asked = asked.withColumns({"found": F.col("term"), "share": F.lit(1.0)})
+    weights = bm25_weights(postings(docs, arrays, asked.select("field", F.col("found").alias("term")).distinct(), key), key)
+    scored = asked.select(qid, "field", F.col("found").alias("term"), "share").join(weights, ["field", "term"]).groupBy(qid, key, "field").agg(F.sum(F.col("share") * F.col("w")).alias("sum"))
+    boost = F.create_map(*[x for f in fields for x in (F.lit(f.column), F.lit(f.boost))])
+    return scored.groupBy(qid, key).agg(F.max(boost[F.col("field")] * F.col("sum")).alias("score"))
+
+
+#: Vectors and questions of one block.
+VECTOR_BLOCK, QUESTION_BLOCK = 4096, 512
+
+
+def _packed(rows: DataFrame, id_: str, vector: str, size: int, names: tuple[str, str]) -> DataFrame:
+    """Blocks of unit vectors: ids and, row by row, the coordinates as doubles. Vectors without length stay zero."""
+    kind = rows.schema[id_].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                part = batch.slice(at, size)
+                x = np.array(part.column(1).to_pylist(), np.float64)
+                norm = np.sqrt((x * x).sum(1, keepdims=True))
+                x = x / np.where(norm > 0, norm, 1)
+                ids = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes()], pa.binary())], list(names))
+
+    return rows.select(id_, F.col(vector).cast("array<double>").alias(vector)).where(F.col(vector).isNotNull()).mapInArrow(run, f"{names[0]} array<{kind}>, {names[1]} binary")
+
+
+def dense(vectors: DataFrame, questions: DataFrame, k: int, key: str = "vec_id", qid: str = "qid", vector: str = "embedding", digits: int = 6) -> DataFrame:
+    """``qid, key, score``: of every pair of a block of vectors and a block of questions the ``k`` nearest of each question, by rounded cosine, then by key. :func:`top` merges them.
+
+    Blocks have a fixed size; Spark sends the questions' blocks to all only if they are small.
+    A vector without length has cosine 0 with any other; null vectors are in no list. Keys are
+    integers.
+    """
+    key_kind, qid_kind = vectors.schema[key].dataType.simpleString(), questions.schema[qid].dataType.simpleString()
+    pairs = _packed(vectors, key, vector, VECTOR_BLOCK, ("keys", "points")).crossJoin(_packed(questions, qid, vector, QUESTION_BLOCK, ("qids", "aims")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                keys, qids = (np.asarray(batch.column(c)[row].values) for c in (0, 2))
+                points, aims = (np.frombuffer(batch.column(c)[row].as_py(), np.float64).reshape(len(ids), -1) for c, ids in ((1, keys), (3, qids)))
+                score = np.rint(aims @ points.T * 10**digits).astype(np.int64)
+                most = min(k, len(keys))
+                # Distinct whole numbers: the score, then the key's place from the end.
+                place = np.empty(len(keys), np.int64)
+                place[np.argsort(keys, kind="stable")] = np.arange(len(keys))[::-1]
+                at = np.argpartition(-(score * len(keys) + place), most - 1, axis=1)[:, :most]
+                best = np.take_along_axis(score, at, 1) / 10**digits
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, most)), pa.array(keys[at.ravel()]), pa.array(best.ravel())], [qid, key, "score"])
+
+    return pairs.mapInArrow(run, f"{qid} {qid_kind}, {key} {key_kind}, score double")
+
+
+def hashed_vectors(docs: DataFrame, key: str, text: str, dimensions: int = 64) -> DataFrame:
+    """A stand-in for an encoder: trigrams of letters hashed into ``dimensions`` signed buckets, at unit length. A text without trigrams has the zero vector."""
+    said = docs.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("_t"))
+    at = F.when(F.length("_t") >= 3, F.sequence(F.lit(1), F.length("_t") - 2))
+    hashed = said.select(key, F.explode_outer(F.transform(at, lambda k: F.crc32(F.substring(F.col("_t"), k, F.lit(3)).cast("binary")))).alias("_h"))
+    summed = hashed.groupBy(key, (F.col("_h") % dimensions).alias("_bucket")).agg(F.sum(F.when(F.floor(F.col("_h") / dimensions) % 2 == 0, 1.0).otherwise(-1.0)).alias("_v"))
+    real = F.col("_bucket").isNotNull()
+    wide = summed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(real, F.struct("_bucket", "_v")))).alias("_m"), F.sqrt(F.sum(F.when(real, F.col("_v") * F.col("_v")))).alias("_n"))  # ``dimensions`` entries at most
+    return wide.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.coalesce(F.try_divide(F.try_element_at("_m", k.cast("long")), F.col("_n")), F.lit(0.0))).alias("embedding"))
+
+
+@dataclass(frozen=True)
+class Profile:
+    """How many rows each step of a search takes. ``with_`` gives a profile with other numbers in place of its own."""
+
+    lexical: int = 40
+    dense: int = 40
+    search: int = 100
+    fusion: int = 30
+    rerank: int = 15
+
+    def with_(self, **numbers: int) -> Profile:
+        return replace(self, **numbers)
+
+
+#: The pools of a deep search.
+DEEP = Profile(lexical=80, dense=80, search=200, fusion=60, rerank=20)
+
+
+def funnel(fused: DataFrame, scores: DataFrame, qid: str, key: str, profile: Profile, keep: Column | None = None) -> DataFrame:
+    """From a fused list to the answer's passages: the first ``fusion`` of ``search``, reranked by ``scores`` (``qid, key, score``; equal ones in the order they came), those that ``keep`` holds for, the first ``rerank``. ``place`` numbers them."""
+    rows = fused.where(F.col("rank") <= min(profile.search, profile.fusion)).join(scores, [qid, key], "left")
+    w = Window.partitionBy(qid).orderBy(F.desc_nulls_last("score"), "rank")  # ``fusion`` rows of a question
+    ranked = rows.withColumn("_at", F.row_number().over(w))
+    ranked = ranked if keep is None else ranked.where(keep)
+    return ranked.withColumn("place", F.row_number().over(Window.partitionBy(qid).orderBy("_at"))).where(F.col("place") <= profile.rerank).drop("_at")
+
+
+def overlap(question: Column, text: Column, digits: int = 6) -> Column:
+    """A stand-in for a reranking model: the share of the question's distinct terms that the text has."""
+    asked = F.array_distinct(terms(question))
+    return F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(asked, terms(text))), F.size(asked)), F.lit(0.0)), digits)
 
 
 def top(scored: DataFrame, qid: str, key: str, k: int, digits: int = 6) -> DataFrame:

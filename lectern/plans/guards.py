@@ -19,16 +19,22 @@ def _answers(spark, sf_dir):
     return table(spark, sf_dir, "conversations").withColumn("text", said)
 
 
-_AT = "CASE WHEN regexp_matches(p, '{0}') THEN length(regexp_extract(p, '(?s)^(.*?)(?:{0})', 1)) ELSE -1 END".format(G.ABSENCE.replace("(?i)", "").replace("'", "''")).replace("regexp_matches(p, '", "regexp_matches(p, '(?i)").replace("'(?s)^", "'(?is)^")
-_PLAIN = f"(SELECT conv_id, turn, p, {_AT} AS at_ FROM (SELECT conv_id, turn, strip_accents(text) AS p FROM {_ANSWERS}))"
+def _first(pattern: str) -> str:
+    """SQL for the place of the first match in ``p``, from 0, or -1."""
+    bare = pattern.replace("(?i)", "").replace("'", "''")
+    return f"CASE WHEN regexp_matches(p, '(?i){bare}') THEN length(regexp_extract(p, '(?is)^(.*?)(?:{bare})', 1)) ELSE -1 END"
 
 
-@query(f"SELECT conv_id, turn, p = '' OR at_ >= 0 AND (at_ < 0.15 * length(p) OR length(p) < 700 OR NOT regexp_matches(p, '{G.CITATION}')) AS evasive FROM {_PLAIN}")
+def _plain(pattern: str) -> str:
+    return f"(SELECT conv_id, turn, p, {_first(pattern)} AS at_ FROM (SELECT conv_id, turn, strip_accents(text) AS p FROM {_ANSWERS}))"
+
+
+@query(f"SELECT conv_id, turn, p = '' OR at_ >= 0 AND (at_ < 0.15 * length(p) OR length(p) < 700 OR NOT regexp_matches(p, '{G.CITATION}')) AS evasive FROM {_plain(G.ABSENCE)}")
 def evasive_answers(spark, sf_dir):
     return _answers(spark, sf_dir).select("conv_id", "turn", G.evasive(F.col("text")).alias("evasive"))
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN p = '' THEN 'ESQUIVE' WHEN at_ < 0 THEN 'repond' WHEN at_ / length(p) < 0.15 OR length(p) < 700 OR NOT regexp_matches(p, '{G.CITED_SOURCE}') THEN 'ESQUIVE' ELSE 'concede' END AS stance FROM {_PLAIN}")
+@query(f"SELECT conv_id, turn, CASE WHEN p = '' THEN 'ESQUIVE' WHEN at_ < 0 THEN 'repond' WHEN at_ / length(p) < 0.15 OR length(p) < 700 OR NOT regexp_matches(p, '{G.CITED_SOURCE}') THEN 'ESQUIVE' ELSE 'concede' END AS stance FROM {_plain(G.STANCE_ABSENCE)}")
 def evasion_three_state(spark, sf_dir):
     return _answers(spark, sf_dir).select("conv_id", "turn", G.stance(F.col("text")).alias("stance"))
 
@@ -37,28 +43,12 @@ def evasion_three_state(spark, sf_dir):
 c AS (SELECT doc_id, l, count(*) AS n FROM l WHERE length(l) > 20 GROUP BY ALL), d AS (SELECT doc_id, sum(n) AS n, count(*) AS distinct_n, max(n) AS most FROM c GROUP BY doc_id)
 SELECT doc_id, coalesce(d.n >= 8 AND (d.distinct_n < 0.6 * d.n OR d.most >= 4), false) AS degenerate FROM documents LEFT JOIN d USING (doc_id)""")
 def degenerate_answers(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", G.degenerate(F.col("text")).alias("degenerate"))
-
-
-@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '' ELSE '4567' END AS outside FROM conversations WHERE NOT regexp_matches(text, '\\d')""")
-def numbers_outside(spark, sf_dir):
-    """Answers with one number from the passage and, at odd turns, one of their own."""
-    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"\d"))
-    answer = F.concat("text", F.lit("\n1. 2 830 m (page 99) et 0,80"), F.when(F.col("turn") % 2 == 1, F.lit(", 4567 ha")).otherwise(F.lit("")))
-    passage = F.concat("text", F.lit(" 2830 et 0.8"))
-    return rows.select("conv_id", "turn", F.array_join(G.unsupported_numbers(answer, passage), ",").alias("outside"))
-
-
-@query("SELECT conv_id, turn, CASE WHEN turn > 6 THEN turn::VARCHAR ELSE '' END AS outside FROM conversations WHERE turn BETWEEN 1 AND 40 AND NOT regexp_matches(text, '(?i)\\bp(ages?|\\.)\\s*\\d')")
-def pages_outside(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where(F.col("turn").between(1, 40) & ~F.col("text").rlike(r"(?i)\bp(ages?|\.)\s*\d"))
-    answer = F.concat("text", F.lit(" (page "), "turn", F.lit(")"))
-    return rows.select("conv_id", "turn", F.array_join(G.unsupported_pages(answer, F.sequence(F.lit(1), F.lit(6))), ",").alias("outside"))
+    return G.degenerate(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query()
-def numbers_outside_all(spark, sf_dir):
-    """``numbers_outside`` over every turn, with the numbers of its own text, which every third conversation's passage lacks; checked by a unit test."""
+def numbers_outside(spark, sf_dir):
+    """Numbers of every turn, with some of no passage, that the passage lacks, which in every third conversation has none of the turn's own; checked row by row by a unit test, as RE2 has no look-behind."""
     text = F.coalesce("text", F.lit(""))
     answer = F.concat(text, F.lit("\n1. 2 830 m (page 99) et 0,80"), F.when(F.col("turn") % 2 == 1, F.lit(", 4567 ha")).otherwise(F.lit("")))
     passage = F.concat(F.when(F.col("conv_id") % 3 == 0, F.lit("")).otherwise(text), F.lit(" 2830 et 0.8"))
@@ -66,12 +56,48 @@ def numbers_outside_all(spark, sf_dir):
 
 
 @query()
-def pages_outside_all(spark, sf_dir):
-    """``pages_outside`` over every turn, with the pages that its own text cites; checked by a unit test."""
+def pages_outside(spark, sf_dir):
+    """Cited pages of every turn outside the pages 1 to 6; checked row by row by a unit test."""
     answer = F.concat(F.coalesce("text", F.lit("")), F.lit(" (page "), "turn", F.lit(")"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(G.unsupported_pages(answer, F.sequence(F.lit(1), F.lit(6))), ",").alias("outside"))
 
 
+@query("""WITH b AS (SELECT conv_id, turn, turn % 12 AS page, ['etude.pdf', 'rnt.pdf'][(conv_id % 2 + 1)::INT] AS cited, CASE WHEN conv_id % 2 = 0 THEN 5 ELSE 8 END AS last FROM conversations)
+SELECT conv_id, turn, CASE WHEN page BETWEEN 1 AND last THEN '' ELSE cited || ' p. ' || page END AS outside FROM b""")
+def pages_outside_files(spark, sf_dir):
+    """Every turn cites a page of one of its lot's two files, which have pages 1 to 5 and 1 to 8."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct("conv_id", "turn").alias("k"))
+    name = F.when(F.col("conv_id") % 2 == 0, F.lit("etude.pdf")).otherwise(F.lit("rnt.pdf"))
+    answers = turns.select("k", F.concat(F.lit("Le dossier Etude.pdf et d'autres. Selon "), name, F.lit(", page "), F.col("turn") % 12, F.lit(", c'est ainsi.")).alias("text"))
+    pages = F.array(F.struct(F.lit("Etude.pdf").alias("file_name"), F.lit(5).alias("n")), F.struct(F.lit("rnt.pdf").alias("file_name"), F.lit(8).alias("n")))
+    lots = turns.select("k", F.explode(pages).alias("f")).select("k", "f.file_name", F.explode(F.sequence(F.lit(1), F.col("f.n"))).alias("page"))
+    return G.pages_outside_files(answers, lots, "k", "text").select("k.conv_id", "k.turn", F.array_join("outside", ",").alias("outside"))
+
+
+@query("""SELECT conv_id, turn, round(CASE WHEN turn % 3 = 0 THEN 1.0 WHEN turn % 3 = 1 THEN 0.5 ELSE 0.0 END, 4)::DOUBLE AS rate, CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN '0.75' ELSE '0.75,12345' END AS missing,
+CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN 'hauteur 0,750 m selon page 77' ELSE 'surface 12 345 ha|hauteur 0,750 m selon page 77' END AS lines FROM conversations""")
+def data_retention(spark, sf_dir):
+    """Two numbers of the blocks: a third of the syntheses keeps both, a third one, a third none."""
+    blocks = "# Bloc 1\n- surface 12 345 ha\n- hauteur **0,750 m** selon page 77"
+    blocks, lot = F.lit(blocks), F.lit("La surface est de 12345 ha, la hauteur de 0.75 m.")
+    said = F.element_at(F.array(F.lit("12 345 ha et 0,75 m"), F.lit("12345 ha."), F.lit("Rien.")), (F.col("turn") % 3 + 1).cast("int"))
+    r = table(spark, sf_dir, "conversations").select("conv_id", "turn", G.retention(said, blocks, lot).alias("r"))
+    return r.select("conv_id", "turn", "r.rate", F.array_join("r.missing", ",").alias("missing"), F.array_join("r.lines", "|").alias("lines"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN p = '' OR at_ >= 0 AND (at_ < 0.15 * length(p) OR length(p) < 700 OR NOT regexp_matches(p, '{1}')) THEN 'deep' WHEN turn % 3 = 0 THEN 'again' ELSE 'none' END AS retry FROM {0}".format(_plain(G.ABSENCE), G.CITATION))
+def block_with_guards(spark, sf_dir):
+    rows = _answers(spark, sf_dir)
+    return rows.select("conv_id", "turn", G.block_flags(F.col("text"), F.lit("2830"), F.col("turn") % 3 == 0, F.lit(False))["retry"].alias("retry"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'internal' WHEN length(text) > 200 AND role = 'assistant' THEN 'long' WHEN turn % 2 = 0 THEN 'even' ELSE 'other' END AS route FROM conversations")
+def rule_router(spark, sf_dir):
+    """The first rule that holds names the route."""
+    rules = [("internal", F.col("role") == "system"), ("long", (F.length("text") > 200) & (F.col("role") == "assistant")), ("even", F.col("turn") % 2 == 0)]
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", G.routed(rules, "other").alias("route"))
+
+
 _BLOCKS = "(SELECT conv_id, turn, turn % 2 = 0 AS evasive, turn % 3 = 0 AS truncated, (turn * 7 % 5)::VARCHAR AS page FROM conversations)"
 
 

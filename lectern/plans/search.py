@@ -9,15 +9,23 @@ from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import retrieval as R
 from .registry import query, table
+from .text import files
 
-_TERMS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+_TERMS = "list_filter(regexp_split_to_array(replace(strip_accents(lower({})), '’', ''''), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_STOP = ", ".join(f"'{w}'" for w in R.FRENCH_STOP_WORDS)
+_END = "regexp_replace(x, 'e?e?r?s?$', '')"
+_STEM = f"CASE WHEN length(x) < 6 THEN x WHEN ends_with(x, 'aux') THEN regexp_replace(x, 'aux$', 'al') WHEN ends_with(x, 'x') THEN left(x, length(x) - 1) WHEN length({_END}) > 1 AND right({_END}, 1) = substr({_END}, length({_END}) - 1, 1) THEN left({_END}, length({_END}) - 1) ELSE {_END} END"
+_PLAIN = "replace(replace(strip_accents(lower({})), '’', ''''), '‘', '''')"
+_BARE = f"regexp_replace({_PLAIN}, '(^|[^\\p{{{{L}}}}\\p{{{{N}}}}])({'|'.join(R.ELISIONS)})''', '\\1', 'g')"
+_FRENCH = f"list_transform(list_filter(regexp_split_to_array({_BARE}, '[^\\p{{{{L}}}}\\p{{{{N}}}}]+'), lambda x: x <> '' AND x NOT IN ({_STOP})), lambda x: {_STEM})"
 
 
-def _bm25(where: str = "", name: str = "scored", docs: str = "documents") -> str:
-    return f"""d_{name} AS (SELECT doc_id, {_TERMS.format('text')} AS w FROM {docs} {where}), s_{name} AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS a FROM d_{name} WHERE len(w) > 0),
-q_{name} AS (SELECT item_id, unnest(list_distinct({_TERMS.format('text')})) AS t FROM benchmark), tf_{name} AS (SELECT doc_id, t, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d_{name}) WHERE t IN (SELECT t FROM q_{name}) GROUP BY ALL),
+def _bm25(where: str = "", name: str = "scored", docs: str = "documents", terms: str = _TERMS, asked: str = "") -> str:
+    """SQL for ``name`` (item_id, doc_id, score). ``asked`` replaces the question's terms by rows of item_id, t and share."""
+    return f"""d_{name} AS MATERIALIZED (SELECT doc_id, {terms.format('text')} AS w FROM {docs} {where}), s_{name} AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS a FROM d_{name} WHERE len(w) > 0),
+q_{name} AS ({asked or f"SELECT item_id, unnest(list_distinct({terms.format('text')})) AS t, 1.0::DOUBLE AS share FROM benchmark"}), tf_{name} AS (SELECT doc_id, t, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d_{name}) WHERE t IN (SELECT t FROM q_{name}) GROUP BY ALL),
 df_{name} AS (SELECT t, count(*)::DOUBLE AS df FROM tf_{name} GROUP BY t),
-{name} AS (SELECT q.item_id, tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * len(w) / a))), 6) AS score FROM q_{name} q JOIN tf_{name} tf USING (t) JOIN df_{name} USING (t) JOIN d_{name} d ON d.doc_id = tf.doc_id, s_{name} GROUP BY ALL)"""
+{name} AS (SELECT q.item_id, tf.doc_id, round(sum(share * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * len(w) / a))), 6) AS score FROM q_{name} q JOIN tf_{name} tf USING (t) JOIN df_{name} USING (t) JOIN d_{name} d ON d.doc_id = tf.doc_id, s_{name} GROUP BY ALL)"""
 
 
 def _ranked(name: str, qid: str, key: str, k: int) -> str:
@@ -46,33 +54,61 @@ def bm25_filtered(spark, sf_dir):
     return R.top(R.bm25(R.facet_filter(table(spark, sf_dir, "documents"), {"lang": "fr"}), _questions(spark, sf_dir)), "item_id", "doc_id", 40)
 
 
-_FIELDS = "(SELECT doc_id, 'doc ' || doc_id || ' ' || source || ' ' || lang AS text FROM documents)"
+_NAMES = "(SELECT doc_id, 'doc_' || doc_id || '.txt' AS text FROM documents)"
+_CONTEXTS = "(SELECT doc_id, '[Fichier: doc_' || doc_id || '.txt | Chemin: ' || source || '/' || lang || ' | Type: TXT]' || chr(10) || text AS text FROM documents)"
+_TITLES = "(SELECT doc_id, source || ' ' || lang AS text FROM documents)"
+_BEST = f"""WITH {_bm25(name='body', terms=_FRENCH)}, {_bm25(name='context', docs=_CONTEXTS, terms=_FRENCH)}, {_bm25(name='name', docs=_NAMES)}, {_bm25(name='title', docs=_TITLES, terms=_FRENCH)},
+scored AS (SELECT item_id, doc_id, round(max(score), 4) AS score FROM (SELECT item_id, doc_id, 3 * score AS score FROM body UNION ALL SELECT item_id, doc_id, 2 * score FROM context UNION ALL SELECT item_id, doc_id, 2 * score FROM name UNION ALL SELECT item_id, doc_id, 2 * score FROM title) GROUP BY ALL)"""
 
 
-@query(f"""WITH {_bm25(name='body')}, {_bm25(name='name', docs=_FIELDS)}, scored AS (SELECT item_id, doc_id, max(score) AS score FROM (SELECT item_id, doc_id, round(3 * score, 6) AS score FROM body UNION ALL SELECT item_id, doc_id, round(2 * score, 6) FROM name) GROUP BY ALL),
-{_ranked('scored', 'item_id', 'doc_id', 40)} SELECT item_id, doc_id, score, rank::INT AS rank FROM r_scored""")
+def _index(spark, sf_dir):
+    """Documents as index rows with all searched fields."""
+    rows = files(spark, sf_dir)
+    context = T.file_context(F.col("file_name"), F.col("file_path"), F.lit("txt"))
+    return rows.withColumns({"text_with_context": F.concat(context, F.lit("\n"), "text"), "title": F.concat_ws(" ", "source", "lang"), "author": F.lit("")})
+
+
+@query(_BEST + " SELECT item_id, count(*)::BIGINT AS n, round(max(score), 2) AS best, round(sum(score) / count(*), 2) AS mean FROM scored GROUP BY item_id")
 def bm25_multifield(spark, sf_dir):
-    """Best field: each field's own statistics, times its boost, the larger score counts."""
-    docs = table(spark, sf_dir, "documents")
-    names = docs.select("doc_id", F.concat_ws(" ", F.lit("doc"), "doc_id", "source", "lang").alias("text"))
-    scored = None
-    for rows, boost in ((docs, 3), (names, 2)):
-        part = R.bm25(rows, _questions(spark, sf_dir)).withColumn("score", F.round(boost * F.round("score", 6), 6))
-        scored = part if scored is None else scored.unionByName(part)
-    return R.top(scored.groupBy("item_id", "doc_id").agg(F.max("score").alias("score")), "item_id", "doc_id", 40)
-
-
-@query(f"""WITH q AS (SELECT DISTINCT unnest({_TERMS.format('text')}) AS t FROM benchmark), v AS (SELECT DISTINCT unnest({_TERMS.format('text')}) AS term FROM documents),
-c AS (SELECT t, term, levenshtein(t, term)::INT AS distance FROM q JOIN v ON substr(t, 1, 2) = substr(term, 1, 2) AND abs(length(t) - length(term)) <= 2 WHERE levenshtein(t, term) <= CASE WHEN length(t) <= 2 THEN 0 WHEN length(t) <= 5 THEN 1 ELSE 2 END)
-SELECT t, term, distance FROM c QUALIFY row_number() OVER (PARTITION BY t ORDER BY distance, term) <= 10""")
+    """Six fields, each with its own analysis, statistics and boost; the best one counts. Summed up by question."""
+    scored = R.search(_index(spark, sf_dir), _questions(spark, sf_dir)).withColumn("score", F.round("score", 4))
+    return scored.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 2).alias("best"), F.round(F.sum("score") / F.count(F.lit(1)), 2).alias("mean"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct({_FRENCH.format('text')})), ' ') AS terms FROM documents")
+def french_analysis(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(R.french_terms(F.col("text")))), " ").alias("terms"))
+
+
+@query("SELECT doc_id, '/' || source || ',/' || source || '/' || lang || ',/' || source || '/' || lang || '/doc_' || doc_id || '.txt' AS paths FROM documents")
+def path_analysis(spark, sf_dir):
+    return files(spark, sf_dir).select("doc_id", F.array_join(R.path_terms(F.col("file_path")), ",").alias("paths"))
+
+
+#: DuckDB counts edits in bytes: letters beyond ASCII stand as one byte each.
+_EDITS = "levenshtein(translate(t, 'ßœæøđłıħþð', '!#$%&()*+-'), translate(term, 'ßœæøđłıħþð', '!#$%&()*+-'))"
+_EXPANDED = f"""q AS (SELECT item_id, unnest(list_distinct({_TERMS.format('text')})) AS t FROM benchmark), v AS (SELECT DISTINCT unnest(list_distinct({_TERMS.format('text')})) AS term FROM documents),
+c AS (SELECT t, term, {_EDITS}::INT AS distance FROM (SELECT DISTINCT t FROM q) JOIN v ON substr(t, 1, 2) = substr(term, 1, 2) AND abs(length(t) - length(term)) <= 2 WHERE {_EDITS} <= CASE WHEN length(t) <= 2 THEN 0 WHEN length(t) <= 5 THEN 1 ELSE 2 END),
+x AS (SELECT t, term, distance FROM c QUALIFY row_number() OVER (PARTITION BY t ORDER BY distance, term) <= 10)"""
+
+
+@query(f"WITH {_EXPANDED} SELECT t, term, distance FROM x")
 def bm25_fuzzy(spark, sf_dir):
     """Question terms expanded by vocabulary terms with the same two first letters at an edit distance that the length allows; ten for each."""
-    asked = _questions(spark, sf_dir).select(F.explode(R.terms(F.col("text"))).alias("t")).distinct()
-    vocabulary = table(spark, sf_dir, "documents").select(F.explode(R.terms(F.col("text"))).alias("term")).distinct()
-    most = F.when(F.length("t") <= 2, 0).when(F.length("t") <= 5, 1).otherwise(2)
-    near = asked.join(vocabulary, (F.substring("t", 1, 2) == F.substring("term", 1, 2)) & (F.abs(F.length("t") - F.length("term")) <= 2)).withColumn("distance", F.levenshtein("t", "term")).where(F.col("distance") <= most)
-    w = Window.partitionBy("t").orderBy("distance", "term")
-    return near.withColumn("n", F.row_number().over(w)).where("n <= 10").select("t", "term", "distance")
+    field = F.lit("text").alias("field")
+    asked = _questions(spark, sf_dir).select(field, F.explode(R.terms(F.col("text"))).alias("term")).distinct()
+    vocabulary = table(spark, sf_dir, "documents").select(field, F.explode(F.array_distinct(R.terms(F.col("text")))).alias("term")).distinct()
+    return R.expanded(asked, vocabulary).select(F.col("term").alias("t"), F.col("found").alias("term"), "distance")
+
+
+_SHARES = f"WITH {_EXPANDED} SELECT item_id, x.term AS t, 1 - distance::DOUBLE / least(length(x.t), length(x.term)) AS share FROM q JOIN x ON q.t = x.t"
+
+
+@query(f"WITH {_bm25(asked=_SHARES)}, {_ranked('scored', 'item_id', 'doc_id', 40)} SELECT item_id, doc_id, score, rank::INT AS rank FROM r_scored")
+def bm25_fuzzy_topk(spark, sf_dir):
+    """Near terms are searched too and count for less."""
+    field = R.Field("text", 1.0, R.terms)
+    return R.top(R.search(table(spark, sf_dir, "documents"), _questions(spark, sf_dir), (field,), fuzzy=True), "item_id", "doc_id", 40)
 
 
 def _vectors(spark, sf_dir):
@@ -83,13 +119,13 @@ def _vectors(spark, sf_dir):
 @query(f"WITH {_dense()}, {_ranked('near', 'qid', 'vec_id', 40)} SELECT qid, vec_id, score, rank::INT AS rank FROM r_near")
 def dense_topk(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
-    return R.top(R.dense(v, q), "qid", "vec_id", 40)
+    return R.top(R.dense(v, q, 40), "qid", "vec_id", 40)
 
 
 @query(f"WITH {_dense('WHERE label IN (1, 2)')}, {_ranked('near', 'qid', 'vec_id', 40)} SELECT qid, vec_id, score, rank::INT AS rank FROM r_near")
 def dense_filtered(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
-    return R.top(R.dense(R.facet_filter(v, {"label": [1, 2]}), q), "qid", "vec_id", 40)
+    return R.top(R.dense(R.facet_filter(v, {"label": [1, 2]}), q, 40), "qid", "vec_id", 40)
 
 
 _HYBRID = f"""WITH {_bm25()}, {_ranked('scored', 'item_id', 'doc_id', 40)}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), near AS (SELECT q.vec_id AS item_id, v.vec_id AS doc_id, {_COS} AS score FROM v, v q WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
@@ -103,7 +139,7 @@ def hybrid(spark, sf_dir):
     lexical = R.top(R.bm25(table(spark, sf_dir, "documents"), _questions(spark, sf_dir)), "item_id", "doc_id", 40)
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     q = v.withColumnRenamed("doc_id", "item_id").join(F.broadcast(_questions(spark, sf_dir).select("item_id")), "item_id", "left_semi")
-    near = R.top(R.dense(v, q, "doc_id", "item_id"), "item_id", "doc_id", 40)
+    near = R.top(R.dense(v, q, 40, "doc_id", "item_id"), "item_id", "doc_id", 40)
     return R.fuse(lexical, near, "item_id", "doc_id")
 
 
@@ -132,10 +168,10 @@ lot AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS plac
 
 
 def lot(spark, sf_dir):
-    """The passages that answer a question: no tables of contents, two secondary ones at most, ten in all."""
-    docs = table(spark, sf_dir, "documents")
+    """The passages that answer a question: no tables of contents, two secondary ones at most, ten in all. Texts are reduced to what the walk asks of them before the join."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", T.is_contents_page(F.col("text")).alias("contents"))
     ranked = hybrid(spark, sf_dir).join(docs, "doc_id")
-    return R.capped(ranked, "item_id", F.col("source").isin("src0", "src1"), T.is_contents_page(F.col("text")), 2, 10)
+    return R.capped(ranked, "item_id", F.col("source").isin("src0", "src1"), F.col("contents"), 2, 10)
 
 
 @query(_CAPPED + " SELECT item_id, doc_id, place::INT AS place FROM lot")
@@ -146,7 +182,8 @@ def secondary_cap(spark, sf_dir):
 @query(_CAPPED + " SELECT item_id, sha256(string_agg('[Source: doc_' || lot.doc_id || '.txt]' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place)) AS context FROM lot JOIN documents USING (doc_id) GROUP BY item_id")
 def context_assembly(spark, sf_dir):
     said = F.concat(F.lit("[Source: doc_"), "doc_id", F.lit(".txt]\n"), "text")
-    parts = lot(spark, sf_dir).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("place", said.alias("said")))).alias("p"))  # ten passages
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = lot(spark, sf_dir).join(texts, "doc_id").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("place", said.alias("said")))).alias("p"))  # ten passages
     return parts.select("item_id", F.sha2(F.array_join(F.transform("p", lambda x: x["said"]), "\n\n---\n\n"), 256).alias("context"))
 
 
@@ -158,18 +195,19 @@ def source_dedupe(spark, sf_dir):
 
 @query(_CAPPED + " SELECT item_id, place::INT AS place, 'doc_' || doc_id || '.txt' AS file_name, length(substr(text, 1, 1000))::BIGINT AS chars, round(rrf, 4) AS score FROM lot JOIN documents USING (doc_id)")
 def passage_projection(spark, sf_dir):
-    return lot(spark, sf_dir).select("item_id", "place", F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("file_name"), F.length(F.substring("text", 1, 1000)).cast("long").alias("chars"), F.round("rrf", 4).alias("score"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lot(spark, sf_dir).join(texts, "doc_id").select("item_id", "place", F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("file_name"), F.length(F.substring("text", 1, 1000)).cast("long").alias("chars"), F.round("rrf", 4).alias("score"))
 
 
 @query(_HYBRID + f""", r AS (SELECT f.item_id, f.doc_id, f.rank, len(list_intersect(list_distinct({_TERMS.format('b.text')}), list_distinct({_TERMS.format('d.text')})))::DOUBLE / len(list_distinct({_TERMS.format('b.text')})) AS s FROM fused f JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id))
 SELECT item_id, doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 6) DESC, rank)::INT AS place FROM r QUALIFY place <= 10""")
 def rerank_stub(spark, sf_dir):
     """Pairs scored by a stand-in model (share of the question's terms), best first, equal ones in the order they came."""
-    q = _questions(spark, sf_dir).select("item_id", F.array_distinct(R.terms(F.col("text"))).alias("asked"))
-    pairs = hybrid(spark, sf_dir).join(table(spark, sf_dir, "documents"), "doc_id").join(F.broadcast(q), "item_id")
-    score = F.round(F.size(F.array_intersect("asked", R.terms(F.col("text")))) / F.size("asked"), 6)
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "rank")
-    return pairs.select("item_id", "doc_id", "rank", score.alias("score")).withColumn("place", F.row_number().over(w)).where("place <= 10").drop("rank")
+    q = _questions(spark, sf_dir).select("item_id", F.col("text").alias("asked"))
+    fused = hybrid(spark, sf_dir)
+    pairs = fused.join(table(spark, sf_dir, "documents"), "doc_id").join(q, "item_id")
+    scores = pairs.select("item_id", "doc_id", R.overlap(F.col("asked"), F.col("text")).alias("score"))
+    return R.funnel(fused, scores, "item_id", "doc_id", R.DEEP.with_(search=1000, fusion=1000, rerank=10)).select("item_id", "doc_id", "score", "place")
 
 
 @query("SELECT source AS title, count(*)::BIGINT AS n FROM documents GROUP BY source ORDER BY n DESC, title LIMIT 500")
@@ -183,6 +221,6 @@ def flagship(spark, sf_dir):
     lexical = R.top(R.bm25(chunks, _questions(spark, sf_dir), key="chunk_id"), "item_id", "chunk_id", 40)
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     q = v.withColumnRenamed("doc_id", "item_id").join(F.broadcast(_questions(spark, sf_dir).select("item_id")), "item_id", "left_semi")
-    by_doc = R.top(R.dense(v, q, "doc_id", "item_id"), "item_id", "doc_id", 40)
+    by_doc = R.top(R.dense(v, q, 40, "doc_id", "item_id"), "item_id", "doc_id", 40)
     near = by_doc.join(chunks.select("doc_id", "chunk_id"), "doc_id").select("item_id", "chunk_id", "score", (F.col("rank") * 1000).alias("rank"))
     return R.fuse(lexical, near, "item_id", "chunk_id").where("rank <= 10").withColumn("point_id", T.point_id(F.col("chunk_id")))
