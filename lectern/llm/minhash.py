@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import kept
+from .storage import kept, parted
 from .textblocks import NOT_SPACE, Block, blocks, lower_ascii, mix, shingle_hashes
 from .workers import mapped
 
@@ -164,7 +164,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     centres = kept(crowded.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("best")).select("bucket", F.col("best.node").alias("centre")), "centres")
     members = kept(crowded.join(centres, "bucket"), "members")
     involved = members.select(F.col("node").alias("digest")).distinct().join(classes.select("digest", "rep.key", "rep.text_hash"), "digest")
-    sets = kept(mapped(rows.join(involved, ["key", "text_hash"]).select(F.col("digest").alias("node"), "text"), _sets(k), "node binary, grams array<long>"), "sets").dropDuplicates(["node"])
+    involved = kept(involved, "involved")
+    _, near = parted(rows, F.col("text_hash"), involved, F.col("text_hash"))
+    sets = kept(mapped(near.join(involved, ["key", "text_hash"]).select(F.col("digest").alias("node"), "text"), _sets(k), "node binary, grams array<long>"), "sets").dropDuplicates(["node"])
     sets = kept(sets, "distinct-sets")
     marks = classes.select(F.col("digest").alias("node"), "n", "bits")
 

@@ -10,7 +10,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
@@ -74,6 +74,21 @@ def held_bits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
 
 
+def parted(rows: DataFrame, hash_: Column, table: DataFrame, table_hash: Column) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose hash is surely not among the table's, and those where it may be.
+
+    The table's hashes go into a bit map of fixed size (``_LONGS`` rows at most), which is
+    broadcast. So the first part, and all its texts, stay where they are; only the second has
+    to be joined with the table. A full bit map costs a shuffle, not a row.
+    """
+    place = lambda h: F.shiftrightunsigned(h, 64 - MAP_BITS)
+    bit = F.expr("shiftleft(1L, cast(_place & 63 as int))")
+    words = kept(table.select(place(table_hash).alias("_place")).groupBy(F.shiftrightunsigned("_place", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")), "bit-map")
+    marked = rows.withColumn("_place", place(hash_)).withColumn("_word", F.shiftrightunsigned("_place", 6)).join(F.broadcast(words), "_word", "left")
+    held = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return marked.where(~held).drop("_place", "_word", "_bits"), marked.where(held).drop("_place", "_word", "_bits")
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,13 +11,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary
-from .storage import bit_map, held_bits, kept
+from .storage import kept, parted
 from .workers import mapped
 
 ENCODER_VERSION = "word-bpe-1"
@@ -68,12 +67,6 @@ def count(docs: DataFrame, path: str, cache: str, key: str = "doc_id", text: str
     chosen = digests.groupBy("digest").agg(F.min(F.struct("place", "n_bytes")).alias("row"))
     chosen = kept(chosen.join(known.select("digest"), "digest", "left_anti").select("row.place", "row.n_bytes", "digest"), "missing-digests")
     if not chosen.isEmpty():
-        wanted = spark.sparkContext.broadcast(bit_map(chosen.select(F.col("place").alias("hash"))))
-
-        def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.take(pa.array(held_bits(wanted.value, batch.column(0).to_numpy().view(np.uint64))))
-
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bpe = vocabulary(path, False)
             for batch in batches:
@@ -82,7 +75,7 @@ def count(docs: DataFrame, path: str, cache: str, key: str = "doc_id", text: str
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bpe.count(part.column(1).to_pylist()), pa.int64())], ["digest", "n_tokens"])
 
         placed = rows.select(place.alias("place"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
-        moved = mapped(placed, maybe, "place long, n_bytes long, text string").dropDuplicates(["place", "n_bytes"])
+        moved = parted(placed, F.col("place"), chosen, F.col("place"))[1].dropDuplicates(["place", "n_bytes"])
         misses = moved.join(chosen, ["place", "n_bytes"]).select("digest", "text")
         mapped(misses, encode, CACHE_SCHEMA, "bpe").write.mode("append").parquet(f"{cache}/version={version}")
 
