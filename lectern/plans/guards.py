@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import guards as G
 from .registry import query, table
 
@@ -151,11 +150,3 @@ def lot_pages(spark, sf_dir):
     d = F.col("doc_id")
     pages = F.explode(F.sequence(F.least(d % 5, d % 5 + d % 3), F.greatest(d % 5, d % 5 + d % 3)))
     return table(spark, sf_dir, "documents").select(F.lower("source").alias("file_name"), pages.alias("page")).groupBy("file_name", "page").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT item_id, theme FROM (SELECT item_id, lower(strip_accents(text)) AS t FROM benchmark) JOIN (VALUES ('erth'), ('than'), ('of')) v(theme) ON regexp_matches(t, '(^|[^a-z0-9])' || theme)")
-def expected_items(spark, sf_dir):
-    """Themes whose trigger begins a word of the question."""
-    themes = spark.createDataFrame([("erth",), ("than",), ("of",)], "theme string")
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.lower(T.deaccent(F.col("text"))).alias("t"))
-    return q.join(F.broadcast(themes), F.expr("t rlike concat('(?<![a-z0-9])', theme)")).select("item_id", "theme")
