@@ -22,7 +22,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.deduplicated(_table(spark, sf_dir, "documents")).drop("kept_bytes")
+    return suffix_dedup.deduplicated(_table(spark, sf_dir, "documents"), with_bytes=False)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

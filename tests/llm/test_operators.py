@@ -338,3 +338,28 @@ def test_long_runs_in_linear_time():
     for text in ("Copyright line\n" * 30_000, "license " * 60_000):
         license_scan.candidate_blocks(text.encode(), {"copyright"})
     assert time.process_time() - start < 20
+
+
+def test_multikey_order():
+    """Against Python's sort, with many equal leading columns, runs of all lengths and signed values."""
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 30, 5000):
+        columns = [rng.integers(-3, 3, n), rng.integers(-(2**62), 2**62, n) // 2**60, np.zeros(n, np.int64), rng.integers(0, 5, n), np.arange(n)[::-1].copy()]
+        got = suffix_dedup.multikey_order(columns).tolist()
+        assert got == sorted(range(n), key=lambda i: tuple(int(c[i]) for c in columns))
+
+
+def test_suffixes_across_many_buckets(spark, monkeypatch):
+    """One passage in most texts, at several offsets and with edits, in far more buckets than it has neighbourhoods."""
+    rng = np.random.default_rng(6)
+    text = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 400, n))
+    passage = text(60)
+    texts = []
+    for i in range(120):
+        own = passage if i % 3 else passage[: int(rng.integers(40, 200))] + "*" + passage[60:]
+        texts.append((i, f"{text(int(rng.integers(0, 30)))} {own} {text(int(rng.integers(0, 30)))}"))
+    texts += [(200, passage), (201, "x" * 500), (202, "x" * 350), (203, None), (204, "ab" * 300)]
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 40)
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.deduplicated(rows, with_bytes=False).collect()}
+    assert got == removed([(k, t or "") for k, t in texts])
