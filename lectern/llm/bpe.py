@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .workers import hold, mapped
 
@@ -29,6 +30,8 @@ CACHED_WORDS = 200_000
 #: White space of the tokenizer's pattern language.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+#: Letters beyond the Latin and general blocks, whose classes differ between versions of Unicode.
+_RARE = regex.compile("[^\x00-\u02ff\u0370-\u03ff\u0400-\u045f\u2000-\u206f\u20a0-\u20bf\u2100-\u22ff\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
 _ASCII_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
 
@@ -47,6 +50,9 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        steps = [normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()]
+        self.library = normalizers.Sequence(steps), pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.special: dict[str, int] = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -221,10 +227,13 @@ class WordBpe:
                 out += self._plain_words(piece)
         return out
 
-    @staticmethod
-    def _plain_words(text: str) -> list[str]:
+    def _plain_words(self, text: str) -> list[str]:
         if text.isascii():
             return _ASCII_WORD.findall(text.lower())
+        if _RARE.search(text):
+            # Newer letters and marks: the library's own tables tell how they are composed, lowered and classed.
+            normal, split = self.library
+            return [w for w, _ in split.pre_tokenize_str(normal.normalize_str(text))]
         # One letter at a time, as the tokenizer lowers: no special form for a final sigma.
         return _WORD.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 

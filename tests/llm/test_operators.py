@@ -204,6 +204,19 @@ def test_tokens(spark, odd, docs):
     assert spark.read.parquet(cache).count() == spark.read.parquet(cache).select("digest").distinct().count()
 
 
+def test_words_of_all_scripts():
+    """Every assigned code point between others, and marks in any order, against the library."""
+    library = Tokenizer.from_file(PATH)
+    ours = bpe.WordBpe(PATH)
+    points = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x1F000, 1), *range(0x1F000, 0x20000), *range(0xE0100, 0xE0200)]]
+    texts = ["".join(f"a{p}b {p}" for p in points[k : k + 50]) for k in range(0, len(points), 50)]
+    rng = np.random.default_rng(1)
+    marks = ["\u0300", "\u0327", "\u08ce", "\u0652", "\u1acd", "\ua9b3", "\u0345", "\u05b0", "e", "ο", "ﬁ", "가", "\u11a8", "😀"]
+    texts += ["".join(rng.choice(marks, 12)) for _ in range(2000)]
+    wrong = [t for t, (ids, _) in zip(texts, ours.encode(texts), strict=True) if np.frombuffer(ids, "<u4").tolist() != library.encode(t, add_special_tokens=False).ids]
+    assert not wrong, (len(wrong), wrong[0])
+
+
 def test_secrets(odd, docs):
     patterns = [re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
     good = [lambda m: len(m[1]) >= 6, lambda m: len(m[0]) >= 20, lambda m: len(m[0]) >= 24]
