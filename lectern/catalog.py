@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, chunks, guards, listings, questions, search, sheets, sync, text  # noqa: F401 (each registers its queries)
+from .plans import analytics, chunks, guards, listings, pages, questions, search, sheets, sync, text  # noqa: F401 (each registers its queries)
 from .plans.registry import ORACLES, QUERIES
 from .plans.search import flagship
 

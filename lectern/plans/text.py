@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.pages import image_words
 from .registry import query, table
 
 _FILES = "SELECT doc_id, text, lang, source, 'doc_' || doc_id || '.txt' AS file_name, '/' || source || '/' || lang || '/doc_' || doc_id || '.txt' AS file_path FROM documents"
@@ -93,20 +94,7 @@ def text_counts(spark, sf_dir):
 @query("""SELECT page_id, array_to_string(p[greatest(len(p) - 4, 1):len(p) - 1], '/') AS folder, replace(replace(regexp_replace(p[len(p)], '^\\d{8}_?', ''), '_', ' '), '-', ' ') AS words
 FROM (SELECT page_id, list_filter(string_split(url, '/'), lambda x: x <> '') AS p FROM pages)""")
 def image_metadata(spark, sf_dir):
-    p = F.filter(F.split("url", "/"), lambda x: x != "")
-    df = table(spark, sf_dir, "pages").select("page_id", p.alias("p"))
-    words = F.translate(F.regexp_replace(F.element_at("p", -1), r"^\d{8}_?", ""), "_-", "  ")
-    folder = F.expr("array_join(slice(p, greatest(size(p) - 4, 1), least(4, size(p) - 1)), '/')")
-    return df.select("page_id", folder.alias("folder"), words.alias("words"))
-
-
-@query("""SELECT k, regexp_extract(raw, '(?s)^---\n(.*?)\n---\n', 1) AS front, regexp_replace(raw, '(?s)^---\n.*?\n---\n', '') AS body, regexp_extract(raw, '(?m)^client: (.*)$', 1) AS client
-FROM (SELECT conv_id || '-' || turn AS k, '---' || chr(10) || 'client: ' || role || chr(10) || 'date: 2024-01-01' || chr(10) || '---' || chr(10) || text AS raw FROM conversations)""")
-def front_matter(spark, sf_dir):
-    raw = F.concat(F.lit("---\nclient: "), "role", F.lit("\ndate: 2024-01-01\n---\n"), "text")
-    df = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("k"), raw.alias("raw"))
-    front = F.regexp_extract("raw", r"(?s)^---\n(.*?)\n---\n", 1)
-    return df.select("k", front.alias("front"), F.regexp_replace("raw", r"(?s)^---\n.*?\n---\n", "").alias("body"), F.str_to_map(front, F.lit("\n"), F.lit(": "))["client"].alias("client"))
+    return table(spark, sf_dir, "pages").select("page_id", image_words(F.col("url")).alias("w")).select("page_id", "w.folder", "w.words")
 
 
 @query("SELECT doc_id, lang, source FROM documents WHERE lang = 'fr'")
@@ -140,9 +128,11 @@ def toc_passages(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.is_contents_page(F.col("text")).alias("is_contents"))
 
 
-@query("""SELECT doc_id, length(CASE WHEN length(text) >= 200 AND length(short) < 0.3 * length(text) THEN text ELSE short END)::BIGINT AS chars, length(trim(short)) < 50 OR len(list_filter(regexp_split_to_array(short, '\\s+'), lambda x: x <> '')) < 8 AS needs_ocr
-FROM (SELECT doc_id, text, left(text, 300) AS short FROM documents)""")
+@query("""WITH p AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS bare FROM pages)
+SELECT page_id, length(CASE WHEN length(html) >= 200 AND length(bare) < 0.7 * length(html) THEN html ELSE bare END)::BIGINT AS chars, length(trim(bare)) < 50 OR len(list_filter(regexp_split_to_array(bare, '\\s+'), lambda x: x <> '')) < 8 AS needs_ocr FROM p""")
 def yield_guard(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").withColumn("short", F.expr("left(text, 300)"))
-    ocr = T.needs_ocr(F.length(F.trim("short")), F.size(F.array_remove(F.split("short", r"\s+"), "")))
-    return df.select("doc_id", F.length(T.kept_yield(F.col("text"), F.col("short"), 0.3)).cast("long").alias("chars"), ocr.alias("needs_ocr"))
+    """The text of a page without its marks against the raw page."""
+    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]+>", " ")
+    df = table(spark, sf_dir, "pages").withColumn("bare", bare)
+    ocr = T.needs_ocr(F.length(F.trim("bare")), F.size(F.array_remove(F.split("bare", r"\s+"), "")))
+    return df.select("page_id", F.length(T.kept_yield(F.col("html"), F.col("bare"), 0.7)).cast("long").alias("chars"), ocr.alias("needs_ocr"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import email
+import functools
 import html.parser
 import io
 import re
@@ -12,7 +13,8 @@ from email import policy
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Encodings tried in turn.
 ENCODINGS = ("utf-8", "latin-1")
@@ -164,8 +166,68 @@ def web_page(data: bytes) -> str:
     return "\n".join(page.texts)
 
 
+def _front_matter(data: bytes) -> str:
+    """A Markdown text without the front matter before it."""
+    return re.sub(r"(?s)\A---\s*\n.*?\n---\s*\n?", "", _decoded(data))
+
+
+def _cell_values(sheet: ElementTree.Element, shared: list[str]) -> Iterator[list[str]]:
+    """Rows of a worksheet, with empty cells where the file leaves some out."""
+    for row in _named(sheet, "row"):
+        cells: list[str] = []
+        for c in _named(row, "c"):
+            letters = re.match("[A-Z]*", c.get("r", "")).group()
+            column = functools.reduce(lambda n, x: 26 * n + ord(x) - 64, letters, 0) or len(cells) + 1
+            cells += [""] * (column - 1 - len(cells))
+            said = "".join(x.text or "" for x in c.iter() if _name(x) in ("v", "t"))
+            cells.append(shared[int(said)] if c.get("t") == "s" and said else said)
+        yield cells
+
+
+def sheets(data: bytes) -> list[tuple[str, list[list[str]]]]:
+    """Name and rows of each worksheet of a workbook, in its order, without empty rows."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        there = set(z.namelist())
+        texts = ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if "xl/sharedStrings.xml" in there else None
+        shared = ["".join(x.text or "" for x in _named(si, "t")) for si in _named(texts, "si")] if texts is not None else []
+        links = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        out = []
+        for sheet in _named(ElementTree.fromstring(z.read("xl/workbook.xml")), "sheet"):
+            target = next(links[v] for k, v in sheet.attrib.items() if k.endswith("}id") or k == "id")
+            rows = _cell_values(ElementTree.fromstring(z.read(f"xl/{target}".replace("xl//xl/", "xl/"))), shared)
+            out.append((sheet.get("name", ""), [r for r in rows if any(x.strip() for x in r)]))
+        return out
+
+
+def xlsx(data: bytes) -> str:
+    """Each sheet as a Markdown table under its name; the first row has the columns' names."""
+    parts = []
+    for name, rows in sheets(data):
+        width = max(map(len, rows), default=0)
+        lines = ["| " + " | ".join(x.replace("|", "\\|") for x in [*r, *[""] * (width - len(r))]) + " |" for r in rows]
+        parts.append("\n".join([f"## {name}", "", *lines[:1], *(["|" + "---|" * width] if lines else []), *lines[1:]]))
+    return "\n\n---\n\n".join(parts)
+
+
+def sheet_rows(files: DataFrame) -> DataFrame:
+    """``path, sheet, row, cells`` of all workbooks among rows with ``path`` and ``content``; rows are numbered from 0 for the names of columns. Broken workbooks have none: :func:`parsed` tells why."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    found = sheets(bytes(content or b""))
+                except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError, ValueError, IndexError):
+                    continue
+                out += [(path, name, k, cells) for name, rows in found for k, cells in enumerate(rows)]
+            yield pd.DataFrame(out, columns=["path", "sheet", "row", "cells"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, sheet string, row int, cells array<string>")
+
+
 PARSERS: dict[str, Callable[[bytes], str]] = {
-    ".docx": docx, ".pptx": pptx, ".odt": odt, ".ods": ods, ".odp": odp, ".eml": eml, ".rtf": rtf, ".html": web_page, ".htm": web_page, ".md": _decoded, ".txt": _decoded, ".csv": _decoded, ".log": _decoded, ".json": _decoded,
+    ".docx": docx, ".pptx": pptx, ".odt": odt, ".ods": ods, ".odp": odp, ".eml": eml, ".rtf": rtf, ".html": web_page, ".htm": web_page, ".xlsx": xlsx, ".md": _front_matter, ".markdown": _front_matter, ".txt": _decoded, ".csv": _decoded, ".log": _decoded, ".json": _decoded,
 }
 
 
@@ -196,3 +258,15 @@ def parsed(files: DataFrame) -> DataFrame:
 def read_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """All files below a folder, parsed."""
     return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder))
+
+
+def golden_set(spark: SparkSession, path: str, schema: str = "id string, projet string, question string, reponse_reference string, sources_reference array<string>") -> DataFrame:
+    """Cases of an evaluation, one JSON object on each line that isn't blank; lines that are no JSON have only nulls and are left out."""
+    return spark.read.schema(schema).json(path).where("id IS NOT NULL")
+
+
+def log_tail(spark: SparkSession, path: str, lines: int = 200) -> DataFrame:
+    """``nth, line``: the last lines of a log that aren't blank, oldest first."""
+    rows = spark.read.text(path).where(F.col("value").rlike(r"\S")).withColumn("_at", F.monotonically_increasing_id())
+    last = rows.orderBy(F.desc("_at")).limit(lines)
+    return last.select((F.row_number().over(Window.orderBy("_at")) - 1).alias("nth"), F.col("value").alias("line"))  # ``lines`` rows

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..operators.analytics import report
 from ..operators.sync import latest
 
 CATALOG = "sheet_catalog"
@@ -59,11 +61,36 @@ def drop_index(spark: SparkSession, name: str) -> None:
         spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", args={"name": x})
 
 
-def export_csv(df: DataFrame, path: str, *order: str) -> None:
-    """All cells quoted, ``;`` between them, nulls as empty cells; newest first by ``order``."""
+def clear_indexes(spark: SparkSession, prefix: str) -> list[str]:
+    """Drop every index table whose name begins with ``prefix``, whatever its case; returns their names (indexes are few)."""
+    names = [t.name for t in spark.catalog.listTables() if not t.isTemporary and t.name.lower().startswith(prefix.lower())]
+    for name in names:
+        drop_index(spark, name)
+    return names
+
+
+def scroll(spark: SparkSession, name: str, after: object = None, key: str = "document_id", size: int = 1000) -> DataFrame:
+    """One page of an index in the order of its keys: the ``size`` rows behind ``after``. A reader that gives the last key it saw sees every row once."""
+    rows = spark.table(name)
+    return (rows if after is None else rows.where(F.col(key) > F.lit(after))).orderBy(key).limit(size)
+
+
+BOM = "\ufeff"
+
+
+def export_csv(df: DataFrame, path: str, *order: str, bom: bool = False) -> None:
+    """All cells quoted, ``;`` between them, nulls as empty cells; newest first by ``order``. ``bom`` puts a byte order mark before each file's header, for readers that need one to see UTF-8."""
     texts = df.orderBy(*[F.desc(c) for c in order]) if order else df
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]
-    texts.select(*cells).write.option("emptyValue", "").csv(path, sep=";", quoteAll=True, header=True, escape='"', encoding="UTF-8", mode="overwrite")
+    if not bom:
+        texts.select(*cells).write.option("emptyValue", "").csv(path, sep=";", quoteAll=True, header=True, escape='"', encoding="UTF-8", mode="overwrite")
+        return
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    head = BOM + ";".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+    lines = texts.select(F.concat_ws(";", *[quoted(c) for c in cells]).alias("line"))
+    # The header stands before the first line of each file.
+    first = lines.withColumn("_n", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).select(F.when(F.col("_n") == 0, F.concat(F.lit(head + "\n"), "line")).otherwise(F.col("line")).alias("line"))
+    first.write.mode("overwrite").text(path)
 
 
 def export_points(df: DataFrame, path: str) -> None:
@@ -71,8 +98,31 @@ def export_points(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def export_wrapped(df: DataFrame, path: str, name: str, kind: str = "points") -> None:
+    """Files of one object each, ``{collection, points}`` or ``{index, documents}``: a file for each partition, so no file holds more than a task does."""
+    label = "collection" if kind == "points" else "index"
+    body = F.to_json(F.struct(*df.columns))
+    part = F.spark_partition_id()
+    rows = df.select(part.alias("_part"), body.alias("_body")).groupBy("_part").agg(F.array_join(F.collect_list("_body"), ",").alias("_all"))  # one partition's rows
+    rows.select(F.concat(F.lit(f'{{"{label}": "{name}", "{kind}": ['), "_all", F.lit("]}"))).write.mode("overwrite").text(path)
+
+
 def import_points(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Points of an export, with ``number`` where the id is a whole number and ``uuid`` where it is one."""
-    points = spark.read.schema(schema).json(path)
+    """Points of an export, of either form, with ``number`` where the id is a whole number and ``uuid`` where it is one."""
+    wrapped = f"points array<struct<{_fields(schema)}>>, documents array<struct<{_fields(schema)}>>"
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))
+    both = lines.select(F.from_json("value", wrapped).alias("w"), F.from_json("value", schema).alias("p"))
+    inner = F.coalesce("w.points", "w.documents", F.array("p"))
+    points = both.select(F.explode(inner).alias("p")).select("p.*")
     uuid = F.when(F.col("id").rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lower("id"))
     return points.withColumns({"number": F.col("id").try_cast("bigint"), "uuid": uuid})
+
+
+def _fields(schema: str) -> str:
+    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in StructType.fromDDL(schema).fields)
+
+
+def export_campaign(rows: DataFrame, made: DataFrame, folder: str) -> None:
+    """A campaign's rows as JSON lines and its report as text, below ``folder``."""
+    rows.write.mode("overwrite").json(f"{folder}/rows")
+    report(made).orderBy("nth").select("line").coalesce(1).write.mode("overwrite").text(f"{folder}/report")  # a line for each project

@@ -3,6 +3,9 @@
 import io
 import zipfile
 
+from pyspark.sql import functions as F
+
+from lectern.operators import analytics
 from lectern.sources import files, stores
 from lectern.streaming import changes
 
@@ -56,6 +59,80 @@ def test_exports(spark, tmp_path):
     assert [(r["number"], r["uuid"]) for r in got] == [(7, None), (None, "6f7f2c3a-1b6e-4b8a-9c2d-5e1f0a9b8c7d"), (None, None)]
 
 
+def workbook():
+    rels = '<R><X Id="r1" Target="worksheets/sheet1.xml"/><X Id="r2" Target="worksheets/sheet2.xml"/></R>'
+    book = '<b xmlns:r="urn:r"><sheets><sheet name="Un" r:id="r2"/><sheet name="Deux" r:id="r1"/></sheets></b>'
+    one = '<w><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><v>2.5</v></c></row><row r="2"><c r="A2"/></row><row r="3"><c r="B3" t="inlineStr"><is><t>x|y</t></is></c></row></w>'
+    return zipped(**{"xl__workbook_xml": book, "xl__sharedStrings_xml": "<s><si><t>nom</t></si></s>", "xl___rels__workbook_xml.rels": rels, "xl__worksheets__sheet1_xml": "<w/>", "xl__worksheets__sheet2_xml": one})
+
+
+def test_workbooks(spark):
+    rows = spark.createDataFrame([("/a/b.xlsx", bytearray(workbook())), ("/a/broken.xlsx", bytearray(b"x"))], "path string, content binary")
+    got = {r["path"]: r for r in files.parsed(rows).collect()}
+    assert got["/a/b.xlsx"]["content"] == "## Un\n\n| nom |  | 2.5 |\n|---|---|---|\n|  | x\\|y |  |\n\n---\n\n## Deux\n"
+    assert got["/a/broken.xlsx"]["status"] == "error"
+    assert [tuple(r) for r in files.sheet_rows(rows).collect()] == [("/a/b.xlsx", "Un", 0, ["nom", "", "2.5"]), ("/a/b.xlsx", "Un", 1, ["", "x|y"])]
+
+
+def test_front_matter_is_no_text(spark):
+    rows = spark.createDataFrame([("/a.md", bytearray("\ufeff---\nclient: x\n---\nBonjour".encode())), ("/b.md", bytearray(b"---\nno end"))], "path string, content binary")
+    assert {r["path"]: r["content"] for r in files.parsed(rows).collect()} == {"/a.md": "Bonjour", "/b.md": "---\nno end"}
+
+
+def test_folders_golden_sets_and_logs(spark, tmp_path):
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "deep" / "a.txt").write_text("un")
+    (tmp_path / "deep" / "er" / "b.html").write_text("<p>deux</p>")
+    assert sorted(r["content"] for r in files.read_folder(spark, str(tmp_path / "deep")).collect()) == ["deux", "un"]
+    (tmp_path / "golden.jsonl").write_text('{"id": "A-1", "question": "q", "sources_reference": ["Tome 1"]}\n\nnot json\n{"id": "A-2"}\n')
+    assert [(r["id"], r["sources_reference"]) for r in files.golden_set(spark, str(tmp_path / "golden.jsonl")).orderBy("id").collect()] == [("A-1", ["Tome 1"]), ("A-2", None)]
+    (tmp_path / "w.log").write_text("\n".join(f"line {k}" if k % 3 else " " for k in range(100)))
+    assert [tuple(r) for r in files.log_tail(spark, str(tmp_path / "w.log"), 3).orderBy("nth").collect()] == [(0, "line 95"), (1, "line 97"), (2, "line 98")]
+
+
+def test_stores(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS stores LOCATION '%s'" % (tmp_path / "db"))
+    spark.catalog.setCurrentDatabase("stores")
+    try:
+        sheet = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+        stores.replace_table(sheet, "t_one", "/x/book.xlsx", "One")
+        stores.replace_table(sheet, "t_two", "/x/book.xlsx", "Two")
+        stores.replace_table(sheet.limit(1), "t_one", "/x/book.xlsx", "One")
+        stores.replace_table(sheet, "t_three", "/x/other.xlsx", "Three")
+        assert {r["table_name"]: r["row_count"] for r in stores.sheet_catalog(spark).collect()} == {"t_one": 1, "t_two": 2, "t_three": 2}
+        stores.drop_table(spark, "t_two")
+        assert stores.drop_source(spark, "/x/book.xlsx") == ["t_one"]
+        assert [r["table_name"] for r in stores.sheet_catalog(spark).collect()] == ["t_three"] and not spark.catalog.tableExists("t_one")
+        index = spark.range(2500).select(F.col("id").alias("document_id"), F.lit("x").alias("text"))
+        assert stores.create_index(index, "idx_docs", buckets=4) and not stores.create_index(index, "idx_docs", buckets=4)
+        seen, last = [], None
+        while page := [r["document_id"] for r in stores.scroll(spark, "idx_docs", last).collect()]:
+            seen, last = seen + page, page[-1]
+        assert seen == list(range(2500))
+        stores.create_index(index, "idx_more", buckets=4)
+        stores.drop_index(spark, "IDX_MORE")
+        assert not spark.catalog.tableExists("idx_more") and stores.clear_indexes(spark, "IDX_") == ["idx_docs"]
+    finally:
+        spark.catalog.setCurrentDatabase("default")
+        spark.sql("DROP DATABASE stores CASCADE")
+
+
+def test_wrapped_exports_and_reports(spark, tmp_path):
+    points = spark.createDataFrame([("7", "p"), ("8", 'q"')], "id string, payload string").repartition(2)
+    for kind in ("points", "documents"):
+        stores.export_wrapped(points, f"{tmp_path}/{kind}", "c", kind)
+        got = stores.import_points(spark, f"{tmp_path}/{kind}", "id string, payload string").orderBy("id").collect()
+        assert [(r["id"], r["payload"], r["number"]) for r in got] == [("7", "p", 7), ("8", 'q"', 8)]
+    stores.export_csv(points.orderBy("id").coalesce(1), f"{tmp_path}/bom", bom=True)
+    text = "".join(f.read_text(encoding="utf-8") for f in (tmp_path / "bom").glob("part-*"))
+    assert text == '\ufeff"id";"payload"\n"7";"p"\n"8";"q"""\n'
+    rows = spark.createDataFrame([("p", True, True, "COUVERT", 2, 1), ("q", False, True, "PARTIEL", None, None)], "projet string, evasive boolean, right_volume boolean, coverage string, facts int, invention int")
+    stores.export_campaign(rows, analytics.campaign(rows, "projet"), f"{tmp_path}/campaign")
+    lines = "".join(f.read_text() for f in (tmp_path / "campaign" / "report").glob("part-*")).splitlines()
+    assert lines[0].startswith("all ") and "cases 2  evasive 1  right volume 2  coverage 1/1/0  facts 2.0" in lines[0] and len(lines) == 3
+    assert spark.read.json(f"{tmp_path}/campaign/rows").count() == 2
+
+
 def test_changes(spark, tmp_path):
     schema = "path string, action string, content_hash string, seq long"
     days = [
