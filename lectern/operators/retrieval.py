@@ -253,3 +253,18 @@ def capped(ranked: DataFrame, qid: str, secondary: Column, excluded: Column, cap
     if cap > 0:
         rows = rows.where(~F.col("_second") | (F.col("_nth") <= cap))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(qid).orderBy("rank"))).where(F.col("place") <= top_n).drop("_second", "_nth")
+
+
+def projected(hits: DataFrame, qid: str, order: str, most: int = 30, chars: int = 1000) -> DataFrame:
+    """What is shown of a question's first ``most`` hits: ``file_name``, the first ``chars`` characters of ``text``, the score of the last step that gave one (rerank, fusion, search) and the page, a stated one before the first of a span; 0 is a page."""
+    w = Window.partitionBy(qid).orderBy(order)
+    rows = hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    return rows.select(qid, order, "file_name", F.substring("text", 1, chars).alias("text"), F.round(F.coalesce("rerank_score", "rrf_score", "score"), 4).alias("score"), F.coalesce("page", "page_start").alias("page"), F.coalesce("page", "page_end").alias("last_page"))
+
+
+def distinct_sources(hits: DataFrame, qid: str, order: str, most: int = 10) -> DataFrame:
+    """The first ``most`` distinct places of a question's hits, a path (or else a name) and its pages, each by its first hit."""
+    place = [F.coalesce(F.nullif(F.col("file_path"), F.lit("")), F.col("file_name")), F.col("page_start"), F.col("page_end")]
+    first = hits.withColumn("_n", F.row_number().over(Window.partitionBy(qid, *place).orderBy(order))).where("_n = 1")
+    rows = first.withColumn("_n", F.row_number().over(Window.partitionBy(qid).orderBy(order))).where(F.col("_n") <= most)
+    return rows.drop("_n").withColumn("score", F.round("score", 4))

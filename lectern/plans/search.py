@@ -210,6 +210,47 @@ def rerank_stub(spark, sf_dir):
     return R.funnel(fused, scores, "item_id", "doc_id", R.DEEP.with_(search=1000, fusion=1000, rerank=10)).select("item_id", "doc_id", "score", "place")
 
 
+_HITS = """(SELECT conv_id, turn, text, 'd' || turn % 4 || '.pdf' AS file_name, CASE WHEN turn % 2 = 0 THEN '/p/d' || turn % 4 || '.pdf' ELSE '' END AS file_path, (turn % 3)::INT AS page_start, (turn % 3 + 1)::INT AS page_end,
+CASE WHEN turn % 5 = 0 THEN 0 END::INT AS page, CASE WHEN turn % 2 = 0 THEN turn / 7.0 END::DOUBLE AS rerank_score, CASE WHEN turn % 3 = 0 THEN turn / 9.0 END::DOUBLE AS rrf_score, (turn / 11.0)::DOUBLE AS score FROM conversations)"""
+
+
+def _hits(spark, sf_dir):
+    t = F.col("turn")
+    name = F.concat(F.lit("d"), t % 4, F.lit(".pdf"))
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "text", name.alias("file_name"), F.when(t % 2 == 0, F.concat(F.lit("/p/"), name)).otherwise(F.lit("")).alias("file_path"), (t % 3).cast("int").alias("page_start"), (t % 3 + 1).cast("int").alias("page_end"),
+        F.when(t % 5 == 0, F.lit(0)).alias("page"), F.when(t % 2 == 0, t / F.lit(7.0)).alias("rerank_score"), F.when(t % 3 == 0, t / F.lit(9.0)).alias("rrf_score"), (t / F.lit(11.0)).alias("score"),
+    )
+
+
+@query(f"SELECT conv_id, turn, file_name, substr(text, 1, 1000) AS text, round(coalesce(rerank_score, rrf_score, score), 4) AS score, coalesce(page, page_start) AS page, coalesce(page, page_end) AS last_page FROM {_HITS} QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 30")
+def projected_hits(spark, sf_dir):
+    """Turns as ranked hits."""
+    return R.projected(_hits(spark, sf_dir), "conv_id", "turn")
+
+
+@query(f"WITH f AS (SELECT * FROM {_HITS} QUALIFY row_number() OVER (PARTITION BY conv_id, CASE WHEN file_path = '' THEN file_name ELSE file_path END, page_start, page_end ORDER BY turn) = 1) SELECT conv_id, turn, round(score, 4) AS score FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 10")
+def distinct_sources(spark, sf_dir):
+    return R.distinct_sources(_hits(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", "score")
+
+
+@query(_HYBRID + f""", c AS (SELECT * FROM fused WHERE rank <= 30), r AS (SELECT c.item_id, c.doc_id, c.rank, d.lang, round(len(list_intersect(list_distinct({_TERMS.format('b.text')}), list_distinct({_TERMS.format('d.text')})))::DOUBLE / len(list_distinct({_TERMS.format('b.text')})), 6) AS s FROM c JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, rank) AS spot FROM r) SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY spot)::INT AS place FROM k WHERE lang <> 'de' QUALIFY place <= 15""")
+def candidate_funnel(spark, sf_dir):
+    """The first thirty of the fused list, reranked, without one language, the first fifteen."""
+    fused = hybrid(spark, sf_dir)
+    docs, q = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _questions(spark, sf_dir).select("item_id", F.col("text").alias("asked"))
+    near = fused.where("rank <= 30").join(docs, "doc_id").join(q, "item_id")
+    scores = near.select("item_id", "doc_id", "lang", R.overlap(F.col("asked"), F.col("text")).alias("score"))
+    return R.funnel(fused, scores, "item_id", "doc_id", R.Profile(), F.col("lang") != "de").select("item_id", "doc_id", "place")
+
+
+@query()
+def stub_embeddings(spark, sf_dir):
+    """Vectors of a stand-in encoder; checked by a unit test."""
+    return R.hashed_vectors(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("length"))
+
+
 @query("SELECT source AS title, count(*)::BIGINT AS n FROM documents GROUP BY source ORDER BY n DESC, title LIMIT 500")
 def catalogue_titles(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("title")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "title").limit(500)

@@ -95,13 +95,17 @@ def tombstones(spark, sf_dir):
     return last.select("user_id", F.when(F.col("event_type") == "logout", "deleted").otherwise("indexed").alias("status"))
 
 
-@query(f"WITH l AS ({_LAST}), n AS (SELECT max(ts) AS now FROM events) SELECT user_id FROM l, n WHERE NOT (last = 'view' AND ts < now - INTERVAL 1 DAY)")
+@query(f"""WITH l AS ({_LAST}), n AS (SELECT max(ts) AS now FROM events), k AS (SELECT user_id FROM l, n WHERE NOT (last = 'view' AND ts < now - INTERVAL 2 DAY))
+SELECT user_id, (SELECT count(*) FROM events e WHERE e.user_id = k.user_id)::BIGINT AS chunks FROM k""")
 def purge_tombstones(spark, sf_dir):
-    """Deleted rows older than the retention go; ``now`` is the newest event."""
-    last = S.latest(_log(spark, sf_dir), ["user_id"], F.col("ts"), F.col("event_id"))
-    now = _log(spark, sf_dir).agg(F.max("ts").alias("now"))
-    gone = (F.col("event_type") == "view") & (F.col("ts") < F.col("now") - F.expr("INTERVAL 1 DAY"))
-    return last.crossJoin(F.broadcast(now)).where(~gone).select("user_id")
+    """Deleted rows older than the retention go, and their chunks with them; ``now`` is the newest event."""
+    log = _log(spark, sf_dir)
+    last = S.latest(log, ["user_id"], F.col("ts"), F.col("event_id"))
+    now = log.agg(F.max("ts").alias("now"))
+    store = last.crossJoin(F.broadcast(now)).withColumns({"status": F.when(F.col("event_type") == "view", "deleted").otherwise("indexed"), "deleted_at": F.col("ts")})
+    left, chunks = S.purged(store, log.select("user_id", "event_id"), "user_id", F.col("now"), 2)
+    counts = chunks.groupBy("user_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return left.select("user_id").join(counts, "user_id")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(url, 'http', 'moved/http') ELSE url END AS path FROM pages")

@@ -7,12 +7,15 @@ store. ``current`` reads the newest row of each file.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.sync import latest
+from ..operators.sync import latest, logged
 
 
 def current(spark: SparkSession, store: str, schema: StructType, before: int | None = None) -> DataFrame:
@@ -47,3 +50,23 @@ def apply_changes(changes: DataFrame, store: str, checkpoint: str, *, available_
 
     writer = changes.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def reloading(changes: DataFrame, settings: str, apply: Callable[[DataFrame, int, dict], None], checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
+    """Apply each micro-batch with the settings as they then are: the JSON file at ``settings`` is read again for each, so a change holds from the next batch on. Without a file the settings are empty."""
+
+    def one_batch(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(settings)
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        said = "".join(r[0] for r in spark.read.text(settings, wholetext=True).collect()) if there else ""  # one small file
+        apply(batch, number, json.loads(said) if said.strip() else {})
+
+    writer = changes.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def event_log(events: DataFrame, path: Column, supported: tuple[str, ...], out: str, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
+    """Append every raw event to a log, with whether and why it is ignored."""
+    writer = logged(events, path, supported).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
