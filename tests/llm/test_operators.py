@@ -11,9 +11,10 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lectern.llm import bpe, crf, decontaminate, license_scan, minhash, pii, quality_knn, quality_rules, secret_scan, suffix_dedup, textblocks, token_counts
+from lectern.llm import bpe, crf, decontaminate, license_scan, minhash, pii, quality_knn, quality_rules, secret_scan, storage, suffix_dedup, textblocks, token_counts
 from lectern.llm.oracles import ORACLES
 from lectern.llm.queries import QUERIES
 from lectern.llm.storage import new_path
@@ -376,3 +377,65 @@ def test_suffixes_across_many_buckets(spark, monkeypatch):
     rows = spark.createDataFrame(texts, "doc_id long, text string")
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.deduplicated(rows, with_bytes=False).collect()}
     assert got == removed([(k, t or "") for k, t in texts])
+
+
+def applied(spark, name, rows):
+    """Each operator as its query applies it, on a table of the test's own."""
+    from lectern.llm.queries import TOKENIZER
+
+    path = public_tokenizers.path(TOKENIZER)
+    items = spark.createDataFrame([(1, "one TWO three")], "item_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 18)], "doc_id long, quality int, toxic int")
+    return {
+        "licenses": lambda: license_scan.scan(rows),
+        "suffixes": lambda: suffix_dedup.deduplicated(rows, with_bytes=False),
+        "minhash": lambda: minhash.near_duplicates(rows, 3, 85),
+        "decontaminate": lambda: decontaminate.mark(rows, items),
+        "counts": lambda: token_counts.count(rows, path, new_path(spark, "odd-cache")),
+        "bpe": lambda: bpe.encode(rows, path, with_ids=False),
+        "secrets": lambda: secret_scan.scan(rows),
+        "votes": lambda: quality_knn.classify(rows, quality_knn.fit(rows, labels)),
+        "rules": lambda: quality_rules.judge(rows).select("doc_id", "n_words", "kept", "failed_rules"),
+        "pii": lambda: pii.find(rows, pii.learn()),
+    }[name]()
+
+
+@pytest.mark.parametrize("name", ["licenses", "suffixes", "minhash", "decontaminate", "counts", "bpe", "secrets", "votes", "rules", "pii"])
+def test_odd_tables(spark, odd, name):
+    """Empty tables, null ids, repeated rows, a long text without breaks, and columns named like results or like nothing else."""
+    plain = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "no id"), (None, None), (20, "word, " * 30_000), (21, "x" * 150_000)], "doc_id long, text string"))
+    clashing = ["n_words", "n_bytes", "n_tokens", "kept", "score", "spans", "items", "digest", "key", "hash", "place", "_key", "_text", "bucket", "n", "node", "part", "sub", "window", "held_out"]
+    wide = plain.withColumns({c: F.lit("?") for c in clashing})
+    got = applied(spark, name, plain)
+    rows = Counter(map(repr, got.collect()))
+    assert sum(rows.values()) == plain.count()
+    assert Counter(map(repr, applied(spark, name, wide).select(got.columns).collect())) == rows
+    empty = applied(spark, name, plain.limit(0))
+    assert empty.columns == got.columns and empty.collect() == []
+
+
+def test_license_ties(spark):
+    """Wordings that reduce alike: the earlier one is the text's license; of equal spans the first template."""
+    a = "Released under the MIT License."
+    got = license_scan.scan(spark.createDataFrame([(1, f"{a} {a}"), (2, "")], "doc_id long, text string")).collect()
+    spans = {r["doc_id"]: (r["license"], r["spans"]) for r in got}
+    assert spans[1] == ("MIT", f"MIT:0:{len(a) - 1},MIT:{len(a) + 1}:{2 * len(a)}") and spans[2] == ("", "")
+
+
+def test_warm_cache_moves_no_text(spark, docs):
+    """A second run finds all counts; a new text is the only one that is encoded."""
+    cache = new_path(spark, "warm")
+    first = sorted(map(tuple, token_counts.count(docs, PATH, cache).collect()))
+    stored = spark.read.parquet(cache).count()
+    assert sorted(map(tuple, token_counts.count(docs, PATH, cache).collect())) == first and spark.read.parquet(cache).count() == stored
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, "one text more"), (10**6 + 1, "one  text\tmore")], "doc_id long, text string"))
+    assert token_counts.count(more, PATH, cache).count() == docs.count() + 2 and spark.read.parquet(cache).count() == stored + 1
+
+
+def test_bit_maps_lose_no_row(spark):
+    rows = spark.range(4000).withColumn("h", F.xxhash64("id"))
+    table = rows.where("id % 7 = 0")
+    sure, maybe = storage.parted(rows, F.col("h"), table, F.col("h"))
+    assert sure.count() + maybe.count() == 4000 and sure.columns == rows.columns
+    assert maybe.join(table, "id").count() == table.count() and maybe.count() < 1.1 * table.count()
+    assert storage.parted(rows, F.col("h"), table.limit(0), F.col("h"))[1].count() == 0
