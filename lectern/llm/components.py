@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .storage import kept
+from .storage import discard, kept
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,7 +24,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         seen = Observation()
         digest = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-        edges = kept(small.where("u <> v").distinct().observe(seen, *digest), "small-star")
+        old, edges = edges, kept(small.where("u <> v").distinct().observe(seen, *digest), "small-star")
+        discard(old, large)
         if seen.get == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = seen.get

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import kept, parted
+from .storage import discard, kept, parted
 from .textblocks import NOT_SPACE, Block, blocks, lower_ascii, mix, shingle_hashes
 from .workers import mapped
 
@@ -163,11 +163,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     company = crowded.groupBy("node").agg(F.sum("size").alias("company"))
     centres = kept(crowded.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("best")).select("bucket", F.col("best.node").alias("centre")), "centres")
     members = kept(crowded.join(centres, "bucket"), "members")
+    discard(shared, crowded, centres)
     involved = members.select(F.col("node").alias("digest")).distinct().join(classes.select("digest", "rep.key", "rep.text_hash"), "digest")
     involved = kept(involved, "involved")
     _, near = parted(rows, F.col("text_hash"), involved, F.col("text_hash"))
-    sets = kept(mapped(near.join(involved, ["key", "text_hash"]).select(F.col("digest").alias("node"), "text"), _sets(k), "node binary, grams array<long>"), "sets").dropDuplicates(["node"])
-    sets = kept(sets, "distinct-sets")
+    repeated = kept(mapped(near.join(involved, ["key", "text_hash"]).select(F.col("digest").alias("node"), "text"), _sets(k), "node binary, grams array<long>"), "sets")
+    sets = kept(repeated.dropDuplicates(["node"]), "distinct-sets")
+    discard(repeated, involved)
     marks = classes.select(F.col("digest").alias("node"), "n", "bits")
 
     def alike(n_a: str, n_b: str, bits_a: str, bits_b: str) -> Column:
@@ -185,23 +187,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         return pairs.where(100 * both >= percent * (F.size("grams_a") + F.size("grams_b") - both)).select("a", "b")
 
     links = kept(confirmed(members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), False), "centre-links")
-    roots = components(links)
+    roots = first = components(links)
     # Buckets whose members are still in several components: compare those across components.
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    open_ = kept(placed.where("node <> centre").join(kept(mixed, "mixed"), "bucket").select("bucket", "size", "centre", "node", "root"), "open")
+    mixed = kept(placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket"), "mixed")
+    open_ = kept(placed.where("node <> centre").join(mixed, "bucket").select("bucket", "size", "centre", "node", "root"), "open")
     few = open_.where(F.col("size") <= SMALL_BUCKET).join(marks, "node")
     left, right = (few.select("bucket", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
     crossed = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("root_a") < F.col("root_b")) & alike("n_a", "n_b", "bits_a", "bits_b")).select("a", "b").distinct()
     many = open_.where(F.col("size") > SMALL_BUCKET).select("centre", "node", "root").distinct()
     far = _cross_by_differences(many, sets, marks, roots, percent, alike)
-    more = kept(confirmed(kept(crossed.union(far).distinct(), "crossed"), True), "cross-links")
+    crossing = kept(crossed.union(far).distinct(), "crossed")
+    more = kept(confirmed(crossing, True), "cross-links")
+    discard(members, mixed, open_, crossing, sets)
     if not more.isEmpty():
         roots = components(links.union(more))
 
     grouped = classes.select(F.col("digest").alias("node"), "rep.key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = kept(grouped.groupBy("root").agg(F.min("key").alias("component_id")), "least")
     ids = kept(grouped.join(least, "root").select(F.col("node").alias("digest"), "component_id"), "component-ids")
+    discard(classes, links, more, least, *{id(x): x for x in (first, roots)}.values())
     out = sketched.select("key", "n", "digest").join(ids, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("key")).otherwise(F.when(F.col("key").isNotNull(), F.col("component_id")))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"))
