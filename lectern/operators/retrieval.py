@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .shared import settled
+from .shared import sent_if_few, settled
 
 
 def facet_filter(df: DataFrame, facets: dict[str, object]) -> DataFrame:
@@ -71,7 +71,7 @@ def postings(docs: DataFrame, fields: dict[str, Column], asked: DataFrame, key:
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), t.alias("terms")) for name, t in fields.items()]))
     split = docs.select(key, each.alias("f")).select(key, "f.field", F.col("f.terms").alias("terms"), F.size("f.terms").cast("double").alias("dl")).where("dl > 0")
     rows = split.select(key, "field", "dl", F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))
-    wanted = asked.select("field", "term").union(asked.select("field", F.lit("").alias("term"))).distinct()
+    wanted = sent_if_few(asked.select("field", "term").union(asked.select("field", F.lit("").alias("term"))).distinct())
     return settled(rows.join(wanted, ["field", "term"], "left_semi").groupBy("field", key, "term", "dl").agg(F.count(F.lit(1)).cast("double").alias("tf")))
 
 

@@ -3,18 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+#: Most rows of a side that is sent to all tasks.
+FEW = 100_000
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` as written once to the shared folder named by ``spark.checkpoint.dir``; its lineage ends there. Where the setting is empty, on one machine, a new temporary folder is used."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        found = context.getConf().get(SETTING) or df.sparkSession.conf.get(SETTING, None)
-        if not found and not context.master.startswith("local"):
+    """``df`` as written once, as Parquet, to the shared folder named by ``spark.checkpoint.dir``; its lineage ends there. Where the setting is empty, on one machine, a new temporary folder is used."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get(SETTING) or spark.conf.get(SETTING, None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{SETTING} must name a folder that all executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="lectern-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="lectern-")
+        spark.conf.set(SETTING, folder)
+    path = f"{folder.rstrip('/')}/lectern/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sent_if_few(df: DataFrame) -> DataFrame:
+    """``df``, written once and counted: with at most ``FEW`` rows it is sent to all tasks of a join, with more Spark joins it as it sees fit."""
+    kept = settled(df)
+    return F.broadcast(kept) if kept.count() <= FEW else kept
