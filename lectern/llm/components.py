@@ -13,8 +13,13 @@ from .storage import discard, kept
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node`` and ``root`` (the least node of its component) for every node of ``links`` but the roots."""
-    edges = kept(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
+    """``node`` and ``root`` (the least node of its component) for every node of ``links`` but the roots.
+
+    Repeated links count once, in either direction, and a link of a node with itself not at all;
+    no links, no rows. A link without one of its ends is none. Other columns are not looked at.
+    """
+    whole = F.col(a).isNotNull() & F.col(b).isNotNull()
+    edges = kept(links.where(whole).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
     before = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lectern.llm import bpe, crf, decontaminate, license_scan, minhash, pii, quality_knn, quality_rules, secret_scan, storage, suffix_dedup, textblocks, token_counts
+from lectern.llm import components as components_
 from lectern.llm.oracles import ORACLES
 from lectern.llm.queries import QUERIES
 from lectern.llm.storage import new_path
@@ -439,3 +440,11 @@ def test_bit_maps_lose_no_row(spark):
     assert sure.count() + maybe.count() == 4000 and sure.columns == rows.columns
     assert maybe.join(table, "id").count() == table.count() and maybe.count() < 1.1 * table.count()
     assert storage.parted(rows, F.col("h"), table.limit(0), F.col("h"))[1].count() == 0
+
+
+def test_components_of_chains(spark):
+    """A long chain, a star, a ring, repeated and missing links."""
+    links = [(k, k + 1) for k in range(1, 60)] + [(100, k) for k in range(101, 120)] + [(200, 201), (201, 202), (202, 200), (200, 201), (201, 200), (300, 300), (None, 5), (7, None)]
+    got = {r["node"]: r["root"] for r in components_.components(spark.createDataFrame(links, "a int, b int")).collect()}
+    assert got == {k: 1 for k in range(2, 61)} | {k: 100 for k in range(101, 120)} | {201: 200, 202: 200}
+    assert components_.components(spark.createDataFrame([], "a int, b int")).collect() == []
