@@ -187,9 +187,11 @@ def dense(vectors: DataFrame, questions: DataFrame, k: int, key: str = "vec_id",
 
 def hashed_vectors(docs: DataFrame, key: str, text: str, dimensions: int = 64) -> DataFrame:
     """A stand-in for an encoder: trigrams of letters hashed into ``dimensions`` signed buckets, at unit length. A text without trigrams has the zero vector."""
-    said = docs.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("_t"))
-    at = F.when(F.length("_t") >= 3, F.sequence(F.lit(1), F.length("_t") - 2))
-    hashed = said.select(key, F.explode_outer(F.transform(at, lambda k: F.crc32(F.substring(F.col("_t"), k, F.lit(3)).cast("binary")))).alias("_h"))
+    letters = docs.select(key, F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), ""), "").alias("_c"))
+    joined = lambda x, y: F.zip_with(x, y, lambda a, b: F.concat(a, b))  # noqa: E731  null where one is shorter
+    behind = lambda k: F.slice("_c", k, F.size("_c"))
+    grams = F.filter(joined(joined(F.col("_c"), behind(2)), behind(3)), lambda x: x.isNotNull())
+    hashed = letters.select(key, F.explode_outer(F.transform(grams, lambda x: F.crc32(x.cast("binary")))).alias("_h"))
     summed = hashed.groupBy(key, (F.col("_h") % dimensions).alias("_bucket")).agg(F.sum(F.when(F.floor(F.col("_h") / dimensions) % 2 == 0, 1.0).otherwise(-1.0)).alias("_v"))
     real = F.col("_bucket").isNotNull()
     wide = summed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(real, F.struct("_bucket", "_v")))).alias("_m"), F.sqrt(F.sum(F.when(real, F.col("_v") * F.col("_v")))).alias("_n"))  # ``dimensions`` entries at most
