@@ -138,7 +138,7 @@ def hybrid(spark, sf_dir):
     """Both ranked lists of every benchmark question, fused. The question's vector is the one of the same number."""
     lexical = R.top(R.bm25(table(spark, sf_dir, "documents"), _questions(spark, sf_dir)), "item_id", "doc_id", 40)
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    q = v.withColumnRenamed("doc_id", "item_id").join(F.broadcast(_questions(spark, sf_dir).select("item_id")), "item_id", "left_semi")
+    q = v.withColumnRenamed("doc_id", "item_id").join(_questions(spark, sf_dir).select("item_id"), "item_id", "left_semi")
     near = R.top(R.dense(v, q, 40, "doc_id", "item_id"), "item_id", "doc_id", 40)
     return R.fuse(lexical, near, "item_id", "doc_id")
 
@@ -261,7 +261,7 @@ def flagship(spark, sf_dir):
     chunks = C.fixed(table(spark, sf_dir, "documents"), 1024, 150).select(F.concat(F.lit("doc_"), "doc_id", F.lit(".txt_chunk_"), "chunk_index").alias("chunk_id"), "doc_id", F.col("chunk").alias("text"))
     lexical = R.top(R.bm25(chunks, _questions(spark, sf_dir), key="chunk_id"), "item_id", "chunk_id", 40)
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    q = v.withColumnRenamed("doc_id", "item_id").join(F.broadcast(_questions(spark, sf_dir).select("item_id")), "item_id", "left_semi")
+    q = v.withColumnRenamed("doc_id", "item_id").join(_questions(spark, sf_dir).select("item_id"), "item_id", "left_semi")
     by_doc = R.top(R.dense(v, q, 40, "doc_id", "item_id"), "item_id", "doc_id", 40)
     near = by_doc.join(chunks.select("doc_id", "chunk_id"), "doc_id").select("item_id", "chunk_id", "score", (F.col("rank") * 1000).alias("rank"))
     return R.fuse(lexical, near, "item_id", "chunk_id").where("rank <= 10").withColumn("point_id", T.point_id(F.col("chunk_id")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.pages import image_words
+from ..operators.sync import index_of
 from .registry import query, table
 
 _FILES = "SELECT doc_id, text, lang, source, 'doc_' || doc_id || '.txt' AS file_name, '/' || source || '/' || lang || '/doc_' || doc_id || '.txt' AS file_path FROM documents"
@@ -55,11 +56,8 @@ def sql_table_name(spark, sf_dir):
 SELECT doc_id, coalesce(given, CASE WHEN prefix IS NOT NULL THEN lang END, 'documents') AS index_name FROM f LEFT JOIN r ON starts_with(file_path, prefix)""")
 def route_index(spark, sf_dir):
     """Explicit index of the watched path, else its first sub-folder, else the default."""
-    watched = spark.createDataFrame([("/src0/", "hot"), ("/src1/", None), ("/src2/", None)], "prefix string, given string")
-    f = files(spark, sf_dir)
-    below = F.split(F.expr("substring(file_path, length(prefix) + 1)"), "/")
-    routed = f.join(F.broadcast(watched), F.col("file_path").startswith(F.col("prefix")), "left")
-    return routed.select("doc_id", F.coalesce("given", F.when(F.size(below) > 1, T.index_name(F.get(below, 0), None, True)), F.lit("documents")).alias("index_name"))
+    watched = [("/src0", "hot"), ("/src1", None), ("/src2/", None)]
+    return files(spark, sf_dir).select("doc_id", index_of(F.col("file_path"), watched).alias("index_name"))
 
 
 @query("SELECT doc_id, strip_accents(replace(replace(text, '’', ''''), '‘', '''')) AS plain FROM documents")
