@@ -40,4 +40,35 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coa
        coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN s USING (r)
 """
 
-ORACLES = {"op4_decontaminate": OP4, "op9_quality_rules": OP9}
+_ROUNDS = "".join(
+    f"""
+a{r} AS MATERIALIZED (SELECT row_id, v, c, distance FROM (SELECT row_id, p.v, c, list_sum(list_transform(range(1, 65), lambda i: (p.v[i] - m.v[i]) * (p.v[i] - m.v[i])))::BIGINT AS distance FROM p, c{r} m)
+     QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY distance, c) = 1),"""
+    + (
+        f"""
+s{r} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i),
+n{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN n{r} USING (c)),"""
+        if r < 10
+        else ""
+    )
+    for r in range(11)
+)
+OP11 = f"""
+WITH p AS MATERIALIZED (SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+     WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1)::INT AS c, v FROM p QUALIFY c < 8),{_ROUNDS}
+SELECT vec_id, c AS cluster, distance, sum(distance) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c10.v, ',')) AS centroid_sha256
+FROM a10 JOIN c10 USING (c) JOIN p USING (row_id)
+"""
+
+OP12 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+k AS (SELECT r, l, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
+x AS (SELECT r, i, line, translate(regexp_replace(line, '^[ \t-\r]+|[ \t-\r]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM k),
+g AS (SELECT k FROM x WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10),
+o AS (SELECT r, count(*)::BIGINT AS n, count(g.k)::BIGINT AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (g.k IS NULL) AS left_ FROM x LEFT JOIN g USING (k) GROUP BY r)
+SELECT doc_id, n AS n_lines, n_dropped, sha256(coalesce(left_, '')) AS kept_sha256 FROM d JOIN o USING (r)
+"""
+
+ORACLES = {"op4_decontaminate": OP4, "op9_quality_rules": OP9, "op11_lloyd": OP11, "op12_line_dedup": OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, license_scan, minhash, pii, quality_knn, quality_rules, secret_scan, suffix_dedup, token_counts
+from . import bpe, decontaminate, license_scan, line_dedup, lloyd, minhash, pii, quality_knn, quality_rules, secret_scan, suffix_dedup, token_counts
 from .oracles import ORACLES
 from .storage import new_path
 
@@ -60,6 +60,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"), pii.learn())
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op3_minhash, op4_decontaminate, op5_token_counts, op6_bpe, op7_secret_scan, op8_quality_knn, op9_quality_rules, op10_pii)}
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_license_scan, op2_suffix_dedup, op3_minhash, op4_decontaminate, op5_token_counts, op6_bpe, op7_secret_scan, op8_quality_knn, op9_quality_rules, op10_pii, op11_lloyd, op12_line_dedup)
+QUERIES = {f.__name__: f for f in _ALL}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -50,7 +50,7 @@ def both(*frames):
 def test_sql(spark, name):
     df = QUERIES[name](spark, SF)
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     found = c.execute(ORACLES[name])
     order = [x[0] for x in found.description]
