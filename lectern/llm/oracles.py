@@ -71,4 +71,19 @@ o AS (SELECT r, count(*)::BIGINT AS n, count(g.k)::BIGINT AS n_dropped, string_a
 SELECT doc_id, n AS n_lines, n_dropped, sha256(coalesce(left_, '')) AS kept_sha256 FROM d JOIN o USING (r)
 """
 
-ORACLES = {"op4_decontaminate": OP4, "op9_quality_rules": OP9, "op11_lloyd": OP11, "op12_line_dedup": OP12}
+_CRC = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+OP13 = f"""
+WITH crc AS MATERIALIZED (SELECT {_CRC} AS t),
+s AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS MATERIALIZED (SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY turn NULLS FIRST) AS l, list(len(regexp_extract_all(text, '[^ \\t-\\r]+')) ORDER BY turn NULLS FIRST) AS w,
+      (xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(any_value(crc.t)[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 4)::INT AS h FROM s, crc GROUP BY conv_id),
+r AS MATERIALIZED (SELECT o.conv_id, coalesce(f.l[1:o.h], []) || o.l[o.h + 1:] AS l, coalesce(f.w[1:o.h], []) || o.w[o.h + 1:] AS w FROM o LEFT JOIN o f ON f.conv_id = o.conv_id - o.conv_id % 20),
+p AS MATERIALIZED (SELECT conv_id, d, sha256(array_to_string(l[1:d], ',')) AS k, CASE WHEN d > 0 THEN sha256(array_to_string(l[1:d - 1], ',')) END AS up, len(l) = d AS ends, CASE WHEN d > 0 THEN w[d] ELSE 0 END AS words FROM (SELECT *, unnest(range(len(l) + 1)) AS d FROM r)),
+n AS MATERIALIZED (SELECT k, d, min(conv_id) AS conv_id, any_value(up) AS up, count(*)::BIGINT AS n, any_value(words) AS words, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS e FROM p GROUP BY k, d),
+c AS (SELECT up AS k, d - 1 AS d, count(*)::BIGINT AS n FROM n WHERE up IS NOT NULL GROUP BY ALL),
+t AS (SELECT a.k, a.d, sum((c.n IS NULL)::INT)::BIGINT AS leaves, sum((n.n - 1) * n.words)::BIGINT AS saved FROM n LEFT JOIN c USING (k, d) JOIN p a ON a.conv_id = n.conv_id AND a.d <= n.d GROUP BY ALL)
+SELECT n.conv_id, n.d::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(c.n, 0) AS n_children, t.leaves AS n_leaves, t.saved AS saved_tokens, sha256(n.e) AS ends_sha256
+FROM n JOIN t USING (k, d) LEFT JOIN c USING (k, d) LEFT JOIN n u ON u.k = n.up AND u.d = n.d - 1
+"""
+
+ORACLES = {"op4_decontaminate": OP4, "op9_quality_rules": OP9, "op11_lloyd": OP11, "op12_line_dedup": OP12, "op13_prefix_trie": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, license_scan, line_dedup, lloyd, minhash, pii, quality_knn, quality_rules, secret_scan, suffix_dedup, token_counts
+from . import bpe, decontaminate, license_scan, line_dedup, lloyd, minhash, pii, prefix_trie, quality_knn, quality_rules, secret_scan, suffix_dedup, token_counts
 from .oracles import ORACLES
 from .storage import new_path
 
@@ -68,7 +68,11 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(_table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_license_scan, op2_suffix_dedup, op3_minhash, op4_decontaminate, op5_token_counts, op6_bpe, op7_secret_scan, op8_quality_knn, op9_quality_rules, op10_pii, op11_lloyd, op12_line_dedup)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+_ALL = (op1_license_scan, op2_suffix_dedup, op3_minhash, op4_decontaminate, op5_token_counts, op6_bpe, op7_secret_scan, op8_quality_knn, op9_quality_rules, op10_pii, op11_lloyd, op12_line_dedup, op13_prefix_trie)
 QUERIES = {f.__name__: f for f in _ALL}
 
 __all__ = ["ORACLES", "QUERIES"]
