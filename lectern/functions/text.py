@@ -131,7 +131,7 @@ def kept_yield(reference: Column, extracted: Column, ratio: float) -> Column:
 
 #: A capitalised word with its linked parts; what may stand between a line's start and its first word.
 PROPER = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:[-'’][A-Za-zÀ-ÖØ-öø-ÿ]+)*"
-_LINE_HEAD = r"(?:[-*•]|\d{1,6}[.)]|#{1,6})?"
+_LINE_HEAD = r"(?:[-*•]|\d++[.)]|#{1,6}+)?"
 #: Kinds of objects, how questions begin, themes in names of volumes, kinds of sections.
 OBJECT_KINDS = ("comparaison", "etude", "mesure", "element", "forme")
 QUESTION_HEADS = (
@@ -144,10 +144,22 @@ VOLUME_THEMES = r"\b(rnt|paysag|naturel|acoust|sant|milieu humain|physique)"
 
 
 def proper_nouns(text: Column, lot: Column) -> Column:
-    """Distinct capitalised words of four letters or more inside sentences that the lot holds as they are, but not in small letters."""
-    inside = rf"(?<![\w'’-])(?<![.!?;\n][*_ \t]{{0,9}})(?<!(?:^|\n)\s{{0,9}}{_LINE_HEAD}[*_\s]{{0,9}})({PROPER})"
-    small = lambda w: F.concat(F.lit(r"(?<![\w'’-])"), F.lower(w), F.lit(r"(?![\w-])"))
-    words = F.array_distinct(F.regexp_extract_all(text, F.lit(inside), F.lit(1)))
+    """Distinct capitalised words of four letters or more inside sentences that the lot holds as they are, but not in small letters.
+
+    Every such word is marked, and judged by what stands between it and the marked word before
+    it: nothing at the head of a line or sentence reaches further back, since words have letters.
+    """
+    marked = F.regexp_replace(F.translate(text, "\ue000\ue001", "  "), rf"(?U)(?<![\w'’-])({PROPER})", "\ue000$1\ue001")
+    pieces = F.split(marked, "\ue000")
+
+    def judged(piece: Column, at: Column) -> Column:
+        before = F.regexp_replace(F.element_at(F.split(F.get(pieces, at), "\ue001"), -1), r"[*_ \t]+\z", "")
+        first = (at == 0) & before.rlike(rf"(?U)\A\s*+{_LINE_HEAD}+\s*+\z")
+        head = first | before.rlike(r"[\n.!?;]\z") | before.rlike(rf"(?U)\n\s*+{_LINE_HEAD}+\s*+\z")
+        return F.when(~head, F.get(F.split(piece, "\ue001"), F.lit(0)))
+
+    small = lambda w: F.concat(F.lit(r"(?U)(?<![\w'’-])"), F.lower(w), F.lit(r"(?![\w-])"))
+    words = F.array_distinct(F.array_compact(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), judged)))
     return F.filter(words, lambda w: (F.length(w) >= 4) & (F.instr(lot, w) > 0) & ~F.regexp_like(lot, small(w)))
 
 

@@ -62,19 +62,24 @@ def cascade_delete(spark, sf_dir):
     return Y.with_parent(chunks, left, "doc_id")
 
 
-@query("SELECT event_type, reason IS NOT NULL AS ignored, coalesce(reason, '') AS reason, count(*)::BIGINT AS n FROM (SELECT event_type, CASE WHEN event_id % 4 = 1 THEN 'temporary extension' WHEN event_id % 4 = 2 THEN 'temporary name' WHEN event_id % 4 = 3 THEN 'temporary name' END AS reason FROM events) GROUP BY ALL")
+_ENDS = ("a.md", "a.TMP", "~$a.md", ".DS_Store", "~a.md", "Thumbs.db")
+_WHY = "[NULL, 'temporary extension', 'temporary name', 'excluded folder', NULL, 'excluded folder']"
+
+
+@query(f"SELECT event_type, reason IS NOT NULL AS ignored, coalesce(reason, '') AS reason, count(*)::BIGINT AS n FROM (SELECT event_type, {_WHY}[(event_id % 6 + 1)::INT] AS reason FROM events) GROUP BY ALL")
 def event_log(spark, sf_dir):
     """Every raw event is logged with whether, and why, it is ignored."""
-    suffix = F.element_at(F.array(F.lit("a.md"), F.lit("a.TMP"), F.lit("~a.md"), F.lit("Thumbs.db")), (F.col("event_id") % 4 + 1).cast("int"))
-    log = Y.logged(table(spark, sf_dir, "events").withColumn("path", F.concat(F.lit("/w/"), suffix)), F.col("path"), (".md", ".db"))
+    name = F.element_at(F.array(*[F.lit(x) for x in _ENDS]), (F.col("event_id") % 6 + 1).cast("int"))
+    log = Y.logged(table(spark, sf_dir, "events").withColumn("path", F.concat(F.lit("/w/"), name)), F.col("path"), (".md", ".db"))
     return log.groupBy("event_type", "ignored", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT page_id, page_id % 3 <> 1 AS takes, page_id % 3 = 0 AS takes_default FROM pages")
+@query("SELECT page_id, page_id % 5 IN (0, 2, 3) AND octet_length(encode(html)) <= 1500 AS takes, page_id % 5 IN (0, 3) AS takes_default, page_id % 5 = 0 AS takes_folders FROM pages")
 def allowed_extensions(spark, sf_dir):
-    """A list of the configuration, with or without points, in place of the default one."""
-    path = F.concat("url", F.element_at(F.array(F.lit("f.pdf"), F.lit("f.xyz"), F.lit("f.foo")), (F.col("page_id") % 3 + 1).cast("int")))
-    return table(spark, sf_dir, "pages").select("page_id", Y.taken(path, ("pdf", ".foo")).alias("takes"), Y.taken(path).alias("takes_default"))
+    """A list of the configuration, with or without points, in place of the default one; files up to a size; a scan that looks at folders."""
+    path = F.concat("url", F.element_at(F.array(*[F.lit(x) for x in ("f.pdf", "f.xyz", "f.foo", "/env/f.PDF", "/~$f.pdf")]), (F.col("page_id") % 5 + 1).cast("int")))
+    takes = Y.taken(path, ("pdf", ".foo"), F.octet_length("html"), most_mb=1500 / 1024 / 1024)
+    return table(spark, sf_dir, "pages").select("page_id", takes.alias("takes"), Y.taken(path).alias("takes_default"), Y.taken(path, folders=True).alias("takes_folders"))
 
 
 @query("SELECT e.event_id, d.doc_id FROM events e LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d ON d.doc_id = e.user_id")

@@ -109,15 +109,27 @@ def facet_filter_list(spark, sf_dir):
     return facet_filter(table(spark, sf_dir, "documents"), {"lang": ["fr", "es"], "source": ["src0", "src3"]}).select("doc_id", "lang", "source")
 
 
-@query("""SELECT page_id, CASE WHEN ext IN ('.tmp', '.temp', '.swp', '.bak', '.lock') THEN 'temporary extension' WHEN ext <> '' AND ext NOT IN ('.html', '.htm', '.txt', '.pdf', '.md', '.docx') THEN 'unsupported extension'
-WHEN starts_with(name, '~$') OR starts_with(name, '.~') OR starts_with(name, '._') THEN 'temporary name' WHEN list_has_any(string_split(path, '/'), ['.git', 'node_modules', '__pycache__', 'venv']) THEN 'excluded folder' END AS reason
-FROM (SELECT page_id, path, string_split(path, '/')[-1] AS name, regexp_extract(lower(string_split(path, '/')[-1]), '.(\\.[^.]+)$', 1) AS ext FROM (SELECT page_id, url || ['.html', '.tmp', '.exe', '', '/venv/a.txt'][(page_id % 5 + 1)::INT] AS path FROM pages))""")
+#: Each entry of the lists of eligibility in a name of its own, and what becomes of it.
+_NAMED = (
+    [(f"a{x}", "temporary extension") for x in ".tmp .temp .swp .swo .swn .lock .lck .pid .bak .bak2 .orig .ds_store .thumbs .TMP .Bak2".split()]
+    + [(f"b{x}", "") for x in ".pdf .docx .doc .odt .pptx .ppt .odp .xlsx .xls .ods .txt .md .csv .rtf .html .htm .xml .json .msg .eml .PDF".split()]
+    + [("b.rst", "excluded extension"), ("c.log", "unsupported extension"), ("c.exe", "unsupported extension"), ("c.txt~", "unsupported extension"), ("c~", ""), ("c", ""), (".bashrc", ""), ("c.d/e", "")]
+    + [("~$d.docx", "temporary name"), (".~d.odt", "temporary name"), ("._d.pdf", "temporary name"), ("~d.md", ""), ("~d", "")]
+    + [(f"{x}/e.txt", "excluded folder") for x in ".git .svn .hg __pycache__ .pytest_cache node_modules .venv venv env Thumbs.db .DS_Store mine".split()]
+    + [("thumbs.db", "unsupported extension"), ("Thumbs.db", "unsupported extension"), (".DS_Store", "excluded folder"), (".ds_store", ""), ("ENV/e.txt", ""), ("venv", "excluded folder")]
+)
+
+
+@query(f"""SELECT page_id, n.name, CASE WHEN n.reason <> '' THEN n.reason WHEN octet_length(encode(html)) > 1500 THEN 'too large' END AS reason
+FROM pages, (SELECT unnest([{', '.join(f"{{'name': '{n}', 'reason': '{r}'}}" for n, r in _NAMED)}]) AS n)""")
 def file_ignore_reason(spark, sf_dir):
+    """Every entry of the lists of eligibility, and of the settings' own, under the address of every page; its size is the page's."""
     from ..operators.sync import ignore_reason
 
-    suffix = F.element_at(F.array(*[F.lit(x) for x in (".html", ".tmp", ".exe", "", "/venv/a.txt")]), (F.col("page_id") % 5 + 1).cast("int"))
-    df = table(spark, sf_dir, "pages").select("page_id", F.concat("url", suffix).alias("path"))
-    return df.select("page_id", ignore_reason(F.col("path"), supported=(".html", ".htm", ".txt", ".pdf", ".md", ".docx")).alias("reason"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.octet_length("html").alias("size"))
+    files = pages.select("page_id", "url", "size", F.explode(F.array(*[F.lit(n) for n, _ in _NAMED])).alias("name"))
+    reason = ignore_reason(F.concat("url", F.lit("/"), "name"), size=F.col("size"), excluded_dirs=("mine",), excluded_extensions=(".rst",), most_mb=1500 / 1024 / 1024)
+    return files.select("page_id", "name", reason.alias("reason"))
 
 
 @query()
