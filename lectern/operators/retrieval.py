@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .near_terms import near
 from .shared import sent_if_few, settled
 
 
@@ -106,16 +107,12 @@ FIELDS = (Field("text", 3.0), Field("text_with_context", 2.0), Field("file_name"
 
 
 def expanded(asked: DataFrame, vocabulary: DataFrame, most: int = 10) -> DataFrame:
-    """``asked`` (``field, term`` and more) with ``found``, ``distance`` and ``share``: at most ``most`` terms of the field's vocabulary with the same first two letters at an edit distance that the term's length allows, itself among them. Terms further off count for less."""
-    allowed = F.when(F.length("term") <= 2, 0).when(F.length("term") <= 5, 1).otherwise(2)
-    own = asked.select("field", "term").distinct()
-    there = vocabulary.select("field", F.col("term").alias("found"), F.substring("term", 1, 2).alias("_head")).distinct()
-    near = own.withColumn("_head", F.substring("term", 1, 2)).join(there, ["field", "_head"]).where(F.abs(F.length("term") - F.length("found")) <= 2)
-    near = near.withColumn("distance", F.levenshtein("term", "found")).where(F.col("distance") <= allowed)
+    """``asked`` (``field, term`` and more) with ``found``, ``distance`` and ``share``: at most ``most`` terms of the field's vocabulary with the same first two letters at an edit distance that the term's length allows (a swap of neighbours is one edit), itself among them. Terms further off count for less."""
+    near_ = near(asked, vocabulary)
     w = Window.partitionBy("field", "term").orderBy("distance", "found")  # terms at so small a distance
-    near = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    best = near_.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
     share = 1 - F.col("distance") / F.least(F.length("term"), F.length("found"))
-    return asked.join(near.select("field", "term", "found", "distance", share.alias("share")), ["field", "term"])
+    return asked.join(best.select("field", "term", "found", "distance", share.alias("share")), ["field", "term"])
 
 
 def search(docs: DataFrame, questions: DataFrame, fields: tuple[Field, ...] = FIELDS, key: str = "doc_id", qid: str = "item_id", question: str = "text", fuzzy: bool = False) -> DataFrame:
@@ -165,8 +162,13 @@ def dense(vectors: DataFrame, questions: DataFrame, k: int, key: str = "vec_id",
     A vector without length has cosine 0 with any other; null vectors are in no list. Keys are
     integers.
     """
-    key_kind, qid_kind = vectors.schema[key].dataType.simpleString(), questions.schema[qid].dataType.simpleString()
     pairs = _packed(vectors, key, vector, VECTOR_BLOCK, ("keys", "points")).crossJoin(_packed(questions, qid, vector, QUESTION_BLOCK, ("qids", "aims")))
+    return compared(pairs, k, key, qid, digits)
+
+
+def compared(pairs: DataFrame, k: int, key: str, qid: str, digits: int = 6) -> DataFrame:
+    """``qid, key, score``: of every pair of a block of vectors (``keys, points``) and one of questions (``qids, aims``) each question's ``k`` nearest, by rounded cosine, then by key."""
+    key_kind, qid_kind = (pairs.schema[c].dataType.elementType.simpleString() for c in ("keys", "qids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

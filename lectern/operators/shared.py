@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
@@ -13,18 +13,22 @@ SETTING = "spark.checkpoint.dir"
 FEW = 100_000
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as written once, as Parquet, to the shared folder named by ``spark.checkpoint.dir``; its lineage ends there. Where the setting is empty, on one machine, a new temporary folder is used."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder named by ``spark.checkpoint.dir`` that nothing else uses. Where the setting is empty, on one machine, a new temporary folder is used."""
     folder = spark.sparkContext.getConf().get(SETTING) or spark.conf.get(SETTING, None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{SETTING} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set(SETTING, folder)
-    path = f"{folder.rstrip('/')}/lectern/settled-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/lectern/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str = "settled") -> DataFrame:
+    """``df`` as written once, as Parquet, to the shared folder; its lineage ends there."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sent_if_few(df: DataFrame) -> DataFrame:

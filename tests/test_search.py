@@ -1,14 +1,17 @@
 """Retrieval on small tables whose answers are known."""
 
 import math
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from lectern import settings
+from lectern import catalog, settings
 from lectern.operators import analytics as A
 from lectern.operators import retrieval as R
+from lectern.operators import near_terms as N
 from lectern.operators import sync as Y
+from lectern.operators.vector_index import CellIndex
 from lectern.streaming import changes
 
 DOCS = [
@@ -110,3 +113,83 @@ def test_settings_hold_from_the_next_batch(spark, tmp_path):
     assert seen == [(2, None), (2, 1), (2, 2)]
     changes.event_log(stream, F.col("path"), (".md",), f"{tmp_path}/log", f"{tmp_path}/cp2").awaitTermination()
     assert sorted((r["path"], r["reason"]) for r in spark.read.parquet(f"{tmp_path}/log").distinct().collect() if r["k"] == 0) == [("/w/a.md", None), ("/w/a.tmp", "temporary extension")]
+
+
+def test_cell_index(spark, tmp_path):
+    """Recall against brute force, exact scores, pruned partitions, an index opened again, odd rows."""
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(30, 16))
+    x = middle[rng.integers(0, 30, 3000)] + 0.15 * rng.normal(size=(3000, 16))
+    x[:1000] = x[0]  # a third of all rows are one vector
+    x[5] = 0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    folder = str(tmp_path / "index")
+    built = CellIndex.build(v, folder, k=10)
+    index = CellIndex(spark, folder)
+    assert index.probes == built.probes <= len(index.cells) // 4
+    assert index.blocks.select(F.explode("keys")).count() == 3000
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    found = {(r["qid"], r["vec_id"]): r["score"] for r in R.top(index.search(q, 10), "qid", "vec_id", 10).collect()}
+    exact = {(r["qid"], r["vec_id"]): r["score"] for r in R.top(R.dense(v, q, 10), "qid", "vec_id", 10).collect()}
+    assert len(found.keys() & exact.keys()) >= 0.9 * len(exact)
+    assert all(abs(found[p] - exact[p]) < 1e-6 for p in found.keys() & exact.keys())
+    one = index.search(q.where("qid = 2000"), 10, probes=2)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
+    assert len(one.collect()) <= 20
+    everything = R.top(index.search(q, 10, probes=len(index.cells)), "qid", "vec_id", 10)
+    assert {(r["qid"], r["vec_id"]): r["score"] for r in everything.collect()} == exact
+    empty = CellIndex.build(v.limit(0), str(tmp_path / "empty"))
+    assert empty.search(q, 3).collect() == []
+
+
+def test_recall_of_the_index(spark):
+    recall = catalog.queries()["ann_recall"](spark, "/root/testdata/sf0.01").agg(F.avg("recall")).first()[0]
+    assert recall >= 0.9
+
+
+def edits(a, b):
+    """Optimal string alignment, the whole table."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_near_terms(spark):
+    """Every term against every other: swaps are one edit, words of all lengths around the change of method, and the whole vocabulary of the smallest table."""
+    rng = random.Random(2)
+    words = {"ab", "abc", "abcd", "acbd", "abdc", "abcde", "abced", "abecd", "abcdef", "abdcef", "abdcfe", "ab" + "x" * 40, "ab" + "x" * 38}
+    for size in range(1, 24):
+        w = "ab" + "".join(rng.choice("cde") for _ in range(size))
+        for _ in range(12):
+            x = list(w)
+            for _ in range(rng.randint(0, 3)):
+                i = rng.randrange(1, len(x))
+                act = rng.randrange(4)
+                if act == 0:
+                    x[i] = rng.choice("cde")
+                elif act == 1 and len(x) > 3:
+                    del x[i]
+                elif act == 2:
+                    x.insert(i, rng.choice("cde"))
+                elif i + 1 < len(x):
+                    x[i], x[i + 1] = x[i + 1], x[i]
+            words.add("".join(x))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    own = {r[0] for r in docs.select(F.explode(R.terms(F.col("text")))).distinct().collect()}
+    asked = [*words, *sorted(own)[::40]]
+    field = F.lit("f").alias("field")
+    rows = lambda ws: spark.createDataFrame([(w,) for w in ws], "term string").select(field, "term")
+    got = {(r["term"], r["found"], r["distance"]) for r in N.near(rows(asked), rows(words | own)).collect()}
+    allowed = lambda w: 0 if len(w) <= 2 else 1 if len(w) <= 5 else 2
+    want = set()
+    for a in asked:
+        for b in words | own:
+            if a[:2] == b[:2] and abs(len(a) - len(b)) <= 2 and (n := edits(a, b)) <= allowed(a):
+                want.add((a, b, n))
+    assert got == want and len(want) > 3 * len(words)
