@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .near_terms import near
-from .shared import sent_if_few, settled
+from .shared import new_folder, settled
+from .term_index import TermIndex, terms_asked
 
 
 def facet_filter(df: DataFrame, facets: dict[str, object]) -> DataFrame:
@@ -61,36 +62,10 @@ def path_terms(path: Column) -> Column:
     return T.path_prefixes(F.coalesce(path, F.lit("")))
 
 
-def postings(docs: DataFrame, fields: dict[str, Column], asked: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One kept table of the postings that questions ask for: ``field, key, term, tf, dl``.
-
-    ``fields`` are arrays of terms, ``asked`` has distinct ``field, term``. Every text is split
-    once. For each field with terms, a posting of the term '' stands for the document itself:
-    from these come the numbers of documents and mean lengths. Postings of terms that nobody
-    asks for go before anything is shuffled.
-    """
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), t.alias("terms")) for name, t in fields.items()]))
-    split = docs.select(key, each.alias("f")).select(key, "f.field", F.col("f.terms").alias("terms"), F.size("f.terms").cast("double").alias("dl")).where("dl > 0")
-    rows = split.select(key, "field", "dl", F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))
-    wanted = sent_if_few(asked.select("field", "term").union(asked.select("field", F.lit("").alias("term"))).distinct())
-    return settled(rows.join(wanted, ["field", "term"], "left_semi").groupBy("field", key, "term", "dl").agg(F.count(F.lit(1)).cast("double").alias("tf")))
-
-
-def bm25_weights(kept: DataFrame, key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``field, key, term, w`` from kept postings, each weighed where it lies: the statistics of terms are joined to them."""
-    stats = kept.where("term = ''").groupBy("field").agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    found = kept.where("term <> ''")
-    df = found.groupBy("field", "term").agg(F.count(F.lit(1)).cast("double").alias("df")).join(stats, "field")
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return found.join(df, ["field", "term"]).select("field", key, "term", (idf * weight).alias("w"))
-
-
-def bm25(docs: DataFrame, questions: DataFrame, key: str = "doc_id", text: str = "text", qid: str = "item_id", question: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``qid, key, score`` for every document that shares a term with a question. Statistics cover all documents."""
-    asked = questions.select(qid, F.explode(F.array_distinct(terms(F.col(question)))).alias("term"))
-    kept = postings(docs, {"text": terms(F.col(text))}, asked.select(F.lit("text").alias("field"), "term").distinct(), key)
-    return asked.join(bm25_weights(kept, key, k1, b), "term").groupBy(qid, key).agg(F.sum("w").alias("score"))
+def bm25(docs: DataFrame, questions: DataFrame, key: str = "doc_id", text: str = "text", qid: str = "item_id", question: str = "text", k1: float = 1.2, b: float = 0.75, k: int | None = None, index: TermIndex | None = None) -> DataFrame:
+    """``qid, key, score`` for every document that shares a term with a question, or for each question's best ``k`` of every shard, which :func:`top` merges. Statistics cover all documents. ``index`` has the terms of ``text``; without one it is made."""
+    index = index or TermIndex.build(docs, {"text": terms(F.col(text))}, key, new_folder(docs.sparkSession, "term-index"))
+    return index.scores(terms_asked(questions, qid, {"text": terms(F.col(question))}), qid, key, k, k1, b).select(qid, key, "score")
 
 
 @dataclass(frozen=True)
@@ -115,23 +90,20 @@ def expanded(asked: DataFrame, vocabulary: DataFrame, most: int = 10) -> DataFra
     return asked.join(best.select("field", "term", "found", "distance", share.alias("share")), ["field", "term"])
 
 
-def search(docs: DataFrame, questions: DataFrame, fields: tuple[Field, ...] = FIELDS, key: str = "doc_id", qid: str = "item_id", question: str = "text", fuzzy: bool = False) -> DataFrame:
-    """``qid, key, score`` of the best field: each field's sum over the question's terms, with its own statistics, times its boost. ``fuzzy`` adds near terms of each field's vocabulary."""
-    asked = None
-    for f in fields:
-        part = questions.select(qid, F.lit(f.column).alias("field"), F.explode(F.array_distinct(f.analysis(F.col(question)))).alias("term"))
-        asked = part if asked is None else asked.unionByName(part)
-    arrays = {f.column: f.analysis(F.col(f.column)) for f in fields}
+def search_index(docs: DataFrame, folder: str, fields: tuple[Field, ...] = FIELDS, key: str = "doc_id") -> TermIndex:
+    return TermIndex.build(docs, {f.column: f.analysis(F.col(f.column)) for f in fields}, key, folder)
+
+
+def search(docs: DataFrame, questions: DataFrame, fields: tuple[Field, ...] = FIELDS, key: str = "doc_id", qid: str = "item_id", question: str = "text", fuzzy: bool = False, k: int | None = None, index: TermIndex | None = None) -> DataFrame:
+    """``qid, key, score`` of the best field: each field's sum over the question's terms, with its own statistics, times its boost. ``fuzzy`` adds near terms of each field's vocabulary. With ``k`` only documents that are among the best ``k`` of a field in a shard, so all that :func:`top` can want."""
+    index = index or search_index(docs, new_folder(docs.sparkSession, "term-index"), fields, key)
+    asked = terms_asked(questions, qid, {f.column: f.analysis(F.col(question)) for f in fields})
     if fuzzy:
-        each = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), F.array_distinct(t).alias("terms")) for name, t in arrays.items()]))
-        vocabulary = docs.select(each.alias("f")).select("f.field", F.explode("f.terms").alias("term")).distinct()
-        asked = settled(expanded(asked, vocabulary))
-    else:
-        asked = asked.withColumns({"found": F.col("term"), "share": F.lit(1.0)})
-    weights = bm25_weights(postings(docs, arrays, asked.select("field", F.col("found").alias("term")).distinct(), key), key)
-    scored = asked.select(qid, "field", F.col("found").alias("term"), "share").join(weights, ["field", "term"]).groupBy(qid, key, "field").agg(F.sum(F.col("share") * F.col("w")).alias("sum"))
+        vocabulary = index.rows.where("term <> ''").select("field", "term").distinct()
+        near_ = expanded(asked.drop("share"), vocabulary)
+        asked = settled(near_.select(qid, "field", F.col("found").alias("term"), "share"), "near-terms")
     boost = F.create_map(*[x for f in fields for x in (F.lit(f.column), F.lit(f.boost))])
-    return scored.groupBy(qid, key).agg(F.max(boost[F.col("field")] * F.col("sum")).alias("score"))
+    return index.scores(asked, qid, key, k).groupBy(qid, key).agg(F.max(boost[F.col("field")] * F.col("score")).alias("score"))
 
 
 #: Vectors and questions of one block.

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
-#: Most rows of a side that is sent to all tasks.
-FEW = 100_000
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -31,7 +29,24 @@ def settled(df: DataFrame, name: str = "settled") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sent_if_few(df: DataFrame) -> DataFrame:
-    """``df``, written once and counted: with at most ``FEW`` rows it is sent to all tasks of a join, with more Spark joins it as it sees fit."""
-    kept = settled(df)
-    return F.broadcast(kept) if kept.count() <= FEW else kept
+#: Folders of what a session has made once, by session, name and the files it was made from.
+_made: dict[tuple, str] = {}
+
+
+def once(df: DataFrame, name: str, make: Callable[[str], object]) -> str:
+    """The folder in which ``make`` has put what it makes from ``df``: made anew for each session, and when a file of ``df`` has changed."""
+    spark = df.sparkSession
+    jvm, files = spark._jvm, []
+    for f in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        files.append((f, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, name, hash(tuple(files)))
+    if key in _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made[key])
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return _made[key]
+    folder = new_folder(spark, name)
+    make(folder)
+    _made[key] = folder
+    return folder

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import retrieval as R
-from ..operators.shared import new_folder
+from ..operators.shared import new_folder, once
+from ..operators.term_index import TermIndex
 from ..operators.vector_index import CellIndex
 from .registry import query, table
 from .text import files
@@ -45,15 +46,26 @@ def _questions(spark, sf_dir):
     return table(spark, sf_dir, "benchmark")
 
 
+def _texts(spark, sf_dir) -> TermIndex:
+    """The documents' index, made once in a session for all queries that search them."""
+    docs = table(spark, sf_dir, "documents")
+    return TermIndex(spark, once(docs, "document-terms", lambda folder: TermIndex.build(docs, {"text": R.terms(F.col("text"))}, "doc_id", folder)))
+
+
+def _lexical(spark, sf_dir):
+    """The best 40 documents of every benchmark question."""
+    return R.top(R.bm25(table(spark, sf_dir, "documents"), _questions(spark, sf_dir), k=40, index=_texts(spark, sf_dir)), "item_id", "doc_id", 40)
+
+
 @query(f"WITH {_bm25()}, {_ranked('scored', 'item_id', 'doc_id', 40)} SELECT item_id, doc_id, score, rank::INT AS rank FROM r_scored")
 def bm25_topk(spark, sf_dir):
-    return R.top(R.bm25(table(spark, sf_dir, "documents"), _questions(spark, sf_dir)), "item_id", "doc_id", 40)
+    return _lexical(spark, sf_dir)
 
 
 @query(f"WITH {_bm25(chr(87) + 'HERE lang = ' + chr(39) + 'fr' + chr(39))}, {_ranked('scored', 'item_id', 'doc_id', 40)} SELECT item_id, doc_id, score, rank::INT AS rank FROM r_scored")
 def bm25_filtered(spark, sf_dir):
     """The facet filter comes before the top-k."""
-    return R.top(R.bm25(R.facet_filter(table(spark, sf_dir, "documents"), {"lang": "fr"}), _questions(spark, sf_dir)), "item_id", "doc_id", 40)
+    return R.top(R.bm25(R.facet_filter(table(spark, sf_dir, "documents"), {"lang": "fr"}), _questions(spark, sf_dir), k=40), "item_id", "doc_id", 40)
 
 
 _NAMES = "(SELECT doc_id, 'doc_' || doc_id || '.txt' AS text FROM documents)"
@@ -107,7 +119,7 @@ def bm25_fuzzy(spark, sf_dir):
     """Question terms expanded by vocabulary terms with the same two first letters at an edit distance that the length allows, swaps as one edit; ten for each."""
     field = F.lit("text").alias("field")
     asked = _questions(spark, sf_dir).select(field, F.explode(R.terms(F.col("text"))).alias("term")).distinct()
-    vocabulary = table(spark, sf_dir, "documents").select(field, F.explode(F.array_distinct(R.terms(F.col("text")))).alias("term")).distinct()
+    vocabulary = _texts(spark, sf_dir).rows.where("term <> ''").select("field", "term").distinct()
     return R.expanded(asked, vocabulary).select(F.col("term").alias("t"), F.col("found").alias("term"), "distance")
 
 
@@ -118,7 +130,7 @@ _SHARES = f"WITH {_EXPANDED} SELECT item_id, x.term AS t, 1 - distance::DOUBLE /
 def bm25_fuzzy_topk(spark, sf_dir):
     """Near terms are searched too and count for less."""
     field = R.Field("text", 1.0, R.terms)
-    return R.top(R.search(table(spark, sf_dir, "documents"), _questions(spark, sf_dir), (field,), fuzzy=True), "item_id", "doc_id", 40)
+    return R.top(R.search(table(spark, sf_dir, "documents"), _questions(spark, sf_dir), (field,), fuzzy=True, k=40, index=_texts(spark, sf_dir)), "item_id", "doc_id", 40)
 
 
 def _vectors(spark, sf_dir):
@@ -162,7 +174,7 @@ fused AS (SELECT item_id, doc_id, lr, dr, rrf, row_number() OVER (PARTITION BY i
 
 def hybrid(spark, sf_dir):
     """Both ranked lists of every benchmark question, fused. The question's vector is the one of the same number."""
-    lexical = R.top(R.bm25(table(spark, sf_dir, "documents"), _questions(spark, sf_dir)), "item_id", "doc_id", 40)
+    lexical = _lexical(spark, sf_dir)
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     q = v.withColumnRenamed("doc_id", "item_id").join(_questions(spark, sf_dir).select("item_id"), "item_id", "left_semi")
     near = R.top(R.dense(v, q, 40, "doc_id", "item_id"), "item_id", "doc_id", 40)
@@ -285,7 +297,7 @@ def catalogue_titles(spark, sf_dir):
 def flagship(spark, sf_dir):
     """Chunk, score chunks lexically for every question, fuse with the dense list of their documents, keep the best ten with context ids."""
     chunks = C.fixed(table(spark, sf_dir, "documents"), 1024, 150).select(F.concat(F.lit("doc_"), "doc_id", F.lit(".txt_chunk_"), "chunk_index").alias("chunk_id"), "doc_id", F.col("chunk").alias("text"))
-    lexical = R.top(R.bm25(chunks, _questions(spark, sf_dir), key="chunk_id"), "item_id", "chunk_id", 40)
+    lexical = R.top(R.bm25(chunks, _questions(spark, sf_dir), key="chunk_id", k=40), "item_id", "chunk_id", 40)
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     q = v.withColumnRenamed("doc_id", "item_id").join(_questions(spark, sf_dir).select("item_id"), "item_id", "left_semi")
     by_doc = R.top(R.dense(v, q, 40, "doc_id", "item_id"), "item_id", "doc_id", 40)

@@ -11,6 +11,7 @@ from lectern.operators import analytics as A
 from lectern.operators import retrieval as R
 from lectern.operators import near_terms as N
 from lectern.operators import sync as Y
+from lectern.operators import term_index as X
 from lectern.operators.vector_index import CellIndex
 from lectern.streaming import changes
 
@@ -193,3 +194,47 @@ def test_near_terms(spark):
             if a[:2] == b[:2] and abs(len(a) - len(b)) <= 2 and (n := edits(a, b)) <= allowed(a):
                 want.add((a, b, n))
     assert got == want and len(want) > 3 * len(words)
+
+
+def test_best_by_pruning(spark, tmp_path, monkeypatch):
+    """The best of many questions, exactly, however documents and questions are dealt, with equal scores, copies, empty documents and unknown terms; fewer sums are completed than there are pairs."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(120)]
+    chance = 1 / np.arange(1, 121)
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40), p=chance / chance.sum())) for _ in range(700)]
+    texts[100:160] = [texts[99] or "w7 w50"] * 60
+    docs = spark.createDataFrame([(f"d{i:04}", t) for i, t in enumerate(texts)] + [(None, "w1 w2")], "key string, text string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choice(words, rng.integers(1, 9)))) for i in range(60)] + [(98, "nowhere"), (99, None)], "item_id int, text string")
+    every = R.bm25(docs, asked, key="key")
+    want = sorted(map(tuple, R.top(every, "item_id", "key", 7).select("item_id", "key", "score", "rank").collect()))
+    split = [t.split() for t in texts]
+    mean = sum(map(len, split)) / sum(1 for t in split if t)
+    n = sum(1 for t in split if t)
+    for q, key, score, _ in want[::40]:
+        own = split[int(key[1:])]
+        by_hand = 0.0
+        for t in set(asked.where(F.col("item_id") == q).first()["text"].split()):
+            df, tf = sum(t in x for x in split), own.count(t)
+            by_hand += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * len(own) / mean))
+        assert abs(by_hand - score) < 1e-6
+    monkeypatch.setattr(X, "BLOCK", 16)
+    for shards, first in ((1, False), (9, True), (9, None)):
+        index = X.TermIndex.build(docs, {"text": R.terms(F.col("text"))}, "key", str(tmp_path / f"{shards}{first}"), shards)
+        monkeypatch.setattr(X, "FEW", 3)
+        best = R.bm25(docs, asked, key="key", k=7, index=index) if first is None else index.scores(X.terms_asked(asked, "item_id", {"text": R.terms(F.col("text"))}), "item_id", "key", 7, first=first).select("item_id", "key", "score")
+        assert sorted(map(tuple, R.top(best, "item_id", "key", 7).select("item_id", "key", "score", "rank").collect())) == want
+    assert R.bm25(docs.limit(0), asked, key="key", k=3).collect() == []
+
+
+def test_sums_that_are_not_completed():
+    """A frequent term of little weight: documents with it alone are never summed up."""
+    rare, often = np.arange(50), np.arange(5000)
+    terms = [(5.0, "a", 5.0, rare.astype("<i4"), np.linspace(0.5, 1, 50)), (0.3, "b", 0.3, often.astype("<i4"), np.linspace(0.1, 1, 5000))]
+    counted = []
+    at, sums = X._best(terms, 5000, 10, 0.0, counted)
+    assert counted[0] < 30 and at.tolist() == list(range(49, 39, -1))
+    full = np.zeros(5000)
+    for _, _, w, ids, part in terms:
+        full[ids] += w * part
+    assert np.allclose(sums, np.sort(full)[::-1][:10])
+    assert not len(X._best(terms, 5000, 10, 6.0)[0])
