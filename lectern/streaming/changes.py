@@ -1,8 +1,7 @@
-"""A stream of file changes applied to a store.
+"""A stream of file changes applied to a store of versions.
 
-The store is a log in a shared folder: each micro-batch writes its own sub-folder, so a batch
-that is run again after a failure replaces what it wrote before, and no batch rewrites the
-store. ``current`` reads the newest row of each file.
+Each micro-batch reads the store's snapshot and the batches since, only for the files that it
+names, and adds a batch of its own; a batch that is run again after a failure is added once.
 """
 
 from __future__ import annotations
@@ -16,37 +15,35 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.sync import latest, logged
+from .versions import MOST, Versions
 
 
-def current(spark: SparkSession, store: str, schema: StructType, before: int | None = None) -> DataFrame:
-    """The newest state of each file, deleted ones left out; ``before`` takes only earlier batches."""
-    log = spark.read.schema(StructType(list(schema.fields)).add("version", "long").add("batch", "long")).option("basePath", store).parquet(store)
-    log = log if before is None else log.where(F.col("batch") < before)
-    return latest(log, ["path"], F.col("batch")).where("action <> 'delete'")
+def current(spark: SparkSession, store: str, schema: StructType) -> DataFrame:
+    """The newest state of each file, deleted ones left out: a whole version, whatever is written meanwhile."""
+    return Versions(spark, store, schema).rows()
 
 
-def apply_changes(changes: DataFrame, store: str, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
+def apply_changes(changes: DataFrame, store: str, checkpoint: str, *, available_now: bool = True, most: int = MOST) -> StreamingQuery:
     """Apply ``path, action, content_hash, seq, ...`` rows (action upsert or delete) to ``store``.
 
     In a batch the last change of a file by ``seq`` counts. An upsert whose hash equals the
     stored one is skipped; another raises the file's version by one. A delete of a file that
-    the store lacks is skipped.
+    the store lacks is skipped. After ``most`` batches the store is compacted.
     """
     schema = changes.schema
 
     def one_batch(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        held = Versions(batch.sparkSession, store, schema, most)
+        manifest = held.manifest()
+        if number <= manifest["last"]:
+            return
         newest = latest(batch, ["path"], F.col("seq"))
-        path = spark._jvm.org.apache.hadoop.fs.Path(store)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            known = current(spark, store, schema, number).select("path", F.col("content_hash").alias("_hash"), F.col("version").alias("_version"))
-        else:
-            known = spark.createDataFrame([], "path string, _hash string, _version long")
+        known = held.rows(manifest, newest).select("path", F.col("content_hash").alias("_hash"), F.col("version").alias("_version"))
         joined = newest.join(known, "path", "left")
         goes = (F.col("action") == "delete") & F.col("_version").isNotNull()
         comes = (F.col("action") == "upsert") & ~F.col("content_hash").eqNullSafe(F.col("_hash"))
         out = joined.where(goes | comes).withColumn("version", F.coalesce(F.col("_version"), F.lit(0)).cast("long") + F.when(F.col("action") == "upsert", 1).otherwise(0))
-        out.drop("_hash", "_version").write.mode("overwrite").parquet(f"{store}/batch={number}")
+        held.add(out.drop("_hash", "_version"), number)
 
     writer = changes.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
