@@ -14,6 +14,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from .workers import hold, mapped
 
 #: Words whose encodings a worker keeps; beyond it the store is emptied and filled anew.
 CACHED_WORDS = 200_000
+#: Letters of a word from which it is merged alone.
+LONG_WORD = 256
 
 #: White space of the tokenizer's pattern language.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -140,9 +143,11 @@ class WordBpe:
         """Exact merging of several words: in each round every word merges its pair of lowest rank, leftmost first, until it has none."""
         vocab, suffix = self.vocab, self.suffix
         parts = [[vocab[c] for c in w[:-1] if c in vocab] + [vocab[w[-1] + suffix]] * (w[-1:] + suffix in vocab) for w in words]
+        long = {k: self._merge_long(x) for k, x in enumerate(parts) if len(x) > LONG_WORD}
+        parts = [[] if k in long else x for k, x in enumerate(parts)]
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         tokens = np.fromiter((t for x in parts for t in x), np.int64, int(lengths.sum()))
-        out: list[list[int]] = [[]] * len(words)
+        out: list[list[int]] = [long.get(k, []) for k in range(len(words))]
         owner = np.repeat(np.arange(len(words)), lengths)
         none = np.int64(1 << 40)
         ranks = np.full(len(tokens), none)
@@ -175,6 +180,29 @@ class WordBpe:
             ranks[ends] = none
         return out
 
+    def _merge_long(self, tokens: list[int]) -> list[int]:
+        """Exact merging of one word, its pairs in a heap by rank and place: n log n steps."""
+        tokens = tokens[:]
+        end = len(tokens)
+        before, after = [*range(-1, end - 1)], [*range(1, end + 1)]
+        ranks, made = self.ranks, self.made_by_rank
+        pairs = [(ranks[pair], i, *pair) for i, pair in enumerate(zip(tokens, tokens[1:], strict=False)) if pair in ranks]
+        heapify(pairs)
+        while pairs:
+            rank, i, a, b = heappop(pairs)
+            j = after[i]
+            if tokens[i] != a or j >= end or tokens[j] != b:
+                continue  # one of the two has been merged
+            tokens[i], tokens[j] = int(made[rank]), -1
+            after[i] = after[j]
+            if after[i] < end:
+                before[after[i]] = i
+                if (pair := (tokens[i], tokens[after[i]])) in ranks:
+                    heappush(pairs, (ranks[pair], i, *pair))
+            if before[i] >= 0 and (pair := (tokens[before[i]], tokens[i])) in ranks:
+                heappush(pairs, (ranks[pair], before[i], *pair))
+        return [t for t in tokens if t >= 0]
+
     def learn(self, words: Iterable[str]) -> None:
         """Encode new words and store their ids and shown tokens."""
         new = list(words)

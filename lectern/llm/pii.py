@@ -12,7 +12,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -279,6 +281,9 @@ def find(docs: DataFrame, model: Crf, key: str = "doc_id", text: str = "text") -
             rows = []
             for block in blocks(batch.column(1)):
                 added = found_by(shared.value, block)
+                points = np.zeros(len(block.data) + 1, np.int64)  # code points before each byte
+                if added:
+                    np.cumsum((block.data & 0xC0) != 0x80, out=points[1:])
                 marked = np.zeros(len(block.data) + 1, np.int32)
                 np.cumsum(_DIGITS[block.data] | (block.data == 64), out=marked[1:])
                 some = marked[block.at[1:]] > marked[block.at[:-1]]
@@ -286,13 +291,15 @@ def find(docs: DataFrame, model: Crf, key: str = "doc_id", text: str = "text") -
                     if not some[d] and d not in added:  # no digit and no @: no pattern can match
                         rows.append((0, 0, 0, 0, nothing, "", 0))
                         continue
-                    data = block.text(d)
-                    own = data.decode()
-                    base = base_spans(own)
+                    base = base_spans(block.text(d).decode())
+                    starts = [i for i, _, _ in base]
+                    far = [*accumulate((j for _, _, j in base), max)]  # the last end of all spans up to each one
                     more = []
-                    for a, k, b in added.get(d, ()):
-                        a, b = len(data[:a].decode()), len(data[:b].decode())
-                        if all(b <= i or a >= j for i, _, j in base):
+                    head = int(block.at[d])
+                    for first, k, last in added.get(d, ()):
+                        a, b = (int(points[head + x] - points[head]) for x in (first, last))
+                        before = bisect_left(starts, b)
+                        if not before or far[before - 1] <= a:
                             more.append((a, k, b))
                     digest = hashlib.sha256(",".join([f"{KINDS[k]}:{a}:{b}" for a, k, b in base]).encode()).hexdigest()
                     rows.append((*[sum(k == j for _, k, _ in base) for j in range(4)], digest, ",".join([f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + more)]), len(more)))
