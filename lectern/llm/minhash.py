@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import discard, kept, parted
-from .textblocks import NOT_SPACE, Block, blocks, lower_ascii, mix, shingle_hashes
+from .textblocks import NOT_SPACE, Block, blocks, lower_ascii, mix, shingle_hashes, word_hashes
 from .workers import mapped
 
 ROWS = 4
@@ -45,7 +45,7 @@ def band_count(percent: int) -> int:
 def shingles(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     low = Block(lower_ascii(block.data), block.at, block.first)
     starts, ends, first = low.words(NOT_SPACE)
-    return shingle_hashes(low.span_hashes(starts, ends), first, k)
+    return shingle_hashes(word_hashes(low.data, starts, ends), first, k)
 
 
 def _sketch(k: int, bands: int):

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lectern.llm import bpe, pii
+from lectern.llm import bpe, minhash, pii
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -55,3 +55,13 @@ def test_long_words_beside_short_ones(spark):
     library = Tokenizer.from_file(PATH)
     got = {r["doc_id"]: r["ids"] for r in bpe.encode(df.withColumn("ids", F.lit("?")), PATH).collect()}
     assert got == {r["doc_id"]: library.encode(r["text"] or "", add_special_tokens=False).ids for r in df.collect()}
+
+
+def test_words_of_like_structure(spark):
+    """Words in the Thue-Morse order and its complement, by which polynomials modulo a power of two collide, are not the same word."""
+    order = [bin(i).count("1") % 2 for i in range(4096)]
+    one, other = ("".join("ab"[x ^ flip] for x in order) for flip in (0, 1))
+    rows = [(1, f"{one} and some words"), (2, f"{other} and some words"), (3, f"{one} and some words"), (4, "ab ba ab bb"), (5, "ba ab ba ab"), (6, one), (7, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, k=3, percent=85).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}
