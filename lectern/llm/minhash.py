@@ -126,7 +126,8 @@ def _cross_by_differences(many: DataFrame, sets: DataFrame, marks: DataFrame, ro
     least = F.ceil((whole // 2 * n_diff - less * (F.col("n_hub") + F.col("n_own"))) / whole)
     first = lambda need: F.greatest(F.lit(0), n_diff - F.greatest(F.lit(1), need) + 1).cast("int")
     # An element is signed by whether the centre has it, so the two parts never meet.
-    signed = F.concat(*[F.transform(part, lambda x, mark=part == "extra": F.struct(F.lit(mark).alias("extra"), x.alias("gram"))) for part in ("extra", "lacking")])
+    marked = lambda part: F.transform(part, lambda x: F.struct(F.lit(part == "extra").alias("extra"), x.alias("gram")))
+    signed = F.concat(marked("extra"), marked("lacking"))
     both = both.select("centre", "node", "root", "inside", n_diff.cast("long").alias("differ"), first(over).alias("short"), F.slice(signed, F.lit(1), F.when(F.col("inside"), first(over)).otherwise(F.greatest(first(over), first(least)))).alias("first"))
     posts = both.join(marks, "node").select("centre", "node", "root", "inside", "n", "bits", "differ", "short", F.posexplode("first").alias("at", "element"))
     posts = kept(posts.select("centre", "element.extra", "element.gram", "node", "root", "inside", "n", "bits", "differ", (F.col("differ") - F.col("at")).alias("rest"), (F.col("at") < F.col("short")).alias("early")), "differences")
