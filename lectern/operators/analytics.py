@@ -47,3 +47,37 @@ def percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
     """``by, n, p50, p95`` from sketches whose size doesn't grow with the rows."""
     p = lambda q: F.percentile_approx(value, F.lit(q), F.lit(ACCURACY))
     return rows.groupBy(by).agg(F.count(value).alias("n"), F.round(p(0.5), 6).alias("p50"), F.round(p(0.95), 6).alias("p95"))
+
+
+#: Of each metric the mean that is wanted, and the one below which it is grave.
+GOALS = {"faithfulness": (0.80, 0.6), "relevancy": (0.75, 0.5), "recall": (0.70, 0.4)}
+
+
+def severity(metric: str, mean: Column) -> Column:
+    goal, grave = GOALS[metric]
+    return F.when(mean < grave, "high").when(mean < goal, "medium").otherwise("none")
+
+
+def suggestions(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, metric, param, current, suggested`` for every metric of a row below its goal.
+
+    ``rows``: the mean of each metric of ``GOALS`` (a null one suggests nothing) and the current
+    settings ``temperature, rerank_top_n, max_tokens, bm25_top_k, dense_top_k, fusion_top_k,
+    chunk_size, chunk_overlap, bm25_weight``.
+    """
+    c, lit = F.col, F.lit
+    size = F.when(c("chunk_size") > 500, F.greatest(c("chunk_size") - 200, lit(300))).otherwise(c("chunk_size"))
+    weight = F.least(c("bm25_weight") + 0.05, lit(0.60))
+    more = lambda name, n, most: (name, c(name), F.least(c(name) + n, lit(most)))
+    changes = {
+        "faithfulness": [("temperature", c("temperature"), F.when(c("temperature") > 0.05, F.greatest(lit(0.0), c("temperature") - 0.05)).otherwise(lit(0.0))), more("rerank_top_n", 5, 25)],
+        "relevancy": [("max_tokens", c("max_tokens"), F.greatest(c("max_tokens"), lit(4096)))],
+        "recall": [
+            more("bm25_top_k", 20, 80), more("dense_top_k", 20, 80), more("fusion_top_k", 10, 50), ("chunk_size", c("chunk_size"), size),
+            ("chunk_overlap", c("chunk_overlap"), F.greatest(F.floor(size * 0.15), lit(50))), ("bm25_weight", c("bm25_weight"), weight), ("dense_weight", 1 - c("bm25_weight"), F.round(1 - weight, 2)),
+        ],
+    }
+    number = lambda x: F.round(x.cast("double"), 4)
+    lists = [F.when(c(m) < GOALS[m][0], F.array(*[F.struct(lit(m).alias("metric"), lit(p).alias("param"), number(now).alias("current"), number(then).alias("suggested")) for p, now, then in found])) for m, found in changes.items()]
+    none = F.array().cast("array<struct<metric:string,param:string,current:double,suggested:double>>")
+    return rows.select(*keys, F.explode(F.concat(*[F.coalesce(x, none) for x in lists])).alias("s")).select(*keys, "s.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,19 +43,61 @@ FRENCH_STOP_WORDS = (
 ).split()
 
 
-def stemmed(word: Column) -> Column:
-    """A light French stem: no plural, no infinitive or feminine ending, no doubled last letter. Words under six letters stay."""
-    ends = F.regexp_replace(word, "e?e?r?s?$", "")
-    once = F.when(F.right(ends, F.lit(1)) == F.substring(ends, -2, 1), F.substring(ends, F.lit(1), F.length(ends) - 1)).otherwise(ends)
-    plural = F.when(word.endswith("aux"), F.regexp_replace(word, "aux$", "al")).otherwise(F.regexp_replace(word, "x$", ""))
-    return F.when(F.length(word) < 6, word).when(word.endswith("x"), plural).otherwise(once)
+#: Endings of the light French stemmer, each with the length that a word must exceed and what takes its place. Of the first list the first that fits is the last step, else of the second, else of the third.
+FIRST_ENDINGS = ((9, "issement", "ir"), (8, "issant", "ir"), (7, "ivement", "if"), (6, "ement", "e"), (11, "ficatrice", "fier"), (10, "ficateur", "fier"), (9, "catrice", "quer"), (8, "cateur", "quer"), (8, "atrice", "er"), (7, "ateur", "er"))
+SECOND_ENDINGS = ((5, "ième", ""), (7, "teuse", "ter"), (6, "teur", "ter"), (5, "euse", "eu"), (8, "ère", "er"), (7, "ive", "if"), (4, "folle", "fou"), (4, "molle", "mou"), (9, "nnelle", "n"), (9, "nnel", "n"))
+THIRD_ENDINGS = ((8, "esse", "e"), (7, "inage", "in"), (12, "ualisation", "uel"), (9, "isation", ""), (9, "isateur", ""), (8, "ation", ""), (8, "ition", ""))
+#: Endings that are changed before the second list, and before the third, after which the cascade goes on.
+BEFORE_SECOND, BEFORE_THIRD = ((6, "trice", "teur"),), ((4, "ète", "et"), (8, "ique", ""))
+FRENCH_ACCENTS = ("àáâôèéêùûîç", "aaaoeeeuuic")
+
+
+def _ended(w: Column, ending: tuple[int, str, str]) -> tuple[Column, Column]:
+    """Does the rule fit, and what becomes of the word."""
+    least, old, new = ending
+    return (F.length(w) > least) & w.endswith(old), F.concat(F.substring(w, F.lit(1), F.length(w) - len(old)), F.lit(new))
+
+
+def _once(words: Column, endings: tuple) -> Column:
+    """Words with a mark of whether they are done: the first fitting rule ends a word's cascade."""
+
+    def step(x: Column) -> Column:
+        w = x["w"]
+        out = F.when(x["done"], x)
+        for fits, new in (_ended(w, e) for e in endings):
+            out = out.when(fits, F.struct(new.alias("w"), F.lit(True).alias("done")))
+        return out.otherwise(x)
+
+    return F.transform(words, step)
+
+
+def _each(words: Column, endings: tuple) -> Column:
+    """Rules that all are tried, one after another, on words that are not done."""
+    for ending in endings:
+        words = F.transform(words, lambda x: F.struct(F.when(~x["done"] & _ended(x["w"], ending)[0], _ended(x["w"], ending)[1]).otherwise(x["w"]).alias("w"), x["done"].alias("done")))  # noqa: B023  used at once
+    return words
+
+
+def stemmed(words: Column) -> Column:
+    """Light French stems of words in small letters: plurals, then the longest chain of feminines, verb and adjective endings that the lists allow, accents, doubled letters and last vowels. Words stay apart, in their order."""
+    drop = lambda w, n: F.substring(w, F.lit(1), F.length(w) - n)
+    then = lambda words, *ways: reduce(lambda ws, way: F.transform(ws, lambda w: F.when(*way(w)).otherwise(w)), ways, words)
+    plural = F.transform(words, lambda w: F.when((F.length(w) > 5) & w.rlike("[^e]aux$"), F.concat(drop(w, 2), F.lit("l"))).when((F.length(w) > 5) & w.endswith("x"), drop(w, 1)).otherwise(w))
+    plural = then(plural, *[lambda w, c=c: ((F.length(w) > 3) & w.endswith(c), drop(w, 1)) for c in "xs"])
+    marked = F.transform(plural, lambda w: F.struct(w.alias("w"), F.lit(False).alias("done")))
+    ended = _once(_each(_once(_each(_once(marked, FIRST_ENDINGS), BEFORE_SECOND), SECOND_ENDINGS), BEFORE_THIRD), THIRD_ENDINGS)
+    plain = F.transform(ended, lambda x: F.when(F.length(x["w"]) > 4, F.regexp_replace(F.translate(x["w"], *FRENCH_ACCENTS), r"(\p{L})\1+", "$1")).otherwise(x["w"]))
+    plain = then(plain, lambda w: ((F.length(w) > 4) & w.endswith("ie"), drop(w, 2)))
+    return F.transform(plain, lambda w: F.when(F.length(w) > 4, F.regexp_replace(F.regexp_replace(w, "e?e?r?$", ""), r"(\p{L})\1$", "$1")).otherwise(w))
 
 
 def french_terms(text: Column) -> Column:
-    """French words for searching: elided articles and frequent words left out, stems of the others."""
-    bare = F.regexp_replace(T.deaccent(F.lower(F.coalesce(text, F.lit("")))), rf"(^|[^\p{{L}}\p{{N}}])({'|'.join(ELISIONS)})'", "$1")
-    words = F.array_remove(F.split(bare, r"[^\p{L}\p{N}]+"), "")
-    return F.transform(F.filter(words, lambda w: ~w.isin(*FRENCH_STOP_WORDS)), stemmed)
+    """French words for searching: elided articles and frequent words left out, stems of the others, without accents."""
+    low = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\u2019\u2018", "''")
+    bare = F.regexp_replace(low, rf"(^|[^\p{{L}}\p{{N}}\p{{Mn}}])({'|'.join(ELISIONS)})'", "$1")
+    words = F.array_remove(F.split(bare, r"[^\p{L}\p{N}\p{Mn}]+"), "")
+    kept = F.filter(words, lambda w: ~T.deaccent(w).isin(*FRENCH_STOP_WORDS))
+    return F.array_remove(F.transform(stemmed(kept), T.deaccent), "")
 
 
 def path_terms(path: Column) -> Column:

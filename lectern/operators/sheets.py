@@ -43,11 +43,23 @@ def profile(df: DataFrame, names: list[str], order: str) -> DataFrame:
     return told.withColumn("type", F.coalesce(known[F.col("name")], guess))
 
 
+#: Relative error of the sketches of distinct values, and how near the limit a count is made exact: five of these.
+SKETCH, NEAR = 0.02, 5
+
+
 def key_columns(df: DataFrame, names: list[str], most: int = 3) -> DataFrame:
-    """The first columns with more than one, but few, distinct values and few nulls."""
-    row = df.agg(*[x for k, c in enumerate(names) for x in (F.lit(k).alias(f"k__{c}"), F.count_distinct(c).alias(f"d__{c}"), F.count(F.lit(1)).alias(f"n__{c}"), F.count_if(F.col(c).isNull()).alias(f"missing__{c}"))])
-    good = (F.col("d") > 1) & (F.col("d") < 0.2 * F.col("n")) & (F.col("missing") < 0.1 * F.col("n"))
-    return _stacked(row, names, ["k", "d", "n", "missing"]).where(good).orderBy("k").limit(most).select("name")
+    """The first columns with more than one, but few, distinct values and few nulls.
+
+    One scan sketches every column; only those whose share of distinct values is near the limit
+    are counted exactly, in a second one. A column has more than one value if its least and
+    largest differ.
+    """
+    sketched = [x for c in names for x in (F.approx_count_distinct(c, SKETCH).alias(f"d__{c}"), F.count(F.lit(1)).alias(f"n__{c}"), F.count_if(F.col(c).isNull()).alias(f"missing__{c}"), (F.min(c) != F.max(c)).alias(f"several__{c}"))]
+    row = df.agg(*sketched).first()
+    open_ = [c for c in names if row[f"several__{c}"] and abs(row[f"d__{c}"] - 0.2 * row[f"n__{c}"]) <= NEAR * SKETCH * 0.2 * row[f"n__{c}"]]
+    exact = df.agg(*[F.count_distinct(c).alias(c) for c in open_]).first() if open_ else {}
+    good = [c for c in names if row[f"several__{c}"] and (exact[c] if c in open_ else row[f"d__{c}"]) < 0.2 * row[f"n__{c}"] and row[f"missing__{c}"] < 0.1 * row[f"n__{c}"]]
+    return df.sparkSession.createDataFrame([(c,) for c in good[:most]], "name string")
 
 
 def unique_names(names: list[str]) -> list[str]:

@@ -47,17 +47,30 @@ def eval_dashboard(spark, sf_dir):
     return _scores(spark, sf_dir).groupBy("source").agg(*[F.round(F.avg(c), 3).alias(c) for c in ("faithfulness", "relevancy", "recall")], F.count(F.lit(1)).alias("n"))
 
 
-_LIMITS = {"faithfulness": 0.80, "relevancy": 0.75, "recall": 0.70}
-
-
-@query(" UNION ALL ".join(f"SELECT '{m}' AS metric, round(avg({m}), 3) AS mean, round(100.0 * count(*) FILTER ({m} < {t}) / count(*), 0)::DOUBLE AS failing, CASE WHEN avg({m}) < {t} - 0.2 THEN 'high' WHEN avg({m}) < {t} THEN 'medium' ELSE 'none' END AS severity FROM ({_SCORES})" for m, t in _LIMITS.items()))
+@query(" UNION ALL ".join(f"SELECT '{m}' AS metric, round(avg({m}), 3) AS mean, round(100.0 * count(*) FILTER ({m} < {t}) / count(*), 0)::DOUBLE AS failing, CASE WHEN avg({m}) < {g} THEN 'high' WHEN avg({m}) < {t} THEN 'medium' ELSE 'none' END AS severity FROM ({_SCORES})" for m, t, g in (("faithfulness", 0.8, 0.6), ("relevancy", 0.75, 0.5), ("recall", 0.7, 0.4))))
 def eval_recommendations(spark, sf_dir):
     """Metrics against their thresholds; nulls don't count in means."""
-    wide = _scores(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), *[x for m, t in _LIMITS.items() for x in (F.avg(m).alias(f"{m}_mean"), F.count_if(F.col(m) < t).alias(f"{m}_low"))])
-    parts = ", ".join(f"'{m}', {m}_mean, {m}_low, {t}D" for m, t in _LIMITS.items())
-    rows = wide.select("n", F.expr(f"stack({len(_LIMITS)}, {parts}) AS (metric, raw, low, goal)"))
-    severity = F.when(F.col("raw") < F.col("goal") - 0.2, "high").when(F.col("raw") < F.col("goal"), "medium").otherwise("none")
-    return rows.select("metric", F.round("raw", 3).alias("mean"), F.round(100.0 * F.col("low") / F.col("n"), 0).alias("failing"), severity.alias("severity"))
+    wide = _scores(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), *[x for m, (t, _) in A.GOALS.items() for x in (F.avg(m).alias(f"{m}_mean"), F.count_if(F.col(m) < t).alias(f"{m}_low"))])
+    told = [F.struct(F.lit(m).alias("metric"), F.round(f"{m}_mean", 3).alias("mean"), F.round(100.0 * F.col(f"{m}_low") / F.col("n"), 0).alias("failing"), A.severity(m, F.col(f"{m}_mean")).alias("severity")) for m in A.GOALS]
+    return wide.select(F.explode(F.array(*told)).alias("t")).select("t.*")
+
+
+_NOW = "0.05 * k AS temperature, 10 + 5 * k AS rerank_top_n, 2048 * (k + 1) AS max_tokens, 30 + 20 * k AS bm25_top_k, 40 AS dense_top_k, 30 + 5 * k AS fusion_top_k, 400 + 150 * k AS chunk_size, 100 AS chunk_overlap, 0.45 + 0.05 * k AS bm25_weight"
+_CHANGES = (
+    ("faithfulness", 0.8, "temperature", "temperature", "CASE WHEN temperature > 0.05 THEN greatest(0, temperature - 0.05) ELSE 0 END"), ("faithfulness", 0.8, "rerank_top_n", "rerank_top_n", "least(rerank_top_n + 5, 25)"),
+    ("relevancy", 0.75, "max_tokens", "max_tokens", "greatest(max_tokens, 4096)"), ("recall", 0.7, "bm25_top_k", "bm25_top_k", "least(bm25_top_k + 20, 80)"), ("recall", 0.7, "dense_top_k", "dense_top_k", "least(dense_top_k + 20, 80)"),
+    ("recall", 0.7, "fusion_top_k", "fusion_top_k", "least(fusion_top_k + 10, 50)"), ("recall", 0.7, "chunk_size", "chunk_size", "CASE WHEN chunk_size > 500 THEN greatest(chunk_size - 200, 300) ELSE chunk_size END"),
+    ("recall", 0.7, "chunk_overlap", "chunk_overlap", "greatest(floor(CASE WHEN chunk_size > 500 THEN greatest(chunk_size - 200, 300) ELSE chunk_size END * 0.15), 50)"), ("recall", 0.7, "bm25_weight", "bm25_weight", "least(bm25_weight + 0.05, 0.60)"),
+    ("recall", 0.7, "dense_weight", "1 - bm25_weight", "round(1 - least(bm25_weight + 0.05, 0.60), 2)"),
+)
+
+
+@query(f"WITH m AS (SELECT source, avg(faithfulness) AS faithfulness, avg(relevancy) AS relevancy, avg(recall) AS recall, count(*) % 4 AS k FROM ({_SCORES}) GROUP BY source), s AS (SELECT *, {_NOW} FROM m) " + " UNION ALL ".join(f"SELECT source, '{m}' AS metric, '{p}' AS param, round(({now})::DOUBLE, 4) AS current, round(({then})::DOUBLE, 4) AS suggested FROM s WHERE {m} < {t}" for m, t, p, now, then in _CHANGES))
+def suggested_parameters(spark, sf_dir):
+    """What each source's index should be set to, from its means and its settings."""
+    means = _scores(spark, sf_dir).groupBy("source").agg(*[F.avg(m).alias(m) for m in A.GOALS], (F.count(F.lit(1)) % 4).alias("k"))
+    now = means.selectExpr("*", *[x.strip() for x in _NOW.split(", ")])
+    return A.suggestions(now, ["source"])
 
 
 _ROWS = """(SELECT l.doc_id, d.lang, quality = 0 AS evasive, l.doc_id % 3 <> 0 AS right_volume, ['COUVERT', 'PARTIEL', 'NON_COUVERT'][(l.doc_id % 3 + 1)::INT] AS coverage,

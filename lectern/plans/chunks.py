@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import tables
 from ..operators import chunking as C
 from .registry import query, table
 from .text import files
@@ -24,6 +25,13 @@ def chunk_sentence(spark, sf_dir):
     return C.packed(table(spark, sf_dir, "documents"), "sentence", 1024, 150)
 
 
+@query()
+def chunk_lateral(spark, sf_dir):
+    """The sentence chunker as a table function of SQL; the rows of ``chunk_sentence``, by a unit test."""
+    tables.register(spark)
+    return spark.sql("SELECT doc_id, c.* FROM {docs}, LATERAL chunk_sentence(text, 1024, 150) AS c", docs=table(spark, sf_dir, "documents"))
+
+
 def _talks(spark, sf_dir, before=None, between="\n\n"):
     """Conversations as documents: turns in order, joined."""
     said = F.concat(before, F.col("text")) if before is not None else F.col("text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import guards as G
 from .registry import query, table
 
@@ -25,7 +26,7 @@ def _first(pattern: str) -> str:
 
 
 def _plain(pattern: str) -> str:
-    return f"(SELECT conv_id, turn, p, {_first(pattern)} AS at_ FROM (SELECT conv_id, turn, strip_accents(text) AS p FROM {_ANSWERS}))"
+    return f"(SELECT conv_id, turn, role, text, p, {_first(pattern)} AS at_ FROM (SELECT conv_id, turn, role, text, strip_accents(text) AS p FROM {_ANSWERS}))"
 
 
 @query(f"SELECT conv_id, turn, p = '' OR at_ >= 0 AND (at_ < 0.15 * length(p) OR length(p) < 700 OR NOT regexp_matches(p, '{G.CITATION}')) AS evasive FROM {_plain(G.ABSENCE)}")
@@ -61,15 +62,16 @@ def pages_outside(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(G.unsupported_pages(answer, F.sequence(F.lit(1), F.lit(6))), ",").alias("outside"))
 
 
-@query("""WITH b AS (SELECT conv_id, turn, turn % 12 AS page, ['etude.pdf', 'rnt.pdf'][(conv_id % 2 + 1)::INT] AS cited, CASE WHEN conv_id % 2 = 0 THEN 5 ELSE 8 END AS last FROM conversations)
+@query("""WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), b AS (SELECT conv_id, turn, length(text) % 9 AS page, CASE WHEN turn % 2 = 0 THEN 'etude.pdf' ELSE 'rnt.pdf' END AS cited, CASE WHEN turn % 2 = 0 THEN n ELSE 2 * n END AS last FROM conversations JOIN n USING (conv_id))
 SELECT conv_id, turn, CASE WHEN page BETWEEN 1 AND last THEN '' ELSE cited || ' p. ' || page END AS outside FROM b""")
 def pages_outside_files(spark, sf_dir):
-    """Every turn cites a page of one of its lot's two files, which have pages 1 to 5 and 1 to 8."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct("conv_id", "turn").alias("k"))
-    name = F.when(F.col("conv_id") % 2 == 0, F.lit("etude.pdf")).otherwise(F.lit("rnt.pdf"))
-    answers = turns.select("k", F.concat(F.lit("Le dossier Etude.pdf et d'autres. Selon "), name, F.lit(", page "), F.col("turn") % 12, F.lit(", c'est ainsi.")).alias("text"))
-    pages = F.array(F.struct(F.lit("Etude.pdf").alias("file_name"), F.lit(5).alias("n")), F.struct(F.lit("rnt.pdf").alias("file_name"), F.lit(8).alias("n")))
-    lots = turns.select("k", F.explode(pages).alias("f")).select("k", "f.file_name", F.explode(F.sequence(F.lit(1), F.col("f.n"))).alias("page"))
+    """Every turn, with its own text, cites a page of one of its conversation's two files, which have a page and two pages for each turn."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.struct("conv_id", "turn").alias("k"))
+    name = F.when(F.col("turn") % 2 == 0, F.lit("etude.pdf")).otherwise(F.lit("rnt.pdf"))
+    answers = turns.select("k", F.concat("text", F.lit(" Le dossier Etude.pdf et d'autres. Selon "), name, F.lit(", page "), F.length("text") % 9, F.lit(", c'est ainsi.")).alias("text"))
+    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    files = F.array(F.struct(F.lit("Etude.pdf").alias("file_name"), F.col("n").alias("n")), F.struct(F.lit("rnt.pdf").alias("file_name"), (2 * F.col("n")).alias("n")))
+    lots = turns.join(sizes, "conv_id").select("k", F.explode(files).alias("f")).select("k", "f.file_name", F.explode(F.sequence(F.lit(1), F.col("f.n"))).alias("page"))
     return G.pages_outside_files(answers, lots, "k", "text").select("k.conv_id", "k.turn", F.array_join("outside", ",").alias("outside"))
 
 
@@ -97,17 +99,19 @@ def rule_router(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", G.routed(rules, "other").alias("route"))
 
 
-_BLOCKS = "(SELECT conv_id, turn, turn % 2 = 0 AS evasive, turn % 3 = 0 AS truncated, (turn * 7 % 5)::VARCHAR AS page FROM conversations)"
+_BLOCKS = rf"""(SELECT conv_id, p = '' OR at_ >= 0 AND (at_ < 0.15 * length(p) OR length(p) < 700 OR NOT regexp_matches(p, '{G.CITATION}')) AS evasive, length(text) >= 400 OR role = 'system' AS truncated,
+list_transform(regexp_extract_all(text, '(?i)\b(?:pages?|p\.)\s*(\d{{1,4}})', 1), lambda x: x::INT::VARCHAR) AS pages FROM {_plain(G.ABSENCE)})"""
 
 
 def _blocks(spark, sf_dir):
-    t = F.col("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", (t % 2 == 0).alias("evasive"), (t % 3 == 0).alias("truncated"), (t * 7 % 5).cast("string").alias("page"))
+    """Answers with what the guards say of each: does it evade, was it cut (by its length or its reason), which pages does it cite."""
+    reason = F.when(F.col("role") == "system", "length").otherwise("stop")
+    return _answers(spark, sf_dir).select("conv_id", G.evasive(F.col("text")).alias("evasive"), G.truncated(reason, F.length("text"), 400).alias("truncated"), T.cited_pages(F.col("text")).alias("pages"))
 
 
-@query(f"SELECT conv_id, bool_or(evasive) AS any_evasive, bool_or(truncated) AS any_truncated, string_agg(DISTINCT page, ',' ORDER BY page) AS pages FROM {_BLOCKS} GROUP BY conv_id")
+@query(f"SELECT conv_id, bool_or(evasive) AS any_evasive, bool_or(truncated) AS any_truncated, array_to_string(list_sort(list_distinct(flatten(list(pages)))), ',') AS pages FROM {_BLOCKS} GROUP BY conv_id")
 def guard_rollup(spark, sf_dir):
-    return _blocks(spark, sf_dir).groupBy("conv_id").agg(F.bool_or("evasive").alias("any_evasive"), F.bool_or("truncated").alias("any_truncated"), F.array_join(F.array_sort(F.collect_set("page")), ",").alias("pages"))
+    return _blocks(spark, sf_dir).groupBy("conv_id").agg(F.bool_or("evasive").alias("any_evasive"), F.bool_or("truncated").alias("any_truncated"), F.array_join(F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("pages"))), lambda x: x.cast("string"))), ",").alias("pages"))
 
 
 @query(f"""WITH v AS (SELECT conv_id, CASE WHEN bool_and(evasive) THEN 'NON_COUVERT' WHEN bool_or(truncated) OR bool_or(evasive) THEN 'PARTIEL' ELSE 'COUVERT' END AS v, bool_or(evasive)::INT + bool_or(truncated)::INT AS g FROM {_BLOCKS} GROUP BY conv_id)
@@ -132,21 +136,25 @@ def history_filter(spark, sf_dir):
     return parts.select("conv_id", "n", F.array_join(F.transform("p", lambda x: x["role"]), ",").alias("roles"))
 
 
-@query("SELECT event_id, event_type = 'click' OR value >= 80 AS truncated, least(100, round(100 * value / 4096, 2)) AS fill FROM events WHERE value IS NOT NULL")
+@query("SELECT event_id, event_type = 'click' OR value >= 80 AS truncated, CASE WHEN value IS NOT NULL THEN least(100, round(100 * value / 4096, 2)) END AS fill FROM events")
 def truncation_flags(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("value IS NOT NULL")
+    """An answer whose size is not known is cut only where its reason says so."""
     reason = F.when(F.col("event_type") == "click", "length").otherwise("stop")
-    return rows.select("event_id", G.truncated(reason, F.col("value"), 80).alias("truncated"), F.least(F.lit(100.0), F.round(100 * F.col("value") / 4096, 2)).alias("fill"))
+    fill = F.when(F.col("value").isNotNull(), F.least(F.lit(100.0), F.round(100 * F.col("value") / 4096, 2)))
+    return table(spark, sf_dir, "events").select("event_id", G.truncated(reason, F.col("value"), 80).alias("truncated"), fill.alias("fill"))
 
 
-@query("SELECT event_id, least(2, greatest(0, (event_id % 7)::INT - 2)) AS mark FROM events")
+@query("SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 0 ELSE least(2, greatest(0, turn::INT - 2)) END AS mark FROM conversations")
 def judge_clamp(spark, sf_dir):
-    said = F.concat(F.lit('Note: {"faits": '), F.col("event_id") % 7 - 2, F.lit("} fin"))
-    return table(spark, sf_dir, "events").select("event_id", G.judge_mark(said, "faits").alias("mark"))
+    """Marks of a judge who quotes the turn's own text beside them; every fifth gives none."""
+    name = F.when(F.col("turn") % 5 == 4, F.lit("autre")).otherwise(F.lit("faits"))
+    quoted = F.to_json(F.struct(F.col("text").alias("remarque")))
+    said = F.concat(F.lit('Note : {"'), name, F.lit('": '), F.col("turn") - 2, F.lit(', "cite": '), F.coalesce(quoted, F.lit("null")), F.lit("} fin"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", G.judge_mark(said, "faits").alias("mark"))
 
 
-@query("SELECT lower(source) AS file_name, p AS page, count(*)::BIGINT AS n FROM (SELECT source, unnest(range(doc_id % 5, doc_id % 5 + doc_id % 3 + 1)) AS p FROM documents) GROUP BY ALL")
+@query("SELECT role AS file_name, p AS page, count(*)::BIGINT AS n FROM (SELECT role, unnest(range(turn, turn + length(text) // 150 + 1)) AS p FROM conversations) GROUP BY ALL")
 def lot_pages(spark, sf_dir):
-    d = F.col("doc_id")
-    pages = F.explode(F.sequence(F.least(d % 5, d % 5 + d % 3), F.greatest(d % 5, d % 5 + d % 3)))
-    return table(spark, sf_dir, "documents").select(F.lower("source").alias("file_name"), pages.alias("page")).groupBy("file_name", "page").agg(F.count(F.lit(1)).alias("n"))
+    """The pages that a lot's passages cover, by file: a passage runs on over a page for each 150 characters."""
+    pages = F.explode(F.sequence(F.col("turn"), F.col("turn") + F.floor(F.length("text") / 150)))
+    return table(spark, sf_dir, "conversations").select(F.lower("role").alias("file_name"), pages.alias("page")).groupBy("file_name", "page").agg(F.count(F.lit(1)).alias("n"))

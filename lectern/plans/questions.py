@@ -22,13 +22,13 @@ def proper_nouns(spark, sf_dir):
     return _turns(spark, sf_dir).join(first, "conv_id").select("conv_id", "turn", F.array_join(T.proper_nouns(F.col("text"), F.col("lot")), ",").alias("names"))
 
 
-@query(f"SELECT {_T}, conv_id AS objet, turn % 3 AS n FROM conversations")
+@query(f"SELECT {_T}, conv_id AS objet, turn % 4 AS n, text AS said FROM conversations")
 def json_salvage(spark, sf_dir):
-    """Objects in fences, with closing commas, in single quotes."""
-    a, b = F.col("conv_id").cast("string"), (F.col("turn") % 3).cast("string")
-    ways = F.array(F.concat(F.lit('```json\n{"objet": '), a, F.lit(', "n": '), b, F.lit("}\n``` voilà {")), F.concat(F.lit('Bien : {"objet": '), a, F.lit(', "n": '), b, F.lit(",}")), F.concat(F.lit("{'objet': "), a, F.lit(", 'n': "), b, F.lit("}")))
-    rows = _turns(spark, sf_dir).select("conv_id", "turn", Q.salvaged(F.get(ways, (F.col("turn") % 3).cast("int"))).alias("j"))
-    return rows.select("conv_id", "turn", F.get_json_object("j", "$.objet").cast("long").alias("objet"), F.get_json_object("j", "$.n").cast("long").alias("n"))
+    """Objects that are whole, in fences, with closing commas, in text, each with its turn's own text."""
+    body = F.regexp_replace(F.to_json(F.struct(F.col("conv_id").alias("objet"), (F.col("turn") % 4).alias("n"), F.coalesce("text", F.lit("")).alias("said"))), r"\}$", "")
+    ways = F.array(F.concat(body, F.lit("}")), F.concat(F.lit("```json\n"), body, F.lit("}\n``` voilà {")), F.concat(F.lit("Bien : "), body, F.lit(",}")), F.concat(F.lit("Voici "), body, F.lit("} et {}")))
+    rows = Q.with_object(_turns(spark, sf_dir).select("conv_id", "turn", F.get(ways, (F.col("turn") % 4).cast("int")).alias("answer")), "answer", "j")
+    return rows.select("conv_id", "turn", F.variant_get("j", "$.objet", "bigint").alias("objet"), F.variant_get("j", "$.n", "bigint").alias("n"), F.variant_get("j", "$.said", "string").alias("said"))
 
 
 @query("SELECT doc_id, CASE lang WHEN 'fr' THEN 'etude' WHEN 'de' THEN 'mesure' WHEN 'en' THEN 'forme' ELSE '' END AS kind FROM documents")
@@ -99,19 +99,33 @@ def source_mentions(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", F.array_join(T.source_mentions(said), ";").alias("mentions"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 3 = 1 THEN 'Effets du projet' ELSE 'Impacts de ' || lang || ' sur les oiseaux' END AS object, CASE WHEN doc_id % 3 = 0 THEN 'element' END AS kind FROM documents")
+#: The first three words of a document's text, of Latin letters, in small letters.
+_THING = "array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) > 1)[1:3], ' ')"
+
+
+def _things(spark, sf_dir):
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 1)
+    return table(spark, sf_dir, "documents").withColumn("thing", F.coalesce(F.array_join(F.slice(words, 1, 3), " "), F.lit("")))
+
+
+@query(rf"""SELECT doc_id, CASE WHEN thing = '' OR regexp_matches(thing, '\s(sur|pour)\s|^projet') THEN said WHEN doc_id % 3 = 0 THEN thing WHEN doc_id % 3 = 1 THEN 'Effets du projet ' || thing ELSE 'Impacts de ' || thing || ' sur les oiseaux' END AS object,
+CASE WHEN thing <> '' AND NOT regexp_matches(thing, '\s(sur|pour)\s|^projet') AND doc_id % 3 = 0 THEN 'element' END AS kind
+FROM (SELECT doc_id, thing, CASE doc_id % 3 WHEN 0 THEN 'Évaluation des effets prévisibles de la ' || thing WHEN 1 THEN 'Effets du projet ' || thing ELSE 'Impacts de ' || thing || ' sur les oiseaux' END AS said FROM (SELECT doc_id, coalesce({_THING}, '') AS thing FROM documents))""")
 def aimed_objects(spark, sf_dir):
+    """Requests about the first words of every document: an effect on a thing, of the project, of a thing on another."""
     d = F.col("doc_id")
-    said = F.when(d % 3 == 0, F.concat(F.lit("Évaluation des effets prévisibles de la "), F.col("lang"))).when(d % 3 == 1, F.lit("Effets du projet")).otherwise(F.concat(F.lit("Impacts de "), F.col("lang"), F.lit(" sur les oiseaux")))
-    return table(spark, sf_dir, "documents").select("doc_id", Q.aimed_object(said).alias("o")).select("doc_id", "o.object", "o.kind")
+    said = F.when(d % 3 == 0, F.concat(F.lit("Évaluation des effets prévisibles de la "), "thing")).when(d % 3 == 1, F.concat(F.lit("Effets du projet "), "thing")).otherwise(F.concat(F.lit("Impacts de "), "thing", F.lit(" sur les oiseaux")))
+    return _things(spark, sf_dir).select("doc_id", Q.aimed_object(said).alias("o")).select("doc_id", "o.object", "o.kind")
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'étude ' || lang WHEN 1 THEN 'avifaune' ELSE 'objet' END AS object, doc_id % 3 = 0 AS changed FROM documents")
+@query(rf"""SELECT doc_id, CASE WHEN good THEN own WHEN doc_id % 3 = 1 THEN thing ELSE 'objet' END AS object, good AS changed
+FROM (SELECT *, doc_id % 3 = 0 AND length(own) BETWEEN 3 AND 120 AS good FROM (SELECT doc_id, thing, regexp_extract('étude ' || thing || ' dans', '^(.+?)\s+dans', 1) AS own FROM (SELECT doc_id, coalesce({_THING}, '') AS thing FROM documents)))""")
 def integrated_objects(spark, sf_dir):
+    """Requests to put a study of each document's first words into a file; in a third the object is that already, a third asks for nothing."""
     d = F.col("doc_id")
-    request = F.when(d % 3 == 0, F.concat(F.lit("Il faut intégrer l'étude "), F.col("lang"), F.lit(" dans le dossier."))).when(d % 3 == 1, F.lit("Prendre en compte l'avifaune au sein de l'étude")).otherwise(F.lit("Une remarque."))
-    said = F.when(d % 3 == 1, F.lit("avifaune")).otherwise(F.lit("objet"))
-    return table(spark, sf_dir, "documents").select("doc_id", Q.integrated_object(request, said).alias("o")).select("doc_id", "o.object", "o.changed")
+    request = F.when(d % 3 == 0, F.concat(F.lit("Il faut intégrer l'étude "), "thing", F.lit(" dans le dossier."))).when(d % 3 == 1, F.concat(F.lit("Prendre en compte la "), "thing", F.lit(" au sein de l'étude"))).otherwise(F.concat(F.lit("Une remarque : "), "thing"))
+    said = F.when(d % 3 == 1, F.col("thing")).otherwise(F.lit("objet"))
+    return _things(spark, sf_dir).select("doc_id", Q.integrated_object(request, said).alias("o")).select("doc_id", "o.object", "o.changed")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'eau et sols|' || lang ELSE 'eau|Sols|' || lang END AS motifs FROM documents")

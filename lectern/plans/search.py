@@ -16,11 +16,38 @@ from .text import files
 
 _TERMS = "list_filter(regexp_split_to_array(replace(strip_accents(lower({})), '’', ''''), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 _STOP = ", ".join(f"'{w}'" for w in R.FRENCH_STOP_WORDS)
-_END = "regexp_replace(x, 'e?e?r?s?$', '')"
-_STEM = f"CASE WHEN length(x) < 6 THEN x WHEN ends_with(x, 'aux') THEN regexp_replace(x, 'aux$', 'al') WHEN ends_with(x, 'x') THEN left(x, length(x) - 1) WHEN length({_END}) > 1 AND right({_END}, 1) = substr({_END}, length({_END}) - 1, 1) THEN left({_END}, length({_END}) - 1) ELSE {_END} END"
-_PLAIN = "replace(replace(strip_accents(lower({})), '’', ''''), '‘', '''')"
-_BARE = f"regexp_replace({_PLAIN}, '(^|[^\\p{{{{L}}}}\\p{{{{N}}}}])({'|'.join(R.ELISIONS)})''', '\\1', 'g')"
-_FRENCH = f"list_transform(list_filter(regexp_split_to_array({_BARE}, '[^\\p{{{{L}}}}\\p{{{{N}}}}]+'), lambda x: x <> '' AND x NOT IN ({_STOP})), lambda x: {_STEM})"
+
+
+def _once(words: str, endings: tuple) -> str:
+    whens = " ".join(f"WHEN length(x.w) > {n} AND ends_with(x.w, '{old}') THEN struct_pack(w := left(x.w, length(x.w) - {len(old)}) || '{new}', done := true)" for n, old, new in endings)
+    return f"list_transform({words}, lambda x: CASE WHEN x.done THEN x {whens} ELSE x END)"
+
+
+def _each(words: str, endings: tuple) -> str:
+    for n, old, new in endings:
+        words = f"list_transform({words}, lambda x: CASE WHEN NOT x.done AND length(x.w) > {n} AND ends_with(x.w, '{old}') THEN struct_pack(w := left(x.w, length(x.w) - {len(old)}) || '{new}', done := false) ELSE x END)"
+    return words
+
+
+def _stems(words: str) -> str:
+    """The stemmer's stages as lists, one after another."""
+    change = lambda ws, test, new: f"list_transform({ws}, lambda x: CASE WHEN {test} THEN {new} ELSE x END)"
+    ws = f"list_transform({words}, lambda x: CASE WHEN length(x) > 5 AND regexp_matches(x, '[^e]aux$') THEN left(x, length(x) - 2) || 'l' WHEN length(x) > 5 AND ends_with(x, 'x') THEN left(x, length(x) - 1) ELSE x END)"
+    for c in "xs":
+        ws = change(ws, f"length(x) > 3 AND ends_with(x, '{c}')", "left(x, length(x) - 1)")
+    ws = f"list_transform({ws}, lambda x: struct_pack(w := x, done := false))"
+    ws = _once(_each(_once(_each(_once(ws, R.FIRST_ENDINGS), R.BEFORE_SECOND), R.SECOND_ENDINGS), R.BEFORE_THIRD), R.THIRD_ENDINGS)
+    ws = f"list_transform({ws}, lambda x: CASE WHEN length(x.w) > 4 THEN translate(x.w, '{R.FRENCH_ACCENTS[0]}', '{R.FRENCH_ACCENTS[1]}') ELSE x.w END)"
+    single = "array_to_string(list_filter(string_split(x, ''), lambda c, i: i = 1 OR c <> x[i - 1] OR NOT regexp_matches(c, '\\p{{L}}')), '')"
+    ws = change(ws, "length(x) > 4", single)
+    ws = change(ws, "length(x) > 4 AND ends_with(x, 'ie')", "left(x, length(x) - 2)")
+    return change(ws, "length(x) > 4", "regexp_replace(x, 'e?e?r?$', '')")
+
+
+_LOW = "replace(replace(lower({}), '’', ''''), '‘', '''')"
+_BARE = f"regexp_replace({_LOW}, '(^|[^\\p{{{{L}}}}\\p{{{{N}}}}\\p{{{{Mn}}}}])({'|'.join(R.ELISIONS)})''', '\\1', 'g')"
+_KEPT = f"list_filter(regexp_split_to_array({_BARE}, '[^\\p{{{{L}}}}\\p{{{{N}}}}\\p{{{{Mn}}}}]+'), lambda x: x <> '' AND strip_accents(x) NOT IN ({_STOP}))"
+_FRENCH = f"list_filter(list_transform({_stems(_KEPT)}, lambda x: strip_accents(x)), lambda x: x <> '')"
 
 
 def _bm25(where: str = "", name: str = "scored", docs: str = "documents", terms: str = _TERMS, asked: str = "") -> str:

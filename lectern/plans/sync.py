@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sync as S
+from ..operators.shared import once
+from ..sources.names import NameIndex
 from .registry import query, table
 
 #: Fixed moment between what the store knows and what is new, so that results don't depend on the clock.
@@ -154,6 +156,16 @@ def paginate_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.col("source").ilike("%SRC1%")).orderBy("doc_id").offset(40).limit(20).select("doc_id", "source")
 
 
+@query("SELECT 'brand#1' AS needle, p_partkey, p_brand || ' ' || p_name AS name FROM part WHERE contains(lower(p_brand || ' ' || p_name), 'brand#1') UNION ALL SELECT '3 p', p_partkey, p_brand || ' ' || p_name FROM part WHERE contains(lower(p_brand || ' ' || p_name), '3 p') UNION ALL SELECT '#2', p_partkey, p_brand || ' ' || p_name FROM part WHERE contains(lower(p_brand || ' ' || p_name), '#2')")
+def names_containing(spark, sf_dir):
+    """Names that hold a string, from their trigrams; the last one is too short for any."""
+    parts = table(spark, sf_dir, "part")
+    rows = parts.select("p_partkey", F.concat("p_brand", F.lit(" "), "p_name").alias("name"))
+    index = NameIndex(spark, once(parts, "part-names", lambda folder: NameIndex.build(rows, "p_partkey", "name", folder)))
+    found = [index.containing(needle).select(F.lit(needle.lower()).alias("needle"), F.col("key").alias("p_partkey"), "name") for needle in ("BRAND#1", "3 p", "#2")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("SELECT coalesce(a.k, b.k) AS name, a.n AS vectors, b.n AS documents FROM (SELECT 'src' || label AS k, count(*)::BIGINT AS n FROM embeddings GROUP BY k) a FULL JOIN (SELECT lower(source) AS k, count(*)::BIGINT AS n FROM documents GROUP BY k) b USING (k)")
 def index_stats(spark, sf_dir):
     a = table(spark, sf_dir, "embeddings").groupBy(F.concat(F.lit("src"), "label").alias("name")).agg(F.count(F.lit(1)).alias("vectors"))
