@@ -112,8 +112,9 @@ def _cross_by_differences(many: DataFrame, sets: DataFrame, marks: DataFrame, ro
     One of the two is outside the centre's component, so its D is greater than q (|x| + |centre|).
     Hence with a partner outside x needs over (|D(x)| + q (|centre| - |x|)) / 2 common elements,
     with one inside (|D(x)| - q (|centre| + |x|)) / 2 or more. Sets that share so many share one
-    among the first |D| - need + 1 of each, in any common order: here what the centre lacks
-    comes first, as edits seldom agree in what they bring in. Needs are exact integers. From a
+    among the first |D| - need + 1 of each, in any common order: here the elements of the fewest
+    members come first, so that what a centre has of its own, and all others lack, brings
+    together only those that need it. Needs are exact integers. From a
     first common element on, no more than the rest of the shorter list can agree: pairs of
     which that falls short of the need go at once.
     """
@@ -127,10 +128,17 @@ def _cross_by_differences(many: DataFrame, sets: DataFrame, marks: DataFrame, ro
     first = lambda need: F.greatest(F.lit(0), n_diff - F.greatest(F.lit(1), need) + 1).cast("int")
     # An element is signed by whether the centre has it, so the two parts never meet.
     marked = lambda part: F.transform(part, lambda x: F.struct(F.lit(part == "extra").alias("extra"), x.alias("gram")))
-    signed = F.concat(marked("extra"), marked("lacking"))
-    both = both.select("centre", "node", "root", "inside", n_diff.cast("long").alias("differ"), first(over).alias("short"), F.slice(signed, F.lit(1), F.when(F.col("inside"), first(over)).otherwise(F.greatest(first(over), first(least)))).alias("first"))
-    posts = both.join(marks, "node").select("centre", "node", "root", "inside", "n", "bits", "differ", "short", F.posexplode("first").alias("at", "element"))
+    prefix = F.when(F.col("inside"), first(over)).otherwise(F.greatest(first(over), first(least)))
+    both = kept(both.select("centre", "node", "root", "inside", n_diff.cast("long").alias("differ"), first(over).alias("short"), prefix.alias("prefix"), F.concat(marked("extra"), marked("lacking")).alias("signed")), "own-differences")
+    # The order: elements of few members first. Those of one member alone meet none, so only their number counts.
+    elements = both.select("centre", "node", F.explode("signed").alias("e")).select("centre", "node", "e.extra", "e.gram")
+    counted = elements.groupBy("centre", "extra", "gram").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    listed = elements.join(counted, ["centre", "extra", "gram"]).groupBy("centre", "node").agg(F.sort_array(F.collect_list(F.struct("members", "extra", "gram"))).alias("common"))
+    alone = (F.col("differ") - F.size("common")).cast("int")
+    taken = both.drop("signed").join(listed, ["centre", "node"]).join(marks, "node").withColumn("alone", alone).withColumn("common", F.slice("common", F.lit(1), F.greatest(F.lit(0), F.col("prefix") - F.col("alone"))))
+    posts = taken.select("centre", "node", "root", "inside", "n", "bits", "differ", "short", "alone", F.posexplode("common").alias("place", "element")).withColumn("at", F.col("alone") + F.col("place"))
     posts = kept(posts.select("centre", "element.extra", "element.gram", "node", "root", "inside", "n", "bits", "differ", (F.col("differ") - F.col("at")).alias("rest"), (F.col("at") < F.col("short")).alias("early")), "differences")
+    discard(both)
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "inside", "n", "bits", "differ", "rest", "early")]
     left = posts.where("early").select("centre", "extra", "gram", *side("a")).alias("l")
     right = posts.where("not inside").select("centre", "extra", "gram", *side("b")).alias("r")
