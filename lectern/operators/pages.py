@@ -45,6 +45,17 @@ def scanned(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
     return pages.withColumn("ocr", T.needs_ocr(chars, words) | (F.sum(chars).over(w) < F.floor(LEAST_CHARS * F.count(F.lit(1)).over(w) / 2)))
 
 
+#: Fixed value: the least confidence of a block that counts.
+LEAST_CONFIDENCE = 0.3
+
+
+def read_texts(blocks: DataFrame, key: str, least: float = LEAST_CONFIDENCE) -> DataFrame:
+    """``key, page, text`` from the blocks that a reader has found on scanned pages (``key, page, place, text, confidence``): those of enough confidence, a line each in their order. Blocks without a confidence don't count; pages without a block have none."""
+    sure = blocks.where((F.col("confidence") >= least) & F.col("text").isNotNull())
+    lists = sure.groupBy(key, "page").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("b"))  # one page's blocks
+    return lists.select(key, "page", F.array_join(F.transform("b", lambda x: x["text"]), "\n").alias("text"))
+
+
 def merged_ocr(documents: DataFrame, read: DataFrame, key: str) -> DataFrame:
     """``documents`` (``content, page_spans``) with the texts ``read`` from scanned pages (``key, page, text``) behind them, each under a line that names its page, and their spans."""
     section = F.concat(F.lit("\n--- OCR Page "), "page", F.lit(" ---\n"), "text")

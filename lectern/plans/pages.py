@@ -27,14 +27,17 @@ def joined_pages(spark, sf_dir):
     return P.joined(_turns(spark, sf_dir), "conv_id").select("conv_id", F.sha2("content", 256).alias("content"), _spans().alias("spans"))
 
 
-@query(f"""WITH {_JOINED}, o AS (SELECT conv_id, page, chr(10) || '--- OCR Page ' || page || ' ---' || chr(10) || 'lu ' || page AS s FROM p WHERE said = ''),
+@query(f"""WITH {_JOINED}, o AS (SELECT conv_id, page, chr(10) || '--- OCR Page ' || page || ' ---' || chr(10) || CASE page % 4 WHEN 0 THEN 'lu ' || page WHEN 1 THEN 'lu ' || page || chr(10) || 'ligne' WHEN 2 THEN 'ligne' END AS s FROM p WHERE said = '' AND page % 4 < 3),
 q AS (SELECT o.conv_id, page, s, length(content) + 2 + sum(length(s) + 1) OVER (PARTITION BY o.conv_id ORDER BY page) - length(s) - 1 AS start FROM o JOIN d USING (conv_id)),
 r AS (SELECT conv_id, string_agg(s, chr(10) ORDER BY page) AS more, string_agg(page || ':' || start || '-' || (start + length(s)), ',' ORDER BY page) AS spans FROM q GROUP BY conv_id)
 SELECT conv_id, sha256(content || coalesce(chr(10) || chr(10) || more, '')) AS content, CASE WHEN r.spans IS NULL THEN d.spans WHEN d.spans = '' THEN r.spans ELSE d.spans || ',' || r.spans END AS spans FROM d LEFT JOIN r USING (conv_id)""")
 def ocr_merge(spark, sf_dir):
-    """Blank pages read by a stand-in."""
+    """Blank pages read by a stand-in, in blocks of which some are not sure enough."""
     turns = _turns(spark, sf_dir)
-    read = turns.where(~F.col("text").rlike(r"\S")).select("conv_id", "page", F.concat(F.lit("lu "), "page").alias("text"))
+    blank, k = turns.where(~F.col("text").rlike(r"\S")), F.col("page") % 4
+    block = lambda at, said, sure: F.struct(F.lit(at).alias("place"), said.alias("text"), sure.cast("double").alias("confidence"))
+    blocks = F.array(block(1, F.lit("ligne"), F.when(k == 1, 0.3).when(k == 2, 0.9).otherwise(0.29)), block(0, F.concat(F.lit("lu "), "page"), F.when(k <= 1, 0.7)), block(2, F.lit(None).cast("string"), F.lit(0.9)))
+    read = P.read_texts(blank.select("conv_id", "page", F.explode(blocks).alias("b")).select("conv_id", "page", "b.*"), "conv_id")
     return P.merged_ocr(P.joined(turns, "conv_id"), read, "conv_id").select("conv_id", F.sha2("content", 256).alias("content"), _spans().alias("spans"))
 
 

@@ -227,7 +227,7 @@ def sheet_rows(files: DataFrame) -> DataFrame:
 
 
 PARSERS: dict[str, Callable[[bytes], str]] = {
-    ".docx": docx, ".pptx": pptx, ".odt": odt, ".ods": ods, ".odp": odp, ".eml": eml, ".rtf": rtf, ".html": web_page, ".htm": web_page, ".xlsx": xlsx, ".md": _front_matter, ".markdown": _front_matter, ".txt": _decoded, ".csv": _decoded, ".log": _decoded, ".json": _decoded,
+    ".docx": docx, ".pptx": pptx, ".odt": odt, ".ods": ods, ".odp": odp, ".eml": eml, ".rtf": rtf, ".html": web_page, ".htm": web_page, ".xlsx": xlsx, ".md": _front_matter, ".markdown": _front_matter, ".txt": _decoded, ".csv": _decoded, ".log": _decoded, ".json": _decoded, ".rst": _decoded, ".ini": _decoded, ".cfg": _decoded, ".yaml": _decoded, ".yml": _decoded,
 }
 
 
@@ -260,11 +260,22 @@ def read_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder))
 
 
-def golden_set(spark: SparkSession, path: str, schema: str = "id string, projet string, question string, reponse_reference string, sources_reference array<string>") -> DataFrame:
-    """Cases of an evaluation, one JSON object on each line that isn't blank; lines that are no JSON have only nulls and are left out."""
+GOLDEN = "id string, projet string, question string, reponse_reference string, sources_reference array<string>"
+
+
+def golden_set(spark: SparkSession, path: str, schema: str = GOLDEN) -> DataFrame:
+    """Cases of an evaluation, one JSON object on each line that isn't blank; lines without a case are in :func:`golden_errors`."""
     return spark.read.schema(schema).json(path).where("id IS NOT NULL")
 
 
+def golden_errors(spark: SparkSession, path: str) -> DataFrame:
+    """``line, error`` of the lines that give no case: what is no JSON, and objects without an ``id``. Blank lines are none."""
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))
+    found = F.try_parse_json(F.trim("value"))
+    error = F.when(found.isNull(), "no JSON").when(F.try_variant_get(found, "$.id", "string").isNull(), "no id")
+    return lines.select(F.col("value").alias("line"), error.alias("error")).where("error is not null")
+
+
 def log_tail(spark: SparkSession, path: str, lines: int = 200) -> DataFrame:
     """``nth, line``: the last lines of a log that aren't blank, oldest first."""
     rows = spark.read.text(path).where(F.col("value").rlike(r"\S")).withColumn("_at", F.monotonically_increasing_id())

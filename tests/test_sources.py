@@ -5,7 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from lectern.operators import analytics
+from lectern.operators import analytics, pages
 from lectern.sources import files, stores
 from lectern.streaming import changes
 
@@ -147,3 +147,21 @@ def test_changes(spark, tmp_path):
         changes.apply_changes(stream, store, f"{tmp_path}/checkpoint").awaitTermination()
     got = {r["path"]: (r["content_hash"], r["version"]) for r in changes.current(spark, store, stream.schema).collect()}
     assert got == {"a": ("h3", 2), "b": ("h1", 1), "d": ("h1", 1)}
+
+
+def test_texts_of_all_extensions(spark):
+    rows = [(f"/d/a{x}", bytearray("clé: 1\n".encode(e))) for x, e in ((".rst", "utf-8"), (".ini", "latin-1"), (".cfg", "utf-8"), (".yaml", "utf-8"), (".YML", "latin-1"))]
+    got = files.parsed(spark.createDataFrame(rows, "path string, content binary")).collect()
+    assert {(r["status"], r["content"]) for r in got} == {("ok", "clé: 1\n")} and len(got) == 5
+
+
+def test_golden_lines_that_are_none(spark, tmp_path):
+    (tmp_path / "g.jsonl").write_text('{"id": "1", "question": "q"}\n\n{"question": "no id"}\nnot json\n{"id": "2"\n')
+    assert [r["id"] for r in files.golden_set(spark, str(tmp_path / "g.jsonl")).collect()] == ["1"]
+    assert sorted((r["line"], r["error"]) for r in files.golden_errors(spark, str(tmp_path / "g.jsonl")).collect()) == [("not json", "no JSON"), ('{"id": "2"', "no JSON"), ('{"question": "no id"}', "no id")]
+
+
+def test_sure_blocks(spark):
+    blocks = [("d", 1, 1, "b", 0.3), ("d", 1, 0, "a", 0.9), ("d", 1, 2, "c", 0.29), ("d", 2, 0, "x", None), ("d", 3, 0, None, 1.0), ("e", 1, 0, "", 1.0)]
+    got = pages.read_texts(spark.createDataFrame(blocks, "k string, page int, place int, text string, confidence double"), "k").collect()
+    assert sorted(map(tuple, got)) == [("d", 1, "a\nb"), ("e", 1, "")]
