@@ -75,14 +75,21 @@ def pages_outside_files(spark, sf_dir):
     return G.pages_outside_files(answers, lots, "k", "text").select("k.conv_id", "k.turn", F.array_join("outside", ",").alias("outside"))
 
 
-@query("""SELECT conv_id, turn, round(CASE WHEN turn % 3 = 0 THEN 1.0 WHEN turn % 3 = 1 THEN 0.5 ELSE 0.0 END, 4)::DOUBLE AS rate, CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN '0.75' ELSE '0.75,12345' END AS missing,
-CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN 'hauteur 0,750 m selon page 77' ELSE 'surface 12 345 ha|hauteur 0,750 m selon page 77' END AS lines FROM conversations""")
+def retention_rows(spark, sf_dir):
+    """``conv_id, turn, lot, blocks, synthesis``: the lot is the conversation with some figures, the blocks are each turn's own text with some of these, the synthesis keeps text and figures, text and one figure, or nothing."""
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    lots = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("said"))  # one conversation
+    area = (F.col("conv_id") + 1000).cast("string")
+    rows = turns.join(lots, "conv_id").withColumn("lot", F.concat("said", F.lit("\nLa surface est de "), area, F.lit(" ha, la hauteur de 0.75 m.")))
+    blocks = F.concat(F.lit("# Bloc\n- "), "text", F.lit("\n- surface "), area, F.lit(" ha\n- hauteur **0,750 m** selon page 77"))
+    kept = F.element_at(F.array(F.concat("text", F.lit(" "), area, F.lit(" ha et 0,75 m")), F.concat("text", F.lit(" "), area), F.lit("Rien.")), (F.col("turn") % 3 + 1).cast("int"))
+    return rows.select("conv_id", "turn", "lot", blocks.alias("blocks"), kept.alias("synthesis"))
+
+
+@query()
 def data_retention(spark, sf_dir):
-    """Two numbers of the blocks: a third of the syntheses keeps both, a third one, a third none."""
-    blocks = "# Bloc 1\n- surface 12 345 ha\n- hauteur **0,750 m** selon page 77"
-    blocks, lot = F.lit(blocks), F.lit("La surface est de 12345 ha, la hauteur de 0.75 m.")
-    said = F.element_at(F.array(F.lit("12 345 ha et 0,75 m"), F.lit("12345 ha."), F.lit("Rien.")), (F.col("turn") % 3 + 1).cast("int"))
-    r = table(spark, sf_dir, "conversations").select("conv_id", "turn", G.retention(said, blocks, lot).alias("r"))
+    """What of each turn's names and numbers a synthesis keeps; row by row by a unit test."""
+    r = retention_rows(spark, sf_dir).select("conv_id", "turn", G.retention(F.col("synthesis"), F.col("blocks"), F.col("lot")).alias("r"))
     return r.select("conv_id", "turn", "r.rate", F.array_join("r.missing", ",").alias("missing"), F.array_join("r.lines", "|").alias("lines"))
 
 
