@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         return pairs.where(100 * both >= percent * (F.size("grams_a") + F.size("grams_b") - both)).select("a", "b")
 
     links = kept(confirmed(members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), False), "centre-links")
-    roots = first = components(links)
+    roots = first = second = components(links)
     # Buckets whose members are still in several components: compare those across components.
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = kept(placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket"), "mixed")
@@ -210,12 +210,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     more = kept(confirmed(crossing, True), "cross-links")
     discard(members, mixed, open_, crossing, sets)
     if not more.isEmpty():
-        roots = components(links.union(more))
+        # Only the roots that the further links join have to be brought together.
+        known = roots.select("node", "root")
+        ends = more.join(side(known, "a"), "a", "left").join(side(known, "b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        second = components(ends)
+        joined = second.select(F.col("node").alias("root"), F.col("root").alias("_upper"))
+        moved = known.join(joined, "root", "left").select("node", F.coalesce("_upper", "root").alias("root"))
+        # A node that was no member of a component before is its own root.
+        roots = moved.unionByName(second.join(known.select("node"), "node", "left_anti"))
 
     grouped = classes.select(F.col("digest").alias("node"), "rep.key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = kept(grouped.groupBy("root").agg(F.min("key").alias("component_id")), "least")
     ids = kept(grouped.join(least, "root").select(F.col("node").alias("digest"), "component_id"), "component-ids")
-    discard(classes, links, more, least, *{id(x): x for x in (first, roots)}.values())
+    discard(classes, links, more, least, *{id(x): x for x in (first, second)}.values())
     out = sketched.select("key", "n", "digest").join(ids, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("key")).otherwise(F.when(F.col("key").isNotNull(), F.col("component_id")))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"))
