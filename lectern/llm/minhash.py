@@ -131,7 +131,8 @@ def _cross_by_differences(many: DataFrame, sets: DataFrame, marks: DataFrame, ro
     prefix = F.when(F.col("inside"), first(over)).otherwise(F.greatest(first(over), first(least)))
     both = kept(both.select("centre", "node", "root", "inside", n_diff.cast("long").alias("differ"), first(over).alias("short"), prefix.alias("prefix"), F.concat(marked("extra"), marked("lacking")).alias("signed")), "own-differences")
     # The order: elements of few members first. Those of one member alone meet none, so only their number counts.
-    elements = both.select("centre", "node", F.explode("signed").alias("e")).select("centre", "node", "e.extra", "e.gram")
+    # A centre's many members lie together, so they are dealt out before their elements are.
+    elements = both.select("centre", "node", "signed").repartition("centre", "node").select("centre", "node", F.explode("signed").alias("e")).select("centre", "node", "e.extra", "e.gram")
     counted = elements.groupBy("centre", "extra", "gram").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     listed = elements.join(counted, ["centre", "extra", "gram"]).groupBy("centre", "node").agg(F.sort_array(F.collect_list(F.struct("members", "extra", "gram"))).alias("common"))
     alone = (F.col("differ") - F.size("common")).cast("int")
