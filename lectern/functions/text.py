@@ -178,12 +178,16 @@ def direct_question(x: Column) -> Column:
     return said.endswith("?") & ~F.regexp_replace(said, r"\?$", "").rlike(r"[.!?]\s+[A-ZÀ-Ý]")
 
 
-def is_question(x: Column) -> Column:
-    """Ends with a question mark or begins like a question."""
+#: A word's edge where only ASCII letters, digits and the low line make words, as RE2 and the engines built on it have it.
+ASCII_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def is_question(x: Column, ascii_words: bool = False) -> Column:
+    """Ends with a question mark or begins like a question. ``ascii_words``: a letter with an accent ends a word, as in SQL engines on RE2 ("queéé" begins with "que" there)."""
     said = F.lower(strip(F.coalesce(x, F.lit(""))))
     out = said.endswith("?")
     for head in QUESTION_HEADS:
-        out = out | said.rlike(head)
+        out = out | said.rlike(head.replace(r"\b", ASCII_EDGE) if ascii_words else head)
     return out
 
 

@@ -33,3 +33,9 @@ def test_aimed_objects(same):
 def test_integrated_objects(same):
     """The SQL ends an object at any word that begins with "dans"."""
     same("integrated_objects", documents=("doc_id long, text string", [(0, "dansenai ment xx"), (3, "le danse vite"), (6, "eau dans"), (4, "danse vite xx"), (5, "danse"), (9, ""), (12, None), (7, None)]))
+
+
+def test_question_tests(same):
+    """A letter with an accent ends a word in the SQL's engine."""
+    rows = [(1, 2, "Queéé. Èm"), (1, 3, "Où aller"), (1, 6, "oùa"), (1, 7, "qu'on"), (1, 10, "qu' on"), (1, 11, "Qué"), (1, 14, "canç x"), (1, 0, "le but"), (1, 1, "ever"), (1, 15, "Quelle heure")]
+    same("question_tests", conversations=("conv_id long, turn long, text string", rows))
