@@ -50,7 +50,7 @@ def eval_dashboard(spark, sf_dir):
 @query(" UNION ALL ".join(f"SELECT '{m}' AS metric, round(avg({m}), 3) AS mean, round(100.0 * count(*) FILTER ({m} < {t}) / count(*), 0)::DOUBLE AS failing, CASE WHEN avg({m}) < {g} THEN 'high' WHEN avg({m}) < {t} THEN 'medium' ELSE 'none' END AS severity FROM ({_SCORES})" for m, t, g in (("faithfulness", 0.8, 0.6), ("relevancy", 0.75, 0.5), ("recall", 0.7, 0.4))))
 def eval_recommendations(spark, sf_dir):
     """Metrics against their thresholds; nulls don't count in means."""
-    wide = _scores(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), *[x for m, (t, _) in A.GOALS.items() for x in (F.avg(m).alias(f"{m}_mean"), F.count_if(F.col(m) < t).alias(f"{m}_low"))])
+    wide = _scores(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), *[x for m, (t, _) in A.GOALS.items() for x in (A.mean(m).alias(f"{m}_mean"), F.count_if(F.col(m) < t).alias(f"{m}_low"))])
     told = [F.struct(F.lit(m).alias("metric"), F.round(f"{m}_mean", 3).alias("mean"), F.round(100.0 * F.col(f"{m}_low") / F.col("n"), 0).alias("failing"), A.severity(m, F.col(f"{m}_mean")).alias("severity")) for m in A.GOALS]
     return wide.select(F.explode(F.array(*told)).alias("t")).select("t.*")
 
@@ -68,7 +68,7 @@ _CHANGES = (
 @query(f"WITH m AS (SELECT source, avg(faithfulness) AS faithfulness, avg(relevancy) AS relevancy, avg(recall) AS recall, count(*) % 4 AS k FROM ({_SCORES}) GROUP BY source), s AS (SELECT *, {_NOW} FROM m) " + " UNION ALL ".join(f"SELECT source, '{m}' AS metric, '{p}' AS param, round(({now})::DOUBLE, 4) AS current, round(({then})::DOUBLE, 4) AS suggested FROM s WHERE {m} < {t}" for m, t, p, now, then in _CHANGES))
 def suggested_parameters(spark, sf_dir):
     """What each source's index should be set to, from its means and its settings."""
-    means = _scores(spark, sf_dir).groupBy("source").agg(*[F.avg(m).alias(m) for m in A.GOALS], (F.count(F.lit(1)) % 4).alias("k"))
+    means = _scores(spark, sf_dir).groupBy("source").agg(*[A.mean(m).alias(m) for m in A.GOALS], (F.count(F.lit(1)) % 4).alias("k"))
     now = means.selectExpr("*", *[x.strip() for x in _NOW.split(", ")])
     return A.suggestions(now, ["source"])
 
