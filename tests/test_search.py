@@ -2,8 +2,10 @@
 
 import math
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern import catalog, settings
@@ -12,6 +14,7 @@ from lectern.operators import retrieval as R
 from lectern.operators import near_terms as N
 from lectern.operators import sync as Y
 from lectern.operators import term_index as X
+from lectern.operators.shared import text_slices
 from lectern.operators.vector_index import CellIndex
 from lectern.streaming import changes
 
@@ -328,3 +331,23 @@ def test_french_stems(spark):
     got = spark.createDataFrame([(words,)], "w array<string>").select(R.stemmed(F.col("w"))).first()[0]
     assert {w: g for w, g in zip(words, got, strict=True)} == {w: light_stem(w) for w in words}
     assert len(words) > 1000
+
+
+def test_vectors_by_hand(spark):
+    """Signed buckets of trigrams, letter by letter, over texts that share a batch, with letters beyond the basic plane."""
+    texts = ["Bonjour à tous", "ab", "", None, "😀😀😀a", "x" * 50, "éàü"]
+    got = {r["k"]: r["embedding"] for r in R.hashed_vectors(spark.createDataFrame([*enumerate(texts)], "k int, t string").coalesce(1), "k", "t", 16).collect()}
+    for k, said in enumerate(texts):
+        want, low = np.zeros(16), (said or "").lower()
+        for i in range(len(low) - 2):
+            h = zlib.crc32(low[i : i + 3].encode())
+            want[h % 16] += 1 if h // 16 % 2 == 0 else -1
+        assert np.allclose(got[k], want / (np.linalg.norm(want) or 1))
+
+
+def test_slices_of_long_texts():
+    """What a task takes up at once is bounded by bytes, whatever the number of rows in a batch."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 700_000, None, "b" * 700_000, "", "c" * 5_000_000, "d"])], ["k", "t"])
+    parts = [p.column(0).to_pylist() for p in text_slices(batch, 1)]
+    assert sum(parts, []) == list(range(6)) and parts[-1] == [5] and len(parts) > 2
+    assert [*text_slices(batch.slice(0, 0), 1)] == []
