@@ -37,6 +37,18 @@ def deaccent(x: Column) -> Column:
     return F.regexp_replace(F.translate(x, *_plain_letters()), r"\p{Mn}+", "")
 
 
+def plain(x: str) -> str:
+    """:func:`deaccent` of a string."""
+    if x.isascii():
+        return x
+    return "".join(c for c in x.translate(_plain_table()) if unicodedata.category(c) != "Mn")
+
+
+@lru_cache(maxsize=1)
+def _plain_table() -> dict[int, str]:
+    return str.maketrans(*_plain_letters())
+
+
 def file_context(name: Column, path: Column, kind: Column, title: Column | None = None, author: Column | None = None, subject: Column | None = None) -> Column:
     """``[Fichier: … | Chemin: last three parents | Type: …]``, missing parts left out."""
     parents = F.filter(F.split(path, "/"), lambda x: x != "")
