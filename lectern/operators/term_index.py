@@ -18,18 +18,28 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import settled
 
 #: Documents of a shard, about; questions of a block; the decimals by which scores are told apart.
-SHARD, BLOCK, DIGITS = 1 << 14, 1024, 6
+SHARD, BLOCK, DIGITS = 1 << 12, 1024, 6
 #: Shards up to which no shard is scored before the others.
 FEW = 32
 _ROWS = "shard int, field string, term string, n long, total double, ids binary, counts binary"
 
 
+def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and how often each is there; the parts are given up on the way."""
+    every = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    parts.clear()
+    every.sort()
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    return every[first], np.diff(first, append=len(every))
+
+
 class TermIndex:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -48,19 +58,27 @@ class TermIndex:
         dealt = docs.select(shard, F.col(key).alias("key"), *[c.alias(f"f{i}") for i, c in enumerate(fields.values())])
 
         def pack(table: pa.Table) -> pa.Table:
-            table = table.sort_by("key").combine_chunks()
+            n = table.num_rows
+            place = np.empty(n, np.int64)  # of each row among the keys
+            place[pc.sort_indices(table.column(1)).to_numpy()] = np.arange(n)
             out = []
             for i, name in enumerate(names):
-                lists = table.column(2 + i).chunk(0) if table.num_rows else pa.array([], pa.list_(pa.string()))
-                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                coded = lists.flatten().dictionary_encode()
-                code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                pair, count = np.unique(code * len(sizes) + doc, return_counts=True)
-                code, doc = pair // max(len(sizes), 1), (pair % max(len(sizes), 1)).astype("<i4")
+                # Only a number for each word is kept beside the shard's rows: its term's and its document's in one.
+                pairs, said, lengths = [], {}, np.zeros(n, np.int64)
+                at = 0
+                for lists in table.column(2 + i).chunks:
+                    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                    docs_ = place[at : at + len(lists)]
+                    lengths[docs_] = sizes
+                    at += len(lists)
+                    coded = lists.flatten().dictionary_encode()
+                    own = np.array([said.setdefault(w, len(said)) for w in coded.dictionary.to_pylist()], np.int64)
+                    pairs.append(own[coded.indices.to_numpy(zero_copy_only=False)] * n + np.repeat(docs_, sizes) if len(own) else np.zeros(0, np.int64))
+                pair, count = _counted(pairs)
+                code, doc = pair // max(n, 1), (pair % max(n, 1)).astype("<i4")
                 cuts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)] if len(code) else []
                 count = count.astype("<i4")
-                said = coded.dictionary.to_pylist()
+                said, sizes = [*said], lengths
                 out += [(name, said[code[a]], b - a, 0.0, doc[a:b].tobytes(), count[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
                 some = np.flatnonzero(sizes).astype("<i4")
                 out.append((name, "", len(some), float(sizes.sum()), some.tobytes(), sizes[some].astype("<i4").tobytes()))
