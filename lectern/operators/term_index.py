@@ -14,6 +14,7 @@ first pass over one shard gives every question a sum that its ``k`` best have to
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -120,9 +121,20 @@ class TermIndex:
         known = weighted.join(known, ["qid", "field"], "left").withColumn("reach", F.coalesce("_least", F.lit(0.0))).drop("_least")
         return tried.unionByName(self._scored(known, kind, qid, key, k, k1, b, F.col("shard") != one))
 
-    def _scored(self, weighted: DataFrame, kind: str, qid: str, key: str, k: int | None, k1: float, b: float, where: Column | None) -> DataFrame:
-        rows = self.rows if where is None else self.rows.where(where)
-        keys = self.keys if where is None else self.keys.where(where)
+    def best_fields(self, asked: DataFrame, qid: str, key: str, boosts: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """``qid, key, score`` of every document with an asked term: its best field's score times the field's boost.
+
+        A shard's fields meet in one task, with its keys, so the only rows made are the results.
+        """
+        asked = asked.where(f"term <> '' and `{qid}` is not null")
+        kind, key_kind = asked.schema[qid].dataType.simpleString(), self.keys.schema["keys"].dataType
+        parts = self._parts(self.weighted(asked, qid, k1, b).withColumn("reach", F.lit(0.0)), self.rows)
+        none = F.lit("").alias("field"), F.lit("").alias("term"), F.lit(b"").alias("ids"), F.lit(b"").alias("counts"), F.array().cast(parts.schema["who"].dataType).alias("who")
+        named = self.keys.crossJoin(parts.select("block").distinct()).select("shard", "block", *none, "keys")
+        return parts.withColumn("keys", F.lit(None).cast(key_kind)).unionByName(named).groupBy("shard", "block").applyInArrow(_best_field(boosts, k1, b, (qid, key)), f"`{qid}` {kind}, `{key}` {key_kind.elementType.simpleString()}, score double")
+
+    def _parts(self, weighted: DataFrame, rows: DataFrame) -> DataFrame:
+        """What a shard has for a block of questions: the asked terms' rows, each with who asks for it, and the lengths of each field."""
         block = F.pmod(F.xxhash64("qid"), F.greatest(F.lit(1), F.ceil(F.col("_n") / BLOCK))).cast("int").alias("block")
         many = weighted.agg(F.approx_count_distinct("qid").alias("_n"))
         by = weighted.crossJoin(F.broadcast(many)).select(block, "field", "term", F.struct("qid", "w", "reach", "mean").alias("who"))  # one row
@@ -130,7 +142,11 @@ class TermIndex:
         found = rows.join(by, ["field", "term"]).select("shard", "block", "field", "term", "ids", "counts", "who")
         blocks = by.select("block", "field").distinct()
         lengths = rows.where("term = ''").join(blocks, "field").select("shard", "block", "field", "term", "ids", "counts", F.array().cast(found.schema["who"].dataType).alias("who"))
-        parts = found.unionByName(lengths)
+        return found.unionByName(lengths)
+
+    def _scored(self, weighted: DataFrame, kind: str, qid: str, key: str, k: int | None, k1: float, b: float, where: Column | None) -> DataFrame:
+        keys = self.keys if where is None else self.keys.where(where)
+        parts = self._parts(weighted, self.rows if where is None else self.rows.where(where))
         scored = parts.groupBy("shard", "block", "field").applyInArrow(_scorer(k, k1, b), f"shard int, field string, qid {kind}, id int, score double")
         named = scored.join(keys, "shard")
         return named.select(F.col("qid").alias(qid), "field", F.get("keys", F.col("id")).alias(key), "score")
@@ -141,26 +157,11 @@ def _scorer(k: int | None, k1: float, b: float):
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        of_all = next((r for r in rows if not r["term"]), None)
         out_q, out_id, out_s = [], [], []
-        if of_all is not None and len(rows) > 1:
-            lengths = np.zeros(1 + int(np.frombuffer(of_all["ids"], "<i4").max(initial=0)))
-            lengths[np.frombuffer(of_all["ids"], "<i4")] = np.frombuffer(of_all["counts"], "<i4")
-            mean = next(r["who"][0]["mean"] for r in rows if r["who"])
-            norm = k1 * (1 - b + b * lengths / mean)
-            by_question: dict = {}
-            for r in rows:
-                if r["who"]:
-                    ids, tf = np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<i4")
-                    part = tf / (tf + norm[ids])
-                    for who in r["who"]:
-                        by_question.setdefault(who["qid"], (who["reach"], []))[1].append((who["w"] * part.max(), r["term"], who["w"], ids, part))
-            for qid, (reach, terms) in by_question.items():
-                terms.sort(key=lambda t: (-t[0], t[1]))
-                ids, sums = _best(terms, len(lengths), k, reach)
-                out_q += [qid] * len(ids)
-                out_id.append(ids)
-                out_s.append(sums)
+        for qid, ids, sums in _sums(rows, k, k1, b):
+            out_q += [qid] * len(ids)
+            out_id.append(ids)
+            out_s.append(sums)
         n = len(out_q)
         first = rows[0]
         shown = [pa.array(np.full(n, first["shard"], np.int32)), pa.array([first["field"]] * n, pa.string()), pa.array(out_q, table.schema.field("who").type.value_type.field("qid").type)]
@@ -169,6 +170,52 @@ def _scorer(k: int | None, k1: float, b: float):
     return run
 
 
+def _sums(rows: list[dict], k: int | None, k1: float, b: float) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
+    """Each question's documents and their sums, from a shard's rows of one field."""
+    of_all = next((r for r in rows if not r["term"]), None)
+    if of_all is None or len(rows) == 1:
+        return
+    lengths = np.zeros(1 + int(np.frombuffer(of_all["ids"], "<i4").max(initial=0)))
+    lengths[np.frombuffer(of_all["ids"], "<i4")] = np.frombuffer(of_all["counts"], "<i4")
+    mean = next(r["who"][0]["mean"] for r in rows if r["who"])
+    norm = k1 * (1 - b + b * lengths / mean)
+    by_question: dict = {}
+    for r in rows:
+        if r["who"]:
+            ids, tf = np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<i4")
+            part = tf / (tf + norm[ids])
+            for who in r["who"]:
+                by_question.setdefault(who["qid"], (who["reach"], []))[1].append((who["w"] * part.max(), r["term"], who["w"], ids, part))
+    for qid, (reach, terms) in by_question.items():
+        terms.sort(key=lambda t: (-t[0], t[1]))
+        yield qid, *_best(terms, len(lengths), k, reach)
+
+
+def _best_field(boosts: dict[str, float], k1: float, b: float, names: tuple[str, str]):
+    """Of one shard's documents, for one block of questions, the best field's boosted score; rows of one key are one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = next(x for x in table.column("keys") if x.is_valid).values
+        said = keys.to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.concatenate([[True], said[1:] != said[:-1]]))
+        by_field: dict = {}
+        for r in table.drop_columns("keys").to_pylist():
+            by_field.setdefault(r["field"], []).append(r)
+        best: dict = {}
+        for field, rows in by_field.items():
+            for qid, ids, sums in _sums(rows, None, k1, b):
+                own = best.setdefault(qid, np.zeros(len(said)))
+                own[ids] = np.maximum(own[ids], boosts[field] * sums)
+        merged = [np.maximum.reduceat(x, first) for x in best.values()]
+        at = [np.flatnonzero(x) for x in merged]
+        asked = pa.array([*best], table.schema.field("who").type.value_type.field("qid").type).take(np.repeat(np.arange(len(at), dtype=np.int32), [len(x) for x in at]))
+        where = np.concatenate([first[x] for x in at]) if at else np.zeros(0, np.int64)
+        score = np.concatenate([x[i] for x, i in zip(merged, at, strict=True)]) if at else np.zeros(0)
+        return pa.table([asked, keys.take(pa.array(where)), pa.array(score)], names=[*names, "score"])
+
+    return run
+
+
 def _best(terms: list[tuple], size: int, k: int | None, reach: float, counted: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids and sums of the best ``k`` documents that may reach ``reach``; all with a term without ``k``. ``counted`` takes the number of documents whose sums were completed."""
     slack = 2 * 10.0**-DIGITS

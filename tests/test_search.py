@@ -351,3 +351,27 @@ def test_slices_of_long_texts():
     parts = [p.column(0).to_pylist() for p in text_slices(batch, 1)]
     assert sum(parts, []) == list(range(6)) and parts[-1] == [5] and len(parts) > 2
     assert [*text_slices(batch.slice(0, 0), 1)] == []
+
+
+def test_best_field_of_every_document(spark, tmp_path):
+    """The best field's score for every document is that of all fields' scores, with repeated, null and unasked rows."""
+    rng = random.Random(5)
+    said = lambda n: " ".join(rng.choice("abcdefgh") * 2 for _ in range(n))
+    rows = spark.createDataFrame([(k % 70 if k != 9 else None, said(rng.randrange(9)), said(3) if k % 5 else None) for k in range(80)], "doc_id int, t string, u string")
+    fields = (R.Field("t", 3.0, R.terms), R.Field("u", 2.0, R.terms))
+    asked = spark.createDataFrame([(1, "aa bb zz"), (2, "cc dd cc"), (3, "yy"), (None, "aa")], "item_id int, text string")
+    index = R.search_index(rows, f"{tmp_path}/i", fields)
+    got = {(r["item_id"], r["doc_id"]): r["score"] for r in R.search(rows, asked, fields, index=index).collect()}
+    want = {}
+    for r in index.scores(X.terms_asked(asked, "item_id", {f.column: f.analysis(F.col("text")) for f in fields}), "item_id", "doc_id").collect():
+        pair = r["item_id"], r["doc_id"]
+        want[pair] = max(want.get(pair, 0), {"t": 3.0, "u": 2.0}[r["field"]] * r["score"])
+    assert got == want and len(got) > 50
+
+
+def test_counted():
+    """Numbers of several parts are counted as one list, and a shard holds 4,096 documents at most."""
+    parts = [np.array(x, np.int64) for x in ([5, 1, 5], [], [1, 9, 1])]
+    want = np.unique(np.concatenate(parts), return_counts=True)
+    assert all((a == b).all() for a, b in zip(X._counted(parts), want, strict=True)) and not parts
+    assert [len(x) for x in X._counted([])] == [0, 0] and X.SHARD <= 4096
