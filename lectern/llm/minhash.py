@@ -8,8 +8,8 @@ hopeless ones, and links are confirmed on full shingle sets.
 Each bucket's members are first compared with one centre, the member with the fullest buckets.
 Only members that this leaves in different components of one bucket are compared further: in
 small buckets pair by pair, in large ones by a prefix-filtered join of their differences from
-the centre (``_cross_by_differences``). So no link is lost, and a large group of near copies
-makes rows in proportion to its size.
+a centre (``_cross_by_differences``), one for all alike centres of a component. So no link is
+lost, and a large group of near copies lists its differences in proportion to its size.
 """
 
 from __future__ import annotations
@@ -104,32 +104,56 @@ def estimate(a: Column, b: Column, n_hashes: int) -> Column:
     return ((F.lit(1.0) - differ / F.lit(float(n_hashes))) - chance) / (1 - chance)
 
 
+def _references(many: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """For every centre of ``many`` its reference: of its component's centres the one of most members, if at least half alike, else itself.
+
+    A large group has the more centres the larger it is, and each of its members lies in buckets of many.
+    """
+    named = F.coalesce("root", "centre").alias("root")
+    sizes = many.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).join(roots.select(F.col("node").alias("centre"), "root"), "centre", "left").select("centre", "n", named)
+    hosts = sizes.groupBy("root").agg(F.max(F.struct("n", "centre")).alias("best")).select("root", F.col("best.centre").alias("host"))
+    grams = lambda x: sets.select(F.col("node").alias(x), F.col("grams").alias(f"of_{x}"))
+    both = sizes.join(hosts, "root").join(grams("centre"), "centre").join(grams("host"), "host")
+    alike = 3 * F.size(F.array_intersect("of_centre", "of_host")) >= F.size("of_centre") + F.size("of_host")
+    return both.select("centre", F.when(alike, F.col("host")).otherwise(F.col("centre")).alias("reference"))
+
+
 def _cross_by_differences(many: DataFrame, sets: DataFrame, marks: DataFrame, roots: DataFrame, percent: int, alike: Callable[..., Column]) -> DataFrame:
     """Pairs ``a, b`` of one centre's members in different components that may be similar enough.
 
+    Centres of one component that are much alike give their members to one of them, so that a
+    member's differences are listed about once, however many buckets it is in. Members that are
+    similar enough to this centre are given as pairs with it, and count as of its component.
+
     Let D(x) be the symmetric difference of x's set and the centre's, q = (100 - percent) /
     (100 + percent). A link of x and y needs |D(x) and D(y)| >= (|D(x)| + |D(y)| - q (|x| + |y|)) / 2.
     One of the two is outside the centre's component, so its D is greater than q (|x| + |centre|).
     Hence with a partner outside x needs over (|D(x)| + q (|centre| - |x|)) / 2 common elements,
-    with one inside (|D(x)| - q (|centre| + |x|)) / 2 or more. Sets that share so many share one
-    among the first |D| - need + 1 of each, in any common order: here the elements of the fewest
-    members come first, so that what a centre has of its own, and all others lack, brings
-    together only those that need it. Needs are exact integers. From a
-    first common element on, no more than the rest of the shorter list can agree: pairs of
+    with one inside (|D(x)| - q (|centre| + |x|)) / 2 or more. As |D(y)| is at least |D(x)| -
+    q (|x| + |y|), it also needs |D(x)| - q (|x| + |y|) or more, for the longest y there may be.
+    Sets that share so many share one among the first |D| - need + 1 of each, in any common
+    order: here the elements of the fewest members come first, so that what a centre has of its
+    own, and all others lack, brings together only those that need it. Needs are exact integers.
+    From a first common element on, no more than the rest of the shorter list can agree: pairs of
     which that falls short of the need go at once.
     """
     less, whole = 100 - percent, 2 * (100 + percent)
+    references = kept(_references(many, sets, roots), "references")
+    many = many.join(references, "centre").select(F.col("reference").alias("centre"), "node", "root").distinct()
     placed = many.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("of_centre")), "centre", "left")
     both = placed.join(sets, "node").join(sets.select(F.col("node").alias("centre"), F.col("grams").alias("hub")), "centre")
-    both = both.select("centre", "node", "root", (F.col("root") == F.coalesce("of_centre", "centre")).alias("inside"), F.size("grams").cast("long").alias("n_own"), F.size("hub").cast("long").alias("n_hub"), F.sort_array(F.array_except("grams", "hub")).alias("extra"), F.sort_array(F.array_except("hub", "grams")).alias("lacking"))
+    both = both.select("centre", "node", F.col("root").alias("own_root"), F.coalesce("of_centre", "centre").alias("of_centre"), F.size("grams").cast("long").alias("n_own"), F.size("hub").cast("long").alias("n_hub"), F.sort_array(F.array_except("grams", "hub")).alias("extra"), F.sort_array(F.array_except("hub", "grams")).alias("lacking"))
     n_diff = F.size("extra") + F.size("lacking")
-    over = F.floor((whole // 2 * n_diff + less * (F.col("n_hub") - F.col("n_own"))) / whole) + 1
-    least = F.ceil((whole // 2 * n_diff - less * (F.col("n_hub") + F.col("n_own"))) / whole)
+    linked = whole // 2 * n_diff <= less * (F.col("n_hub") + F.col("n_own"))
+    both = both.withColumn("root", F.when(linked, F.col("of_centre")).otherwise(F.col("own_root"))).withColumn("inside", F.col("root") == F.col("of_centre"))
+    furthest = n_diff - F.floor(less * (F.col("n_own") + F.floor(100 * F.col("n_own") / percent)) / (whole // 2))
+    over = F.greatest(furthest, F.floor((whole // 2 * n_diff + less * (F.col("n_hub") - F.col("n_own"))) / whole) + 1)
+    least = F.greatest(furthest, F.ceil((whole // 2 * n_diff - less * (F.col("n_hub") + F.col("n_own"))) / whole))
     first = lambda need: F.greatest(F.lit(0), n_diff - F.greatest(F.lit(1), need) + 1).cast("int")
     # An element is signed by whether the centre has it, so the two parts never meet.
     marked = lambda part: F.transform(part, lambda x: F.struct(F.lit(part == "extra").alias("extra"), x.alias("gram")))
     prefix = F.when(F.col("inside"), first(over)).otherwise(F.greatest(first(over), first(least)))
-    both = kept(both.select("centre", "node", "root", "inside", n_diff.cast("long").alias("differ"), first(over).alias("short"), prefix.alias("prefix"), F.concat(marked("extra"), marked("lacking")).alias("signed")), "own-differences")
+    both = kept(both.select("centre", "node", "root", "inside", (linked & (F.col("own_root") != F.col("of_centre"))).alias("joins"), n_diff.cast("long").alias("differ"), first(over).alias("short"), prefix.alias("prefix"), F.concat(marked("extra"), marked("lacking")).alias("signed")), "own-differences")
     # The order: elements of few members first. Those of one member alone meet none, so only their number counts.
     # A centre's many members lie together, so they are dealt out before their elements are.
     elements = both.select("centre", "node", "signed").repartition("centre", "node").select("centre", "node", F.explode("signed").alias("e")).select("centre", "node", "e.extra", "e.gram")
@@ -139,14 +163,16 @@ def _cross_by_differences(many: DataFrame, sets: DataFrame, marks: DataFrame, ro
     taken = both.drop("signed").join(listed, ["centre", "node"]).join(marks, "node").withColumn("alone", alone).withColumn("common", F.slice("common", F.lit(1), F.greatest(F.lit(0), F.col("prefix") - F.col("alone"))))
     posts = taken.select("centre", "node", "root", "inside", "n", "bits", "differ", "short", "alone", F.posexplode("common").alias("place", "element")).withColumn("at", F.col("alone") + F.col("place"))
     posts = kept(posts.select("centre", "element.extra", "element.gram", "node", "root", "inside", "n", "bits", "differ", (F.col("differ") - F.col("at")).alias("rest"), (F.col("at") < F.col("short")).alias("early")), "differences")
-    discard(both)
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "inside", "n", "bits", "differ", "rest", "early")]
     left = posts.where("early").select("centre", "extra", "gram", *side("a")).alias("l")
     right = posts.where("not inside").select("centre", "extra", "gram", *side("b")).alias("r")
     same = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.centre") == F.col("r.centre")) & (F.col("l.extra") == F.col("r.extra"))
     once = F.col("inside_a") | (F.col("early_b") & (F.col("node_a") < F.col("node_b")))
     enough = whole * F.least("rest_a", "rest_b") >= whole // 2 * (F.col("differ_a") + F.col("differ_b")) - less * (F.col("n_a") + F.col("n_b"))
-    return left.join(right, same & once & enough & (F.col("root_a") != F.col("root_b")) & alike("n_a", "n_b", "bits_a", "bits_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    met = left.join(right, same & once & enough & (F.col("root_a") != F.col("root_b")) & alike("n_a", "n_b", "bits_a", "bits_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    found = kept(met.union(both.where("joins").select("node", "centre")).distinct(), "far")
+    discard(references, both, posts)
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,7 +235,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     far = _cross_by_differences(many, sets, marks, roots, percent, alike)
     crossing = kept(crossed.union(far).distinct(), "crossed")
     more = kept(confirmed(crossing, True), "cross-links")
-    discard(members, mixed, open_, crossing, sets)
+    discard(members, mixed, open_, far, crossing, sets)
     if not more.isEmpty():
         # Only the roots that the further links join have to be brought together.
         known = roots.select("node", "root")

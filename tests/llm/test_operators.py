@@ -184,6 +184,42 @@ def test_minhash_of_a_large_loose_group(spark):
     assert got == want and len({c for _, c, _ in want.values()}) > 20
 
 
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_minhash_lists_differences_once(spark, docs, monkeypatch, k, percent):
+    """A large group lies in buckets of many centres: a member's differences are listed about once, and no link is lost.
+
+    Texts of the tables, texts half alike, and chains whose ends are far apart go the same way.
+    """
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(240):
+        words = list(texts[-1]) if i % 5 == 4 else list(base)
+        for at in rng.choice(150, rng.integers(1, 9), replace=False):
+            words[at] = f"x{rng.integers(1000)}"
+        texts.append(words)
+    chain = list(base[:60])
+    for i in range(60):
+        chain = [*chain[2:], f"y{2 * i}", f"y{2 * i + 1}"]
+        texts.append(chain)
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 3)
+    made = {}
+
+    def noted(df, name):
+        out = storage.kept(df, name)
+        if name in ("open", "own-differences"):
+            made[name] = out.select("node").distinct().count(), out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "kept", noted)
+    group = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = group.union(docs.selectExpr("doc_id + 100000", "text"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(rows, k, percent).collect()}
+    assert got == components(both(rows), k, percent)
+    members, listed = made["own-differences"]
+    assert members > 100 and listed < 2 * members
+
+
 def test_decontamination_edges(spark, odd):
     items = spark.createDataFrame([(1, "one TWO three"), (2, ""), (None, None), (3, SHARED)], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontaminate.mark(odd, items).collect()}
