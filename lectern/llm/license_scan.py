@@ -1,17 +1,19 @@
 """License scans by conditional compression.
 
 Every template is looked for by its words, anywhere in a text and whatever the line breaks. A
-wording with few differing words holds one of some pieces of its template unchanged; around each
-such piece an alignment finds the span and the exact words in which it differs. Each confirmed
-span is then compressed alone and with its template as zstandard raw dictionary: licenses are
-ranked by how much smaller their spans get.
+wording with few differing words holds one of some pieces of its template unchanged; a window of
+the template's size around each such piece is a candidate. Each candidate is compressed alone and
+with its template as zstandard raw dictionary, and candidates are ranked by the bytes saved,
+relative to the template's own size. In this order an alignment finds each one's span and the
+exact words in which it differs. Of inexact wordings over the same words the best ranked one
+stays; no floor and no cap leaves a candidate unconfirmed.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -81,6 +83,7 @@ class Templates:
         parameters = zstandard.ZstdCompressionParameters.from_level(9, format=zstandard.FORMAT_ZSTD1_MAGICLESS, **plain)
         self.alone = zstandard.ZstdCompressor(compression_params=parameters)
         self.given = [zstandard.ZstdCompressor(compression_params=parameters, dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, _, text, _ in self.all]
+        self.sizes = [len(self.alone.compress(text.lower().encode())) for _, _, text, _ in self.all]
         self.most = [int(TOLERANCE * len(ws)) for *_, ws in self.all]
         #: One piece more than words may differ, so that one of them is in the span unchanged: (template, first word, text).
         self.pieces = []
@@ -96,6 +99,11 @@ class Templates:
         data = span.lower().encode()
         return 1 - len(self.given[k].compress(data)) / len(self.alone.compress(data))
 
+    def gain(self, k: int, window: str) -> float:
+        """Bytes that template ``k`` saves in a candidate window, relative to the template's own size."""
+        data = window.lower().encode()
+        return (len(self.alone.compress(data)) - len(self.given[k].compress(data))) / self.sizes[k]
+
     def _aligned(self, k: int, said: tuple[str, ...]) -> tuple[int, int, tuple[str, ...]] | None:
         """First and end word in ``said`` of the closest wording of template ``k``, and the differing words: '-' those it lacks, '+' others in it. Equally close ones: the earliest end, then the latest start. None if too many differ."""
         template = self.all[k][3]
@@ -130,8 +138,8 @@ class Templates:
         """License, reduction, differing words, start and end in code points of every template's wordings, by start.
 
         Wordings of one template do not overlap: closer ones first. One with differing words is left out
-        where a closer one of another template has more than half of its words, so that an LGPL notice
-        is not also a GPL notice with a word too many.
+        where an exact or better ranked one of another template has more than half of its words, so that
+        an LGPL notice is not also a GPL notice with a word too many.
         """
         low = text.lower()
         if not any(g in low for g in self.gates):
@@ -139,31 +147,23 @@ class Templates:
         places = [(m[0].lower(), m.start(), m.end()) for m in _WORDS.finditer(text)]
         said = [w for w, _, _ in places]
         line = f" {' '.join(said)} "
-        hits: set[tuple[float, int, int, int, tuple[str, ...]]] = set()
-        tried = set()
+        windows = set()
         for k, first, piece in self.pieces:
             n, most = len(self.all[k][3]), self.most[k]
             at, counted, word = line.find(piece), 0, 0
             while at >= 0:
                 word += line.count(" ", counted, at)
                 counted = at
-                a = max(0, word - first - most)
-                b = min(len(said), word - first + n + most)
-                if (k, a, b) not in tried:
-                    tried.add((k, a, b))
-                    if match := self.aligned(k, tuple(said[a:b])):
-                        hits.add((len(match[2]) / n, k, a + match[0], a + match[1], match[2]))
+                windows.add((k, max(0, word - first - most), min(len(said), word - first + n + most)))
                 at = line.find(piece, at + 1)
-        sound = []
-        near = defaultdict(list)  # the same by stretches of words
-        for hit in sorted(hits):
-            far, k, a, b, _ = hit
-            stretches = range(a // _STRETCH, b // _STRETCH + 1)
-            shared = [(s, min(b, s[3]) - max(a, s[2])) for q in stretches for s in near[q]]
-            if not any(n > 0 and (s[1] == k or s[0] < far and 2 * n > b - a) for s, n in shared):
-                sound.append(hit)
-                for q in stretches:
-                    near[q].append(hit)
+        ranked = sorted((-self.gain(k, text[places[a][1] : places[b - 1][2]]), k, a, b) for k, a, b in windows)
+        hits: dict[tuple[float, int, int, int, tuple[str, ...]], float] = {}
+        for low, k, a, b in ranked:
+            if match := self.aligned(k, tuple(said[a:b])):
+                hits.setdefault((len(match[2]) / len(self.all[k][3]), k, a + match[0], a + match[1], match[2]), low)
+        single = _apart(sorted(hits), lambda s, hit: s[1] == hit[1])
+        order = sorted(single, key=lambda hit: (hit[0] > 0, hits[hit], hit))
+        sound = _apart(order, lambda s, hit: hit[0] > 0 and (s[0] == 0 or hits[s] < hits[hit]), share=2)
         out = []
         for _, k, a, b, wrong in sorted(sound, key=lambda s: (s[2], s[1])):
             start, end = places[a][1], places[b - 1][2]
@@ -171,8 +171,22 @@ class Templates:
         return out
 
 
+def _apart(hits: list, clash: Callable[..., bool], share: int | None = None) -> list:
+    """The hits, in order, without those that clash with a former one over some of their words, or with ``share`` over more than that part of them."""
+    out, near = [], defaultdict(list)  # near: the same by stretches of words
+    for hit in hits:
+        _, _, a, b, _ = hit
+        stretches = range(a // _STRETCH, b // _STRETCH + 1)
+        shared = [(s, min(b, s[3]) - max(a, s[2])) for q in stretches for s in near[q]]
+        if not any(n * (share or b - a + 1) > b - a and clash(s, hit) for s, n in shared):
+            out.append(hit)
+            for q in stretches:
+                near[q].append(hit)
+    return out
+
+
 def candidate_blocks(text: bytes, known: set[str]) -> list[tuple[int, int]]:
-    """Byte spans of candidate blocks: runs of lines with a cue or, next to one, of kindred words."""
+    """Byte spans of blocks that may hold notices, also of licenses without a template: runs of lines with a cue or, next to one, of kindred words."""
     if not CUES.search(text):
         return []
     ends = [m.start() for m in re.finditer(b"\n", text)] + [len(text)]

@@ -451,6 +451,28 @@ def test_odd_tables(spark, odd, name):
     assert empty.columns == got.columns and empty.collect() == []
 
 
+def test_license_candidates_are_ranked_by_compression(spark):
+    """Equally many words differ from two templates: the one that compresses the candidate better is the text's, by its punctuation."""
+    gpl3, gpl2 = (license_scan.TEMPLATES[name][1] for name in ("GPL-3.0", "GPL-2.0"))
+    texts = [gpl3.replace("version 3", "version 9"), gpl2.replace("version 2", "version 9"), gpl3, gpl2]
+    texts += [f"some words before {t} and after" for t in texts]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i in range(len(texts)):
+        name = ["GPL-3.0", "GPL-2.0"][i % 2]
+        assert (got[i]["n_confirmed"], got[i]["license"]) == (1, name) and got[i]["spans"].startswith(f"{name}:"), texts[i]
+        assert got[i]["differences"] == ("" if i % 4 > 1 else f"-{name[4]} +9") or sorted(got[i]["differences"].split()) == ["+9", f"-{name[4]}"]
+
+
+def test_many_edited_licenses():
+    """Twenty thousand edited notices in one text, in about linear time: each is found, once."""
+    notice = license_scan.TEMPLATES["GPL-3.0"][1].replace("version 3", "version 9")
+    templates = license_scan.Templates(license_scan.TEMPLATES)
+    began = time.process_time()
+    found = templates.found("\n".join([notice] * 20_000))
+    assert len(found) == 20_000 and {f[0] for f in found} == {"GPL-3.0"}
+    assert time.process_time() - began < 60
+
+
 def test_license_ties(spark):
     """Wordings that reduce alike: the earlier one is the text's license; of equal spans the first template."""
     a = "Released under the MIT License."
